@@ -1,0 +1,51 @@
+import re
+from html import unescape
+
+import pytest
+
+from fieldloom.llm import htmltext as ht
+
+PAGE = (
+    '<!DOCTYPE html><html><head><meta charset="utf-8"><title>T &amp; t</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body>'
+    '<header><h2>Site name here</h2></header><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">About us</a></li></ul></nav><!-- ad --><div class="ad">Buy this thing now, it is very good and cheap.</div>'
+    "{0}<aside>Sidebar text that goes on for a while.</aside><section id=\"comments\"><article class=\"comment\"><p>I like this article very much indeed, says a reader.</p></article></section>"
+    '<form action="/s"><label>Search for</label><input name=q><button>Go</button></form><div id="cookie-notice">We use cookies.</div><footer>&copy; example &middot; all of it.</footer></body></html>'
+)
+ARTICLE = "<article><h1>Title &lt;one&gt;</h1><p><b>Lead  of\nit<br><p>Long paragraph with <a href='x'>a link</a> and a lot of text, to be sure; &eacute;t&eacute;.</p><p>Yes.</p><ul><li>first</li><li>second</li></ul></article>"
+WANT = "Title <one> Lead of it Long paragraph with a link and a lot of text, to be sure; été. Yes. first second"
+
+
+@pytest.mark.parametrize(
+    "article", [ARTICLE, ARTICLE.replace("article>", "main>"), ARTICLE.replace("article>", "div>"), f"<main><div class='post'>{ARTICLE}</div></main>", ARTICLE.replace("<article>", "<article><nav>x y</nav><div class='share'>Share it</div>")]
+)
+def test_article_only(article):
+    assert ht.main_text(PAGE.replace("{0}", article)) == WANT
+
+
+def test_cut_off_and_odd_pages():
+    cut = PAGE.replace("{0}", ARTICLE)
+    assert ht.main_text(cut[: cut.index("<aside>")]) == WANT
+    assert ht.main_text(cut.replace("</nav>", "")) == WANT
+    for empty in (None, "", "   ", "<html></html>", "<script>var x = 1;</script>"):
+        assert ht.main_text(empty) == ""
+    assert ht.main_text("just  text") == "just text"
+    assert ht.main_text("<div class='sidebar'><p>only this &nbsp; text</p></div>") == "only this text"
+    assert ht.main_text("<p>a<b>b</b>c</p><p>d") == "abc d"
+    assert len(ht.main_text("<article>" + "<div>" * 3000 + "<p>deep</p>" + "</div>" * 3000 + "</article>")) == 4
+
+
+def test_table_pages(spark, request):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").toPandas()
+    off = 0
+    for html in pages.html:
+        body = html[html.index("<article>") : html.index("</article>")] if "</article>" in html else html[html.index("<article>") :]
+        want = " ".join(unescape(re.sub(r"<(/?(?:b|i|em|a|strong|span)\b[^>]*)>", "", re.sub(r"</?(?:p|h\d|li|ul|ol|br|td|tr|table|article|div)\b[^>]*>", " ", body))).split())
+        off += ht.main_text(html) != want
+    assert off == 0
+
+
+def test_operator(spark):
+    df = spark.createDataFrame([(1, "u", "<p>x</p>", "z"), (None, None, None, "z"), (1, "u", "<p>x</p>", "z")], "page_id long, url string, html string, text string")
+    got = [(r.page_id, r.url, r.text, r.n_chars) for r in ht.extract(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, "u", "x", 1), (None, None, "", 0), (1, "u", "x", 1)], key=str)
+    assert ht.extract(df.limit(0)).count() == 0
