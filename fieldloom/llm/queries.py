@@ -3,16 +3,26 @@
 from __future__ import annotations
 
 from .gridjoin import op1_grid_join
+from .htmltext import op9_html_text
+from .licences import op2_licences
+from .lmscore import op7_lm_score
+from .minhash import op6_fingerprints
 from .mixing import op8_mix
 from .pieces import op3_pieces
 from .quality import op10_quality
 from .simhash import op4_simhash
+from .tokenfiles import op5_token_files
 
 QUERIES = {
     "op1_grid_join": op1_grid_join,
+    "op2_licences": op2_licences,
     "op3_pieces": op3_pieces,
     "op4_simhash": op4_simhash,
+    "op5_token_files": op5_token_files,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_lm_score": op7_lm_score,
     "op8_mix": op8_mix,
+    "op9_html_text": op9_html_text,
     "op10_quality": op10_quality,
 }
 
