@@ -1,6 +1,563 @@
-"""Registered queries and their DuckDB SQL."""
+"""Registered queries, one or more for each operator of the survey, and DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dictionaries as D
+from ..functions import fuzzy, pytext
+from ..functions import normalise as N
+from ..operators import extract, ocrlines, register, review, verify
+from ..operators import score as C
+from ..sources import documents as sources
+from ..sources import sinks
+from . import inputs as I
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+AS_OF = "2026-01-01"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _sql_map(table: dict, key: str) -> str:
+    return "CASE " + " ".join(f"WHEN {key} = '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE {key} END"
+
+
+def _sql_case(table: dict, key: str) -> str:
+    """CASE key WHEN ..., for use inside a lambda."""
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE {key} END"
+
+
+_ASCII = {k: v for k, v in D.EXPANSIONS.items() if k.isascii()}
+_STOP = "[" + ", ".join(f"'{w}'" for w in D.STOP_TOKENS if w.isascii()) + "]"
+
+
+def _sql_expand(c: str) -> str:
+    tokens = f"list_filter(regexp_split_to_array(lower({c}), '\\s+'), lambda w: w <> '')"
+    bare = f"list_transform({tokens}, lambda w: regexp_replace(w, '^(\\w+)[^\\w]*$', '\\1'))"
+    return f"array_to_string(list_transform({bare}, lambda v: {_sql_case(_ASCII, 'v')}), ' ')"
+
+
+def _sql_stop(c: str) -> str:
+    return f"array_to_string(list_filter(regexp_split_to_array({c}, '\\s+'), lambda t: t <> '' AND NOT list_contains({_STOP}, t)), ' ')"
+
+
+def _sql_generic(c: str) -> str:
+    return _sql_stop(_sql_expand(f"trim(regexp_replace(regexp_replace(lower({c}), '[.,;:!?\\-()\"''/]', ' ', 'g'), '\\s+', ' ', 'g'))"))
+
+
+# Sources, sinks
+
+
+@query("SELECT doc_id, CASE WHEN ext = '.pdf' THEN 'pdf' ELSE 'image' END AS file_type, CASE WHEN ext IN ('.jpg', '.jpeg', '.png', '.bmp', '.tiff', '.webp') THEN 'image' WHEN ext = '.pdf' THEN 'pdf' END AS handler FROM (SELECT doc_id, ['.jpg', '.pdf', '.tiff', '.docx'][doc_id % 4 + 1] AS ext FROM documents)")
+def s1_file_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ext = F.element_at(F.array(*[F.lit(x) for x in (".JPG", ".pdf", ".Tiff", ".docx")]), F.expr("cast(doc_id % 4 + 1 as int)"))
+    path = F.concat(F.lit("/scans/v1.2/doc-"), F.col("doc_id").cast("string"), ext)
+    return I.table(spark, sf_dir, "documents").select("doc_id", sources.file_type(path).alias("file_type"), sources.handler(path).alias("handler"))
+
+
+@query("SELECT conv_id, string_agg('--- PAGE ' || turn || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY turn, text) AS raw_text FROM conversations GROUP BY conv_id")
+def s3_page_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = I.table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("page_no"), "text")
+    return sources.assemble_pages(pages, "conv_id")
+
+
+@query()
+def s6_recognise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recogniser is a stand-in that reads lines out of bytes; what is run is the rest of the path."""
+
+    def make_reader(lang: str):
+        return lambda content, how: [content.decode().split("\n")]
+
+    docs = I.documents(spark, sf_dir).select(F.col("application_id").cast("string").alias("path"), F.encode("raw_text", "UTF-8").alias("content"), F.lit("pdf").alias("handler"))
+    return sources.extract_text(docs, make_reader)
+
+
+@query("WITH d AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events) SELECT event_id, k FROM d")
+def s8_json_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.table(spark, sf_dir, "events").select("event_id", sources.read_forms(F.col("props"))["k"].alias("k"))
+
+
+@query()
+def s9_audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.audit_rows(e6_verify_pairs(spark, sf_dir), F.lit("2026-01-01 00:00:00").cast("timestamp"))
+
+
+@query()
+def s10_flat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.flat_rows(e6_verify_pairs(spark, sf_dir))
+
+
+@query(I.SQL + "SELECT '{\"user\":{\"name\":\"' || name || '\",\"dob\":\"' || dob || '\"},\"timestamp\":\"x\"}' AS value FROM forms")
+def s11_export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.export_json(I.forms(spark, sf_dir), user=F.struct("name", "dob"), timestamp=F.lit("x"))
+
+
+@query("SELECT c_custkey, 'PRE' || upper(left(sha256(CAST(c_custkey AS VARCHAR)), 10)) AS registration_id, 'doc.pdf' AS file, 'pending' AS status FROM customer")
+def s13_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = I.table(spark, sf_dir, "customer").select("c_custkey", register.registration_id(F.col("c_custkey")).alias("registration_id"), register.base_name(F.lit("/tmp/up/doc.pdf")).alias("file"))
+    return rows.withColumn("status", register.status_of(F.col("registration_id")))
+
+
+# Lines
+
+
+@query()
+def x_line_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = I.documents(spark, sf_dir)
+    return docs.select("application_id", ocrlines.normalise_lines(F.split(F.regexp_replace("raw_text", ": ", "\n"), "\n")).alias("lines"))
+
+
+@query("SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda l: replace(replace(l, '—', '-'), '：', ':')), lambda m: regexp_matches(m, '[A-Za-z0-9]') AND length(m) >= 3) AS lines FROM documents")
+def x8_kept_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folded = F.transform(F.split("text", "\n"), lambda x: F.translate(x, "—：", "-:"))
+    return I.table(spark, sf_dir, "documents").select("doc_id", F.filter(folded, lambda x: F.rlike(x, F.lit("[A-Za-z0-9]")) & (F.length(x) >= 3)).alias("lines"))
+
+
+@query("SELECT doc_id, len(list_distinct(string_split(text, chr(10)))) AS n_lines FROM documents")
+def x9_distinct_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.table(spark, sf_dir, "documents").select("doc_id", F.size(F.array_distinct(F.split("text", "\n"))).cast("long").alias("n_lines"))
+
+
+# Extraction
+
+
+@query(
+    I.SQL
+    + r"""SELECT application_id, nullif(regexp_extract(raw_text, '(?i)\bFirst Name[:\s]*([A-Za-z]{2,})', 1), '') AS first_name,
+    nullif(regexp_extract(raw_text, '(?i)\bMiddle Name[:\s]*([A-Za-z]{2,})', 1), '') AS middle_name,
+    nullif(regexp_extract(raw_text, '(?i)\bDOB[:\s]*([0-9]{1,2}[\-/][0-9]{1,2}[\-/][0-9]{2,4})', 1), '') AS dob,
+    nullif(regexp_extract(raw_text, '(?i)\bGender[:\s]*([A-Za-z]{4,8})', 1), '') AS gender,
+    nullif(regexp_extract(raw_text, '(?i)\bPin\s*Code[:\s]*(\d{4,8})', 1), '') AS pincode FROM docs"""
+)
+def m2_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("raw_text")
+    return I.documents(spark, sf_dir).select("application_id", *[extract.by_pattern(text, f).alias(f) for f in ("first_name", "middle_name", "dob", "gender", "pincode")])
+
+
+_LINE = r"list_extract(list_filter(list_transform(string_split(raw_text, chr(10)), lambda l: nullif(regexp_extract(l, '(?i)^\s*{0}\s*[:\-]?\s*(.+)$', 1), '')), lambda v: v IS NOT NULL), -1) AS {1}"
+
+
+@query(I.SQL + "SELECT application_id, " + ", ".join(_LINE.format(a, b) for a, b in (("(?:city)", "city"), ("(?:state)", "state"), ("(?:gender|sex)", "gender"), ("(?:date of birth|dob|birth date)", "dob"))) + " FROM docs")
+def m3_label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = I.documents(spark, sf_dir).select("application_id", pytext.lines(F.col("raw_text")).alias("rows"))
+    return rows.select("application_id", *[extract.by_label(F.col("rows"), f).alias(f) for f in ("city", "state", "gender", "dob")])
+
+
+@query(I.SQL + "SELECT application_id, first || ' ' || last AS name, house || ' ' || road AS address, city || ' ' || state || ' ' || pin AS place FROM people")
+def m4_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.people(spark, sf_dir).select(
+        "application_id",
+        extract.join_parts(F.col("first"), F.lit("  "), F.col("last")).alias("name"),
+        extract.join_parts(F.col("house"), F.col("road")).alias("address"),
+        extract.join_parts(F.col("city"), F.lit(None).cast("string"), F.col("state"), F.col("pin")).alias("place"),
+    )
+
+
+@query(I.SQL + "SELECT application_id, first || ' ' || last AS name FROM people WHERE application_id % 6 = 1")
+def m7_name_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.documents(spark, sf_dir).where("document_type = 'aadhar'").select("application_id", extract.name_only(F.col("raw_text")).alias("name"))
+
+
+@query(I.SQL + "SELECT application_id, lower(replace(mail, 'qmail', 'gmail')) AS email, '+91' || phone AS phone, left(pin, 6) AS pincode, first || '-' || last AS titled FROM people")
+def m11_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.people(spark, sf_dir).select(
+        "application_id",
+        extract.clean("email", F.concat(F.lit(" "), F.upper("mail"))).alias("email"),
+        extract.clean("phone", F.concat(F.lit("+91 ("), F.left("phone", F.lit(3)), F.lit(") "), F.substring("phone", 4, 10), F.lit(" "))).alias("phone"),
+        extract.clean("pincode", F.concat(F.col("pin"), F.lit("-12"))).alias("pincode"),
+        extract.clean("last_name", F.lower(F.concat("first", F.lit("-"), "last"))).alias("titled"),
+    )
+
+
+_FULL = """SELECT application_id, document_type, first || ' ' || last AS name, CASE WHEN n THEN NULL ELSE sex END AS gender, CASE WHEN n THEN NULL ELSE strftime(born, '%d/%m/%Y') END AS dob,
+  CAST(NULL AS VARCHAR) AS age, CASE WHEN n THEN NULL ELSE house || ' ' || road END AS address, CASE WHEN n THEN NULL ELSE city END AS city, CASE WHEN n THEN NULL ELSE state END AS state,
+  CASE WHEN n THEN NULL ELSE pin END AS pincode, CASE WHEN n THEN NULL ELSE '+91' || phone END AS phone, CASE WHEN n THEN NULL ELSE lower(replace(mail, 'qmail', 'gmail')) END AS email"""
+
+
+@query(I.SQL + _FULL + ", CAST(CASE WHEN n THEN 1 ELSE 9 END AS BIGINT) AS fields_count, CASE WHEN n THEN ['age', 'gender', 'address', 'phone', 'email'] ELSE ['age'] END AS missing_fields FROM (SELECT p.*, d.document_type, coalesce(d.document_type = 'aadhar', FALSE) AS n FROM people p JOIN docs d USING (application_id))")
+def e4_extract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = extract.with_report(extract.extract_fields(I.documents(spark, sf_dir)))
+    return rows.drop("raw_text").withColumn("fields_count", F.col("fields_count").cast("long"))
+
+
+# Projections, predicates, pairing
+
+
+@query(
+    I.SQL
+    + """SELECT d.application_id, document_type, CASE WHEN document_type IN ('aadhar', 'voter') OR free THEN name END AS form_name, CASE WHEN document_type IN ('birth', 'slc') OR free THEN dob END AS form_dob,
+    CASE WHEN document_type IN ('dl', 'passport') OR free THEN address END AS form_address, CASE WHEN free THEN phone END AS form_phone, CAST(NULL AS VARCHAR) AS form_email
+    FROM (SELECT *, document_type IS NULL OR document_type = 'handwritten' AS free FROM docs) d JOIN forms f ON d.application_id = f.application_id"""
+)
+def p1_document_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = verify.restrict(verify.pair(I.documents(spark, sf_dir), I.forms(spark, sf_dir)))
+    return pairs.select("application_id", "document_type", "form_name", "form_dob", "form_address", "form_phone", "form_email")
+
+
+@query(I.SQL + "SELECT application_id, application_id % 2 = 0 AND application_id % 3 <> 0 AS compared FROM people")
+def p4_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("application_id")
+    rows = I.people(spark, sf_dir).select("application_id", F.when(k % 2 == 0, F.col("first")).alias("doc_name"), F.when(k % 3 != 0, F.col("first")).otherwise("").alias("form_name"))
+    return rows.select("application_id", verify.overlap(["name"]).alias("compared"))
+
+
+@query(I.SQL + "SELECT application_id, first AS name, phone, CAST(born AS VARCHAR) AS dob, last AS surname FROM people")
+def p6_canonical_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.create_map(F.lit("Full_Name"), F.lit("old"), F.lit("first_name"), F.col("first"), F.lit("MOBILE"), F.col("phone"), F.lit("birth_date"), F.col("born").cast("string"), F.lit("last_name"), F.col("last"))
+    rows = I.people(spark, sf_dir).select("application_id", verify.canonical_keys(raw, lower=True).alias("m"))
+    return rows.select("application_id", *[F.col("m")[k].alias(k) for k in ("name", "phone", "dob", "surname")])
+
+
+@query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice / 300000 END, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE least(0.7, o_totalprice / 200000) END) >= 0.8 IS NOT FALSE AS passed FROM orders")
+def p8_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    scores = F.when(k % 2 != 0, F.array(F.lit(0.7), price / 200000))
+    return I.table(spark, sf_dir, "orders").select("o_orderkey", register.passes(F.when(k % 3 != 0, price / 300000), scores, 0.8).alias("passed"))
+
+
+@query(I.SQL + "SELECT f.application_id, f.name, d.document_type FROM docs d JOIN forms f ON d.application_id = f.application_id")
+def j1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.pair(I.documents(spark, sf_dir), I.forms(spark, sf_dir)).select("application_id", F.col("form_name").alias("name"), "document_type")
+
+
+def _batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    items = I.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("batch_id"), F.col("l_linenumber").alias("pos"), "l_shipdate", "l_quantity").dropDuplicates(["batch_id", "pos"])
+    files = items.select("batch_id", "pos", F.concat_ws("/", F.lit("up"), "batch_id", "pos").alias("file"), F.lit("text").alias("extracted_data"), F.when(F.col("pos") % 4 == 3, "unreadable").alias("error"))
+    return files, items.where("pos <= 2").select("batch_id", "pos", F.concat(F.lit("form "), F.col("pos").cast("string")).alias("form"))
+
+
+_BATCH = "WITH items AS (SELECT DISTINCT l_orderkey AS batch_id, l_linenumber AS pos FROM lineitem) "
+
+
+@query(_BATCH + "SELECT batch_id, pos, CASE WHEN pos <= 2 THEN 'form ' || pos END AS form FROM items")
+def j2_positional_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, forms = _batches(spark, sf_dir)
+    return register.positional_pairs(files, forms).select("batch_id", "pos", "form")
+
+
+@query(_BATCH + "SELECT batch_id, count(*) AS total_files, count(*) FILTER (pos % 4 <> 3) AS successful, count(*) FILTER (pos % 4 = 3) AS failed FROM items GROUP BY batch_id")
+def a5_batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return register.batch_counts(register.batch_rows(*_batches(spark, sf_dir)))
+
+
+@query(_BATCH + "SELECT batch_id, pos, CASE WHEN pos % 4 = 3 THEN 'error' ELSE 'success' END AS status, CASE WHEN pos % 4 <> 3 THEN 'PRE' || upper(left(sha256(batch_id || '/' || pos), 10)) END AS registration_id, CASE WHEN pos % 4 <> 3 THEN CAST(pos AS VARCHAR) END AS upload FROM items")
+def e12_batch_submit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return register.batch_rows(*_batches(spark, sf_dir)).select("batch_id", "pos", "status", "registration_id", "upload")
+
+
+@query("SELECT p_partkey, coalesce(CASE lower(p_brand) WHEN 'brand#1' THEN 'first' WHEN 'brand#2' THEN 'second' END, lower(p_brand)) AS named FROM part")
+def j3_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.lower("p_brand")
+    return I.table(spark, sf_dir, "part").select("p_partkey", F.coalesce(D.lookup({"brand#1": "first", "brand#2": "second"}, key), key).alias("named"))
+
+
+# Normal forms
+
+
+@query()
+def n1_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.table(spark, sf_dir, "documents").select("doc_id", N.to_latin("text").alias("latin"))
+
+
+@query("SELECT doc_id, regexp_replace(text, '[^0-9]', '', 'g') AS digits FROM documents")
+def n2_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.table(spark, sf_dir, "documents").select("doc_id", N.digits(F.col("text")).alias("digits"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders")
+def n3_iso_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 6
+    text = F.when(k == 0, F.date_format(d, "dd/MM/yyyy")).when(k == 1, F.date_format(d, "yyyy.M.d")).when(k == 2, F.date_format(d, "d MMM yyyy")).when(k == 3, F.date_format(d, "MMMM d, yyyy"))
+    text = text.when(k == 4, F.date_format(d, "dd-MMM-yy")).otherwise(F.date_format(d, "d-M-yy"))
+    return I.table(spark, sf_dir, "orders").select("o_orderkey", N.iso_date(text).alias("iso"))
+
+
+@query(I.SQL + f"SELECT application_id, {_sql_expand('address')} AS expanded, {_sql_stop(_sql_expand('address'))} AS kept, {_sql_generic('address')} AS normal FROM (SELECT application_id, house || '/B, ' || road || '. By the Stn (Dist.) India' AS address FROM people)")
+def n6_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = I.people(spark, sf_dir).select("application_id", F.concat("house", F.lit("/B, "), "road", F.lit(". By the Stn (Dist.) India")).alias("address"))
+    a = F.col("address")
+    rows = rows.select("application_id", N.expand(a).alias("expanded"), N.generic(a).alias("normal"))
+    return rows.select("application_id", "expanded", N.drop_stop_tokens(F.col("expanded")).alias("kept"), "normal")
+
+
+@query(f"SELECT c_custkey, {_sql_map({k: v for k, v in D.GENDERS.items()}, 'g')} AS gender FROM (SELECT c_custkey, ['m', 'female', 'boy', 'महिला', 'non-binary', 'unknown', ''][c_custkey % 7 + 1] AS g FROM customer)")
+def n7_gender(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = F.element_at(F.array(*[F.lit(x) for x in (" M", "Female ", "boy", "महिला", "Non-Binary", "Unknown", "")]), F.expr("cast(c_custkey % 7 + 1 as int)"))
+    return I.table(spark, sf_dir, "customer").select("c_custkey", N.gender(given).alias("gender"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS ymd, strftime(o_orderdate, '%m-%d') AS md FROM orders")
+def n8_loose_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
+    text = F.when(k == 0, F.date_format(d, "d.M.yyyy")).when(k == 1, F.date_format(d, "yyyy/MM/dd")).when(k == 2, F.date_format(d, "d MMM, yyyy")).otherwise(F.concat(F.lit("DOB: "), F.date_format(d, "dd-MM-yyyy")))
+    rows = I.table(spark, sf_dir, "orders").select("o_orderkey", N.loose_date(text).alias("loose"))
+    return rows.select("o_orderkey", "loose.ymd", "loose.md")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%d%m') || '20' || strftime(o_orderdate, '%y') WHEN 1 THEN strftime(o_orderdate, '%d%m%Y') ELSE '0' || right(strftime(o_orderdate, '%d%m%Y'), 7) END AS digits FROM orders")
+def n9_date_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 3
+    text = F.when(k == 0, F.date_format(d, "dd/MM/yy")).when(k == 1, F.date_format(d, "dd-MM-yyyy")).otherwise(F.right(F.date_format(d, "ddMMyyyy"), F.lit(7)))
+    return I.table(spark, sf_dir, "orders").select("o_orderkey", N.date_digits(text).alias("digits"))
+
+
+@query(
+    f"""WITH a AS (SELECT o_orderkey, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '{AS_OF}') / 365.25 AS DOUBLE) AS years, CAST(o_orderkey % 40 AS INTEGER) AS stated FROM orders)
+    SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'age_parse_error' WHEN abs(CAST(floor(years) AS INTEGER) - stated) > 1 THEN 'age_mismatch(derived=' || CAST(floor(years) AS INTEGER) || ', stated=' || stated || ')' END AS note FROM a"""
+)
+def n11_age_note(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dob = F.date_format("o_orderdate", "d/M/yyyy")
+    age = F.when(F.col("o_orderkey") % 11 == 0, "old").otherwise((F.col("o_orderkey") % 40).cast("string"))
+    return I.table(spark, sf_dir, "orders").select("o_orderkey", N.age_note(dob, age, F.lit(AS_OF).cast("date")).alias("note"))
+
+
+# Fuzzy ratios: longest common subsequence by rows of the table, each a running maximum
+
+
+def _sql_lcs(a: str, b: str) -> str:
+    row = f"list_transform(range(1, len(acc) + 1), lambda i: list_max(list_transform(range(1, i + 1), lambda j: CASE WHEN j = 1 THEN 0 ELSE greatest(acc[j], acc[j - 1] + CASE WHEN substr({b}, CAST(j - 1 AS INTEGER), 1) = ch[1] THEN 1 ELSE 0 END) END)))"
+    steps = f"list_prepend(list_transform(range(0, length({b}) + 1), lambda z: CAST(0 AS INTEGER)), list_transform(range(1, length({a}) + 1), lambda p: [CAST(p AS INTEGER)]))"
+    row = row.replace("ch[1]", f"substr({a}, ch[1], 1)")
+    return f"list_extract(list_reduce({steps}, lambda acc, ch: list_transform({row}, lambda q: CAST(q AS INTEGER))), -1)"
+
+
+_PAIRS = I.SQL + ", pairs AS (SELECT p.application_id, lower(p.first || ' ' || p.last) AS a, lower(f.name) AS b FROM people p JOIN forms f USING (application_id))"
+
+
+def _ratio(a: str, b: str) -> str:
+    return f"200.0 * {_sql_lcs(a, b)} / (length({a}) + length({b}))"
+
+
+def _name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, f = I.people(spark, sf_dir), I.forms(spark, sf_dir)
+    return p.join(f.select("application_id", "name"), "application_id").select("application_id", F.lower(F.concat_ws(" ", "first", "last")).alias("a"), F.lower("name").alias("b"))
+
+
+@query(_PAIRS + f" SELECT application_id, {_ratio('a', 'b')} AS ratio FROM pairs")
+def f1_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _name_pairs(spark, sf_dir).select("application_id", fuzzy.best_of("ratio")("a", "b").alias("ratio"))
+
+
+@query(_PAIRS + f" SELECT application_id, {_ratio('a', 'b')} AS ratio FROM pairs")
+def f1_ratio_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _name_pairs(spark, sf_dir).select("application_id", fuzzy.ratio_column(F.col("a"), F.col("b")).alias("ratio"))
+
+
+@query(_PAIRS + ", s AS (SELECT application_id, array_to_string(list_sort(string_split(a, ' ')), ' ') AS a, array_to_string(list_sort(string_split(b, ' ')), ' ') AS b FROM pairs)" + f" SELECT application_id, {_ratio('a', 'b')} AS ratio FROM s")
+def f2_token_sort_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _name_pairs(spark, sf_dir).select("application_id", fuzzy.best_of("token_sort_ratio")("a", "b").alias("ratio"))
+
+
+@query(
+    _PAIRS
+    + """, t AS (SELECT application_id, list_sort(list_filter(string_split(a, ' '), lambda x: list_contains(string_split(b, ' '), x))) AS s, list_sort(list_filter(string_split(a, ' '), lambda x: NOT list_contains(string_split(b, ' '), x))) AS l,
+    list_sort(list_filter(string_split(b, ' '), lambda x: NOT list_contains(string_split(a, ' '), x))) AS r FROM pairs), u AS (SELECT application_id, len(s) > 0 AND (len(l) = 0 OR len(r) = 0) AS whole, len(s) = 0 AS apart,
+    array_to_string(s, ' ') AS s, array_to_string(list_concat(s, l), ' ') AS a, array_to_string(list_concat(s, r), ' ') AS b FROM t)"""
+    + f" SELECT application_id, CASE WHEN whole THEN 100.0 WHEN apart THEN {_ratio('a', 'b')} ELSE greatest({_ratio('a', 'b')}, {_ratio('s', 'a')}, {_ratio('s', 'b')}) END AS ratio FROM u"
+)
+def f3_token_set_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _name_pairs(spark, sf_dir).select("application_id", fuzzy.best_of("token_set_ratio")("a", "b").alias("ratio"))
+
+
+@query()
+def f4_partial_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _name_pairs(spark, sf_dir).select("application_id", fuzzy.best_of("partial_ratio")("a", "b").alias("ratio"))
+
+
+@query()
+def f5_weighted_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _name_pairs(spark, sf_dir).select("application_id", fuzzy.best_of("weighted_ratio")("a", "b").alias("ratio"))
+
+
+# Scores
+
+
+@query()
+def c1_name_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _name_pairs(spark, sf_dir).withColumn("f", C.name_ratio("a", "b"))
+    return rows.select("application_id", C.name_score(F.col("a"), F.col("b"), F.col("f")).alias("score"))
+
+
+@query()
+def c2_address_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, f = I.people(spark, sf_dir), I.forms(spark, sf_dir)
+    rows = p.join(f.select("application_id", "address"), "application_id").select("application_id", N.generic(F.concat_ws(" ", "house", "road")).alias("a"), N.generic(F.col("address")).alias("b"))
+    return rows.withColumn("f", C.address_ratio("a", "b")).select("application_id", C.address_score(F.col("a"), F.col("b"), F.col("f")).alias("score"))
+
+
+@query(
+    "SELECT p_partkey, len(list_intersect(a, b)) AS shared, len(list_distinct(list_concat(a, b))) AS all_tokens, CAST(len(list_intersect(a, b)) AS DOUBLE) / greatest(1, len(a), len(b)) AS coverage FROM (SELECT p_partkey, list_distinct(list_filter(string_split(lower(p_name), ' '), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split(lower(p_type), ' '), lambda x: x <> '')) AS b FROM part)"
+)
+def c2_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = C.token_overlap(F.lower("p_name"), F.lower("p_type"))
+    return I.table(spark, sf_dir, "part").select("p_partkey", t["shared"].cast("long").alias("shared"), t["all"].cast("long").alias("all_tokens"), t["coverage"].alias("coverage"))
+
+
+_PHONE = """CASE WHEN a = '' OR b = '' THEN 0.0 WHEN a = b OR right(a, 10) = right(b, 10) THEN 1.0 WHEN length(a) >= 9 AND length(b) >= 9 AND right(a, 9) = right(b, 9) THEN 0.95
+  WHEN length(a) >= 8 AND length(b) >= 8 AND right(a, 8) = right(b, 8) THEN 0.9 WHEN length(a) >= 7 AND length(b) >= 7 AND right(a, 7) = right(b, 7) THEN 0.85
+  WHEN length(a) >= 6 AND length(b) >= 6 AND right(a, 6) = right(b, 6) THEN 0.8
+  ELSE greatest(0.0, 1 - CAST(list_sum(list_transform(range(1, 11), lambda i: CASE WHEN substr(lpad(right(a, 10), 10, '0'), CAST(i AS INTEGER), 1) <> substr(lpad(right(b, 10), 10, '0'), CAST(i AS INTEGER), 1) THEN 1 ELSE 0 END)) + 10 - least(length(b), 10) AS DOUBLE) / 10) END"""
+
+
+@query(I.SQL + f"SELECT application_id, CAST({_PHONE} AS DOUBLE) AS score FROM (SELECT p.application_id, '91' || p.phone AS a, CASE WHEN p.application_id % 7 = 0 THEN left(f.phone, 7) ELSE f.phone END AS b FROM people p JOIN forms f USING (application_id))")
+def c3_phone_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, f = I.people(spark, sf_dir), I.forms(spark, sf_dir)
+    given = F.when(F.col("application_id") % 7 == 0, F.left("typed", F.lit(7))).otherwise(F.col("typed"))
+    rows = p.join(f.select("application_id", F.col("phone").alias("typed")), "application_id").select("application_id", N.digits(F.concat(F.lit("+91 "), "phone")).alias("a"), N.digits(given).alias("b"))
+    return rows.select("application_id", C.phone_score(F.col("a"), F.col("b")).alias("score"))
+
+
+_DOB = "CASE WHEN application_id % 5 = 0 THEN 0.0 ELSE 1.0 END"
+
+
+@query(I.SQL + f"SELECT application_id, CAST({_DOB} AS DOUBLE) AS score FROM people")
+def c4_dob_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, f = I.people(spark, sf_dir), I.forms(spark, sf_dir)
+    rows = p.join(f, "application_id").select("application_id", C.date_forms(F.date_format("born", "d MMM yyyy")).alias("a"), C.date_forms(F.col("dob")).alias("b"))
+    return rows.select("application_id", C.dob_score(F.col("a"), F.col("b")).alias("score"))
+
+
+@query("SELECT c_custkey, CAST(CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 1 END AS DOUBLE) AS score FROM customer")
+def c5_gender_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey") % 3
+    a = F.when(k == 0, "").when(k == 1, "Man").otherwise("अन्य")
+    return I.table(spark, sf_dir, "customer").select("c_custkey", C.gender_score(a, F.when(k == 1, " male").otherwise("other")).alias("score"))
+
+
+# Aggregates
+
+
+@query(
+    """WITH s AS (SELECT o_orderkey, o_orderkey % 2 = 0 AS has_name, o_totalprice / 500000 AS n, CASE WHEN o_orderkey % 5 = 0 THEN 0.0 ELSE 1.0 END AS d FROM orders), c AS (
+    SELECT *, CASE WHEN has_name THEN 0.35 / (0.35 + 0.30) * n ELSE 0 END + 0.30 / (CASE WHEN has_name THEN 0.35 ELSE 0 END + 0.30) * d AS raw FROM s)
+    SELECT o_orderkey, CAST(round(raw, 4) AS DOUBLE) AS overall_confidence, CASE WHEN raw >= 0.85 THEN 'MATCH' WHEN raw >= 0.6 THEN 'REVIEW' ELSE 'MISMATCH' END AS decision,
+    CAST((has_name AND n < 0.6) AS INTEGER) + CAST(d < 0.6 AS INTEGER) AS n_notes FROM c"""
+)
+def a1_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    scores = {"name": F.col("o_totalprice") / 500000, "dob": F.when(k % 5 == 0, 0.0).otherwise(1.0)}
+    has = {"name": k % 2 == 0, "dob": F.lit(True)}
+    weights = {f: D.WEIGHTS[f] for f in scores}
+    raw = verify.confidence(scores, has, weights)
+    return I.table(spark, sf_dir, "orders").select(k, F.round(raw, 4).alias("overall_confidence"), verify.decision(raw).alias("decision"), F.size(verify.low_notes(scores, has, weights)).alias("n_notes"))
+
+
+@query("SELECT o_custkey, avg(coalesce(CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice / 500000 END, 1.0)) AS average_confidence FROM orders GROUP BY o_custkey")
+def a6_average_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = I.table(spark, sf_dir, "orders").select("o_custkey", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_totalprice") / 500000).alias("confidence"))
+    return review.average_confidence(rows, "o_custkey")
+
+
+# Windows in disguise
+
+
+@query("SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")
+def w1_first_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.first_by_priority(I.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey")
+
+
+@query("SELECT o_custkey, max_by(o_orderpriority, o_orderkey) AS last_value FROM orders GROUP BY o_custkey")
+def w2_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by("o_orderpriority", "o_orderkey").alias("last_value"))
+
+
+@query("SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS next_line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)")
+def w4_next_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    rows = I.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return rows.withColumn("next_line", F.lead("line").over(W.partitionBy("doc_id").orderBy("pos"))).withColumn("pos", F.col("pos").cast("long"))
+
+
+# Review
+
+
+@query(I.SQL + "SELECT application_id, CASE WHEN application_id % 4 = 0 THEN 'Edited' ELSE first || ' ' || last END AS name, CASE application_id % 3 WHEN 0 THEN 'aadhar' WHEN 1 THEN 'dl' ELSE 'birth' END AS document, house || ' ' || road || ', ' || city || ', ' || state || ', ' || pin AS address FROM people")
+def u1_review_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("application_id")
+    slot = F.when(k % 3 == 0, "name").when(k % 3 == 1, "address").otherwise("dob")
+    docs = I.documents(spark, sf_dir).select("application_id", F.regexp_replace("raw_text", r"\.\n", "\n").alias("raw"))
+    return I.people(spark, sf_dir).join(docs, "application_id").select(
+        "application_id",
+        review.form_name(F.when(k % 4 == 0, "Edited").otherwise(""), F.col("first"), F.lit(""), F.col("last")).alias("name"),
+        review.slot_document(slot).alias("document"),
+        review.address_line(F.concat_ws(" ", "house", "road"), F.lit(None).cast("string"), F.col("state"), F.lit(""), F.col("raw")).alias("address"),
+    )
+
+
+@query("SELECT o_orderkey, CAST(CASE o_orderkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.55 ELSE 0.6 END AS DOUBLE) AS confidence FROM orders")
+def u6_edited_dob(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 3
+    after = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(F.date_add(d, 400), "MM/dd/yyyy")).otherwise("soon")
+    return I.table(spark, sf_dir, "orders").select("o_orderkey", review.edited_dob_confidence(F.date_format(d, "MM/dd/yyyy"), after).alias("confidence"))
+
+
+@query("SELECT o_orderkey, CAST(round(o_totalprice / 500000 * 100) AS INTEGER) AS percent, o_totalprice / 500000 < 0.6 AS low, CASE o_orderstatus WHEN 'F' THEN 'danger' WHEN 'O' THEN 'warning' ELSE 'secondary' END AS shown FROM orders")
+def u7_percent_and_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("o_totalprice") / 500000
+    status = F.when(F.col("o_orderstatus") == "F", "Failed: x").when(F.col("o_orderstatus") == "O", "PENDING").otherwise("other")
+    return I.table(spark, sf_dir, "orders").select("o_orderkey", review.percent(s).alias("percent"), (s < review.LOW).alias("low"), review.status_class(status).alias("shown"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'changed' ELSE o_orderstatus END AS status FROM orders")
+def u8_reviewed_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = I.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    return review.reviewed_again(rows, rows.where("o_orderkey % 3 = 0").withColumn("status", F.lit("changed")), "o_orderkey")
+
+
+@query("SELECT o_custkey, max_by('PRE' || o_orderkey, o_orderkey) AS registration_id FROM orders GROUP BY o_custkey")
+def u13_last_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = I.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.concat(F.lit("PRE"), F.col("o_orderkey").cast("string")).alias("registration_id"))
+    return review.last_registration(rows, "o_custkey", "o_orderkey")
+
+
+@query(_BATCH + "SELECT batch_id, pos, 'form ' || batch_id AS form FROM items")
+def u14_batch_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, _ = _batches(spark, sf_dir)
+    form = I.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("batch_id"), F.concat(F.lit("form "), F.col("o_orderkey").cast("string")).alias("form")).dropDuplicates(["batch_id"])
+    return review.forms_for_files(files.select("batch_id", "pos"), form)
+
+
+# Whole flows
+
+
+@query()
+def e5_map_and_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = verify.map_and_verify(I.documents(spark, sf_dir), I.forms(spark, sf_dir), F.lit(AS_OF).cast("date"))
+    return rows.select("application_id", "document_type", *[f"doc_{f}" for f in D.FIELDS], "missing_fields", "overall_confidence", "decision", "fields", "notes")
+
+
+def e6_verify_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = I.people(spark, sf_dir).select(
+        "application_id", F.concat_ws(" ", "first", "last").alias("name"), F.date_format("born", "d MMM yyyy").alias("dob"), F.col("sex").alias("gender"), F.concat_ws(" ", "house", "road").alias("address"), F.concat(F.lit("+91 "), "phone").alias("phone")
+    )
+    return verify.verify(verify.pair(p, I.forms(spark, sf_dir)), as_of=F.lit(AS_OF).cast("date"))
+
+
+@query()
+def e6_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return e6_verify_pairs(spark, sf_dir).select("application_id", "overall_confidence", "decision", "fields", "notes", "version")
+
+
+@query()
+def e8_integrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = register.integrate(I.documents(spark, sf_dir), I.forms(spark, sf_dir))
+    return rows.select("application_id", "overall_confidence", "decision", "status", "registration_id")
+
+
+@query()
+def e9_verify_and_submit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = I.people(spark, sf_dir).select("application_id", F.concat_ws(" ", "first", "last").alias("name"), "phone")
+    return register.verify_and_submit(verify.pair(p, I.forms(spark, sf_dir))).select("application_id", "overall_confidence", "registration_id", "status")
