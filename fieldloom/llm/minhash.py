@@ -1,7 +1,7 @@
 """Document fingerprints: MinHash signatures over 5-word shingles, in vectorised numpy.
 
 A shingle's hash combines the hashes of its words (XXH64 of the ASCII-lower-cased bytes); PERMUTATIONS
-multiply-shift universal hashes of it are minimised over a text. The share of equal positions of two
+multiply-shift universal hashes of it are minimised over a text, and 16 bits of each minimum kept. The share of equal positions of two
 fingerprints estimates the Jaccard similarity of the shingle sets. near_pairs() joins bands of the
 signatures in Spark and verifies candidates by the Jaccard similarity itself.
 
@@ -66,7 +66,7 @@ def minima(x: np.ndarray) -> np.ndarray:
 
 
 def signature(text: str | None) -> np.ndarray:
-    return (minima(shingles(words_of(text or ""))) >> np.uint64(32)).astype(">u4")
+    return (minima(shingles(words_of(text or ""))) >> np.uint64(48)).astype(">u2")
 
 
 def edited(text: str, after: str) -> str:
@@ -79,16 +79,16 @@ def signatures(text: str, after: str | None) -> tuple[np.ndarray, np.ndarray | N
     words = words_of(text)
     x = shingles(words)
     if after is None:
-        return (minima(x) >> np.uint64(32)).astype(">u4"), None
+        return (minima(x) >> np.uint64(48)).astype(">u2"), None
     new = words_of(edited(text, after))
     same = next((i for i, (a, b) in enumerate(zip(words, new)) if a != b), min(len(words), len(new)))
     shared = max(0, same - SHINGLE + 1)
     if not shared:
-        return (minima(x) >> np.uint64(32)).astype(">u4"), (minima(shingles(new)) >> np.uint64(32)).astype(">u4")
+        return (minima(x) >> np.uint64(48)).astype(">u2"), (minima(shingles(new)) >> np.uint64(48)).astype(">u2")
     head = minima(x[:shared])
     own = np.minimum(head, minima(x[shared:]))
     other = np.minimum(head, minima(shingles(new[shared:]))) if len(new) - shared >= SHINGLE else head
-    return (own >> np.uint64(32)).astype(">u4"), (other >> np.uint64(32)).astype(">u4")
+    return (own >> np.uint64(48)).astype(">u2"), (other >> np.uint64(48)).astype(">u2")
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -99,12 +99,12 @@ def _row(doc_id, text: str, after: str, after_signature: np.ndarray | None = Non
     own, other = signatures(text, after)
     following = signature(after) if after_signature is None else after_signature
     return {
-        "doc_id": doc_id, "n_chars": len(text), "edited_sha256": hashlib.sha256(edited(text, after).encode("utf-8", "surrogatepass")).hexdigest(),
-        "fingerprint": own.tobytes().hex(), "edited_fingerprint": other.tobytes().hex(), "near_edited": likeness(own, other), "near_next": likeness(own, following),
+        "doc_id": doc_id, "n_chars": len(text), "edited_sha256": hashlib.sha256(edited(text, after).encode("utf-8", "surrogatepass")).digest(),
+        "fingerprint": own.tobytes(), "edited_fingerprint": other.tobytes(), "near_edited": likeness(own, other), "near_next": likeness(own, following),
     }
 
 
-_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_RESULT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 _BLANK = dict.fromkeys(("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"))
 
 
@@ -145,7 +145,8 @@ def with_next(docs: DataFrame) -> DataFrame:
             yield _row(r["doc_id"], r["last"], r["after"])
 
     names = [c.split()[0] for c in _RESULT.split(", ")]
-    return done.where("part is null").select(*names).unionByName(map_rows(joined, finish, _RESULT, 64))
+    out = done.where("part is null").select(*names).unionByName(map_rows(joined, finish, _RESULT, 64))
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
 
 
 def near_pairs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

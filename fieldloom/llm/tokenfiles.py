@@ -40,7 +40,7 @@ END_ID = 1
 SKIP_INDEX, SKIP_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Frames that one reading task takes at a time.
 SPAN = 2048
-_KEPT_WORDS = 300_000
+_KEPT_WORDS = 500_000
 
 
 class _Words(dict):
@@ -70,6 +70,16 @@ class _Words(dict):
         return out
 
 
+_WORDS: dict[str | None, _Words] = {}
+
+
+def words_of(path: str | None) -> _Words:
+    """One a worker process, whichever tasks it runs."""
+    if path not in _WORDS:
+        _WORDS[path] = _Words(path)
+    return _WORDS[path]
+
+
 class FrameWriter:
     def __init__(self, sink):
         self.sink, self.sizes, self.docs = sink, array("I"), bytearray()
@@ -136,7 +146,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None) -> D
         first = next(rows, None)
         if first is None:
             return
-        words = _Words(tokenizer)
+        words = words_of(tokenizer)
         system, at = fs.FileSystem.from_uri(folder)
         system.create_dir(at, recursive=True)
         part = TaskContext.get().partitionId()
