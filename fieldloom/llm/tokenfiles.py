@@ -40,6 +40,7 @@ END_ID = 1
 SKIP_INDEX, SKIP_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Frames that one reading task takes at a time.
 SPAN = 2048
+MOST_TASKS = 20_000
 _KEPT_WORDS = 500_000
 
 
@@ -56,16 +57,24 @@ class _Words(dict):
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, word: bytes) -> list[int]:
-        got = self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
-        if len(word) <= 64:
-            if len(self) > _KEPT_WORDS:
-                self.clear()
-            self[word] = got
-        return got
+    def learn(self, words: list[bytes]) -> None:
+        """Encode the words that aren't known, in one call of the library, each by itself."""
+        new = [w for w in dict.fromkeys(words) if w not in self]
+        if not new:
+            return
+        if len(self) > _KEPT_WORDS:
+            self.clear()
+            new = list(dict.fromkeys(words))
+        got = self.tokenizer.encode([w.decode("utf-8", "surrogatepass") for w in new], is_pretokenized=True, add_special_tokens=False)
+        ids: list[list[int]] = [[] for _ in new]
+        for at, i in zip(got.word_ids, got.ids, strict=True):
+            ids[at].append(i)
+        self.update(zip(new, ids, strict=True))
 
     def ids(self, text: str | None) -> array:
-        out = array("I", chain.from_iterable(map(self.__getitem__, (text or "").encode("utf-8", "surrogatepass").split())))
+        words = (text or "").encode("utf-8", "surrogatepass").split()
+        self.learn(words)
+        out = array("I", chain.from_iterable(map(self.__getitem__, words)))
         out.append(END_ID)
         return out
 
@@ -180,7 +189,9 @@ def read_files(manifest: DataFrame) -> DataFrame:
                     got = reader.content(i)
                     yield {"doc_id": reader.doc_id(i), "start": r["file_start"] + reader.tokens[i], "n_tokens": len(got) // 4, "ids_crc32": zlib.crc32(got)}
 
-    return map_rows(spans.repartition("file", "at"), make, "doc_id long, start long, n_tokens long, ids_crc32 long", 2048)
+    # a count of its own: rows are a few bytes, so by size alone they would all be put into one task
+    tasks = manifest.agg(F.sum(F.ceil(F.col("n_docs") / SPAN))).first()[0] or 1
+    return map_rows(spans.repartition(int(min(tasks, MOST_TASKS)), "file", "at"), make, "doc_id long, start long, n_tokens long, ids_crc32 long", 2048)
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
