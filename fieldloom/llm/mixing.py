@@ -30,7 +30,7 @@ MOST_EPOCHS = 3
 def quality_weight(text: Column) -> Column:
     """In [0.5, 1.5]: 0.5 plus the share of a text that is not ASCII punctuation or digits; 0.5 for null and empty."""
     plain = F.length(F.regexp_replace(text, r"[!-@\[-`{-~]", ""))
-    return F.coalesce(F.lit(0.5) + plain / F.length(text), F.lit(0.5))
+    return F.coalesce(F.lit(0.5) + F.try_divide(plain, F.length(text)), F.lit(0.5))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
