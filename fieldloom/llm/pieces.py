@@ -64,6 +64,7 @@ class PieceModel:
         if any(SPACE in p.lstrip(SPACE) for p in self.ids) or "\n" in self.known:
             raise ValueError("pieces of this model cross word boundaries")
         self._pair: dict[tuple[str, str], bool] = {}
+        self._sound: dict[str, bool] = {}  # whether a piece's own merges give it; a piece of the file at most
         self._segment = _Cache(self._encode_segment)
         self._split = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+").findall
 
@@ -93,8 +94,12 @@ class PieceModel:
             return
         for end in range(start + 1, min(len(text), start + self.longest) + 1):
             part = text[start:end]
-            if part in self.ids and self.may_follow("", part):
-                yield part
+            if part in self.ids:
+                sound = self._sound.get(part)
+                if sound is None:
+                    sound = self._sound[part] = self.merge(part) == [part]
+                if sound or end == start + 1:
+                    yield part
             elif end == start + 1:
                 yield part
 
