@@ -36,6 +36,7 @@ CHUNK = 1 << 13
 #: A cut moves right to the next word boundary if there is one so near.
 SNAP = 256
 _CACHE = 400_000
+_PAIRS = 1_000_000
 
 
 class PieceModel:
@@ -63,45 +64,53 @@ class PieceModel:
         self.known = set(chain.from_iterable(self.ids))
         if any(SPACE in p.lstrip(SPACE) for p in self.ids) or "\n" in self.known:
             raise ValueError("pieces of this model cross word boundaries")
-        self._pair: dict[tuple[str, str], bool] = {}
-        self._sound: dict[str, bool] = {}  # whether a piece's own merges give it; a piece of the file at most
+        self._pair: dict[int, bool] = {}
+        #: Ids of the pieces that their own merges give; no encoding holds another.
+        self.sound = {p: i for p, i in self.ids.items() if self.merge(p) == [p]}
+        self._name = {i: p for p, i in self.sound.items()}
+        #: Length of the longest sound piece, by its first three characters.
+        self._reach: dict[str, int] = {}
+        for p in self.sound:
+            self._reach[p[:3]] = max(self._reach.get(p[:3], 0), len(p))
         self._segment = _Cache(self._encode_segment)
         self._split = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+").findall
 
     def merge(self, text: str) -> list[str]:
         """The merges themselves, for a few characters: best score first, then leftmost."""
-        parts = list(text)
-        while True:
-            best = max(((self.score[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.score), default=None)
-            if best is None:
-                return parts
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        parts, score, none = list(text), self.score.get, -np.inf
+        gains = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        while gains and (best := max(gains)) > none:
+            i = gains.index(best)
+            parts[i] += parts.pop(i + 1)
+            del gains[i]
+            if i < len(gains):
+                gains[i] = score(parts[i] + parts[i + 1], none)
+            if i:
+                gains[i - 1] = score(parts[i - 1] + parts[i], none)
+        return parts
 
     def may_follow(self, a: str, b: str) -> bool:
-        """Weight 0 rather than minus infinity for the step from a to b; a == "" is a start."""
-        got = self._pair.get((a, b))
-        if got is None:
-            if len(self._pair) > _CACHE:
-                self._pair.clear()
-            got = self._pair[a, b] = self.merge(a + b) == ([a, b] if a else [b])
+        """Weight 0 rather than minus infinity for the step from a to b, each sound or a character of no piece; a == "" is a start."""
+        i, j = self.sound.get(a), self.sound.get(b)
+        if i is None or j is None:  # nothing merges with a start or with a character of no piece
+            return True
+        got = self._pair.get(i * len(self.raw) + j)
+        return self._fits(i, j) if got is None else got
+
+    def _fits(self, i: int, j: int) -> bool:
+        if len(self._pair) > _PAIRS:
+            self._pair.clear()
+        a, b = self._name[i], self._name[j]
+        got = self._pair[i * len(self.raw) + j] = self.merge(a + b) == [a, b]
         return got
 
     def _pieces_at(self, text: str, start: int):
         """Pieces of text from start on; a character in no piece stands for itself."""
-        if text[start] not in self.known:
-            yield text[start]
-            return
-        for end in range(start + 1, min(len(text), start + self.longest) + 1):
-            part = text[start:end]
-            if part in self.ids:
-                sound = self._sound.get(part)
-                if sound is None:
-                    sound = self._sound[part] = self.merge(part) == [part]
-                if sound or end == start + 1:
-                    yield part
-            elif end == start + 1:
-                yield part
+        yield text[start]
+        if text[start] in self.known:
+            for end in range(start + 2, min(len(text), start + self.longest) + 1):
+                if text[start:end] in self.sound:
+                    yield text[start:end]
 
     def paths(self, text: str, at: int, last: str, upto: int) -> list[str | None]:
         """For each end position, the last piece of the weight-0 path that begins after `last` (which ends at `at`).
@@ -137,7 +146,38 @@ class PieceModel:
         return out
 
     def _encode_segment(self, segment: str) -> list[int]:
-        return self.to_ids(self.trace(self.paths(segment, 0, "", len(segment)), 0, len(segment)))
+        """Ids of the path of weight 0 through a segment, depth first and longest piece first.
+
+        All that leads to a position with weight 0 ends in the same piece, so no position is tried twice.
+        """
+        n, size, sound, pair, reach = len(segment), len(self.raw), self.sound.get, self._pair.get, self._reach.get
+        tried, ends, out, at, last = bytearray(n + 1), [0], [], 0, -1
+        upto = min(n, reach(segment[:3], 2))
+        while at < n:
+            for end in range(upto, at, -1):
+                if tried[end]:
+                    continue
+                i = sound(segment[at:end])
+                if i is None:
+                    if end > at + 1:
+                        continue
+                    i = -1  # a character of no piece
+                elif last >= 0:
+                    fits = pair(last * size + i)
+                    if not (self._fits(last, i) if fits is None else fits):
+                        continue
+                tried[end] = 1
+                ends.append(end)
+                out.append(i)
+                at, last, upto = end, i, min(n, end + reach(segment[end : end + 3], 2))
+                break
+            else:  # a dead end: the next shorter piece in place of the last one
+                upto = ends.pop() - 1
+                out.pop()
+                at, last = ends[-1], out[-1] if out else -1
+        if -1 in out:
+            return self.to_ids([segment[a:b] for a, b in zip(ends, ends[1:])])
+        return out
 
     def encode_words(self, normal: str) -> list[int]:
         """Ids of normalised text that starts and ends on a word boundary."""
