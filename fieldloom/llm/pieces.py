@@ -68,6 +68,7 @@ class PieceModel:
         #: Ids of the pieces that their own merges give; no encoding holds another.
         self.sound = {p: i for p, i in self.ids.items() if self.merge(p) == [p]}
         self._name = {i: p for p, i in self.sound.items()}
+        self._made: dict[int, dict[int, tuple[list[float], list[str]]]] = {0: {}, -1: {}}
         #: Length of the longest sound piece, by its first three characters.
         self._reach: dict[str, int] = {}
         for p in self.sound:
@@ -97,11 +98,37 @@ class PieceModel:
         got = self._pair.get(i * len(self.raw) + j)
         return self._fits(i, j) if got is None else got
 
+    def _steps(self, i: int, end: int) -> tuple[list[float], list[str]]:
+        """Scores of the merges that make piece i, in order, and its first (0) or last (-1) part before each and after all."""
+        got = self._made[end].get(i)
+        if got is None:
+            parts, score, none = list(self._name[i]), self.score.get, -np.inf
+            gains, edge = [], [parts[end]]
+            while len(parts) > 1:
+                now = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+                at = now.index(max(now))
+                gains.append(now[at])
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                edge.append(parts[end])
+            got = self._made[end][i] = ([*gains, none], edge)
+        return got
+
     def _fits(self, i: int, j: int) -> bool:
+        """Whether the merges of i and j, side by side and best first, end before one across their border is best."""
         if len(self._pair) > _PAIRS:
             self._pair.clear()
-        a, b = self._name[i], self._name[j]
-        got = self._pair[i * len(self.raw) + j] = self.merge(a + b) == [a, b]
+        (left, lasts), (right, firsts), p, q, none = self._steps(i, -1), self._steps(j, 0), 0, 0, -np.inf
+        while True:
+            across = self.score.get(lasts[p] + firsts[q], none)
+            if left[p] >= across and left[p] >= right[q]:  # leftmost of equals
+                if left[p] == none:
+                    break
+                p += 1
+            elif right[q] > across:
+                q += 1
+            else:
+                break
+        got = self._pair[i * len(self.raw) + j] = left[p] == right[q] == across
         return got
 
     def _pieces_at(self, text: str, start: int):
