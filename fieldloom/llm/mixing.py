@@ -93,8 +93,10 @@ def mix(docs: DataFrame) -> DataFrame:
         .where((F.col("upto") > F.col("budget")) & (F.col("upto") - F.col("bin_size") <= F.col("budget")) & (F.col("bin_size") > 0))
         .select("key", F.col("bin").alias("cut_bin"), (F.col("upto") - F.col("bin_size")).alias("cut_before"))
     )
+    # written, so its size is measured: a row a source, which Spark broadcasts if small, and then no source meets in one task
+    goal = materialise(goal.join(cut, "key", "left").drop("key"), "cuts").withColumn("key", F.struct("source"))
     rows = rows.withColumn("key", F.struct("source")).drop("source")
-    rows = rows.join(goal.join(cut, "key", "left"), "key")
+    rows = rows.join(goal, "key")
     inside = W.partitionBy("source", "bin").orderBy("sort_key", "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
     edge = rows.where("bin = cut_bin").withColumn("rest", F.col("budget") - F.col("cut_before") - F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rest = rows.where("cut_bin is null or bin <> cut_bin").withColumn("rest", F.when(F.col("cut_bin").isNull(), 0).when(F.col("bin") < F.col("cut_bin"), F.col("size")).otherwise(0).cast("long"))
