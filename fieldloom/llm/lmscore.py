@@ -2,14 +2,15 @@
 
 A small network predicts every word from the two words before and the two after it. A document's score
 is the sum of the conditional log-probabilities of all its words. Words are counted over the whole
-corpus; the KEPT most frequent have ids of their own, all others share BUCKETS hashed ids, spread evenly
-over the distinct words of a bucket. The softmax has two levels (a class, then a word of the class), so
+corpus; the KEPT most frequent have ids of their own, all others share BUCKETS hashed ids. A hashed id's
+probability is dealt out by the counts of its words, so that every word's count reaches the score: each
+document's other words are joined with the table of all counts, in Spark. The softmax has two levels (a class, then a word of the class), so
 a word costs 2 * SIDE outputs, not SIDE squared.
 
 Training runs over every word of the corpus, once: each partition takes gradient steps over its own
 texts from a common start, and the partitions' parameters are averaged, weighted by their words, in
 rounds of at most FAN_IN at a time, so what is gathered grows with the corpus and no task or driver
-holds more than FAN_IN slices. The vocabulary (KEPT words) and one set of parameters (under 1 MB) are
+holds more than FAN_IN slices. The vocabulary (KEPT words and two numbers a bucket) and one set of parameters (under 1 MB) are
 all that reaches the driver.
 
 Defined cases: null and empty texts and texts without words have 0 words, a log-probability of 0 and a
@@ -20,6 +21,7 @@ columns are ignored.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -63,12 +65,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Ids of words, and what a hashed id's probability is divided by."""
+    """Ids of words, and what a hashed id's probability is divided by: its distinct words, or its places."""
 
-    def __init__(self, words: list[bytes], bucket_words: np.ndarray):
+    def __init__(self, words: list[bytes], bucket_words: np.ndarray, bucket_places: np.ndarray):
         self.ids = {w: i for i, w in enumerate(words)}
-        self.log_share = np.zeros(SIDE * SIDE)
+        self.log_share, self.log_places = np.zeros(SIDE * SIDE), np.zeros(SIDE * SIDE)
         self.log_share[KEPT : KEPT + BUCKETS] = np.log(np.maximum(1, bucket_words))
+        self.log_places[KEPT : KEPT + BUCKETS] = np.log(np.maximum(1, bucket_places))
 
     def encode(self, text: str | None) -> list[int]:
         get, crc = self.ids.get, zlib.crc32
@@ -76,14 +79,15 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """KEPT words and BUCKETS numbers are collected, whatever the corpus."""
-    kept = [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(KEPT).collect()]
-    seen = np.zeros(BUCKETS)
-    for r in counts.groupBy((F.crc32("word") % BUCKETS).alias("bucket")).count().collect():
-        seen[r.bucket] = r["count"]
-    for w in kept:
+    """KEPT words and twice BUCKETS numbers are collected; all other counts stay in the table, for score()."""
+    kept = {bytes(r.word): r.n for r in counts.orderBy(F.desc("n"), "word").limit(KEPT).collect()}
+    seen, places = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for r in counts.groupBy((F.crc32("word") % BUCKETS).alias("bucket")).agg(F.count("*").alias("words"), F.sum("n").alias("places")).collect():
+        seen[r.bucket], places[r.bucket] = r.words, r.places
+    for w, n in kept.items():
         seen[zlib.crc32(w) % BUCKETS] -= 1
-    return Vocabulary(kept, seen)
+        places[zlib.crc32(w) % BUCKETS] -= n
+    return Vocabulary(list(kept), seen, places)
 
 
 def start_parameters() -> dict[str, np.ndarray]:
@@ -227,13 +231,31 @@ def train(docs: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
     return unflat(np.concatenate([np.frombuffer(r["values"]) / r["words"] for r in rows]))
 
 
-def score(docs: DataFrame, vocab: Vocabulary, parameters: dict[str, np.ndarray]) -> DataFrame:
-    """(doc_id, text) to (doc_id, n_words, log_prob, mean_log_prob)."""
+_SCORES = "doc_id long, n_words long, log_prob double, mean_log_prob double"
+
+
+def score(docs: DataFrame, vocab: Vocabulary, parameters: dict[str, np.ndarray], counts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text) to (doc_id, n_words, log_prob, mean_log_prob).
+
+    counts, the table that vocab was made of, says how a hashed id's probability is dealt out to its words; without it
+    they have equal shares. A word that counts lacks counts as seen once.
+    """
     known = docs.sparkSession.sparkContext.broadcast((vocab, parameters))
+    by_count = counts is not None
 
     def make(rows):
+        from pyspark import TaskContext
+
         vocab, p = known.value
-        for keys, lengths, ids in _batches(rows, vocab, 1 << 15):
+        share = vocab.log_places if by_count else vocab.log_share
+        row, texts = TaskContext.get().partitionId() << 40, []
+
+        def noted():
+            for r in rows:
+                texts.append(r["text"])
+                yield r
+
+        for keys, lengths, ids in _batches(noted(), vocab, 1 << 15):
             target = ids[WINDOW:-WINDOW]
             logs = np.zeros(len(target))
             for at in range(0, len(target), 1 << 15):
@@ -242,18 +264,35 @@ def score(docs: DataFrame, vocab: Vocabulary, parameters: dict[str, np.ndarray])
                 order = np.argsort(part // SIDE, kind="stable")
                 got = np.empty(len(part))
                 got[order] = forward(p, context[order], part[order])[0]
-                logs[at : at + len(part)] = np.where(part == PAD, 0, got - vocab.log_share[part])
+                logs[at : at + len(part)] = np.where(part == PAD, 0, got - share[part])
             sums = np.r_[0, np.cumsum(logs)]
             at = 0
-            for key, n in zip(keys, lengths, strict=True):
+            for key, n, text in zip(keys, lengths, texts, strict=True):
                 total = float(sums[at + n] - sums[at]) if n else 0.0
-                yield {"doc_id": key, "n_words": n, "log_prob": total, "mean_log_prob": total / n if n else None}
+                out = {"doc_id": key, "n_words": n, "log_prob": total, "mean_log_prob": total / n if n else None}
+                if by_count:
+                    others = Counter(w for w in words_of(text) if w not in vocab.ids)
+                    out |= {"row": row, "words": list(others), "times": list(others.values())}
+                    row += 1
+                yield out
                 at += n + WINDOW
+            texts.clear()
 
-    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, n_words long, log_prob double, mean_log_prob double")
+    if not by_count:
+        return map_rows(docs.select("doc_id", "text"), make, _SCORES)
+    # written, so that a row's number is the same on both sides of the join
+    scored = materialise(map_rows(docs.select("doc_id", "text"), make, f"{_SCORES}, row long, words array<binary>, times array<int>"), "scored")
+    others = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    # a count of one adds the logarithm of one
+    dealt = others.join(counts.where("n > 1").select("word", F.log("n").alias("log_n")), "word").groupBy("row").agg(F.sum(F.col("times") * F.col("log_n")).alias("more"))
+    log_prob = F.col("log_prob") + F.coalesce("more", F.lit(0.0))
+    return scored.select("row", "doc_id", "n_words", "log_prob").join(dealt, "row", "left").select(
+        "doc_id", "n_words", log_prob.alias("log_prob"), F.when(F.col("n_words") > 0, log_prob / F.col("n_words")).alias("mean_log_prob")
+    )
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    vocab = vocabulary(materialise(word_counts(docs), "words"))
-    return score(docs, vocab, train(docs, vocab))
+    counts = materialise(word_counts(docs), "words")
+    vocab = vocabulary(counts)
+    return score(docs, vocab, train(docs, vocab), counts)

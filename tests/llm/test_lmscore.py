@@ -77,3 +77,36 @@ def test_counts_are_whole(spark, monkeypatch):
     rows = [(i, t) for i, t in corpus(random.Random(1), 30)]
     got = {bytes(r.word).decode(): r.n for r in lm.word_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == Counter(w for _, t in rows for w in t.split())
+
+
+def test_every_count_reaches_the_score(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(1500) for _ in range(1 + 1500 // (i + 20))]
+    rng.shuffle(words)
+    texts = [" ".join(words[i : i + 200]) for i in range(0, len(words), 200)] + ["w900 w1499 w1499 w100", None, ""]
+    counts_of = Counter(w.encode() for t in texts for w in (t or "").split())
+    kept = [w for w, _ in sorted(counts_of.items(), key=lambda x: (-x[1], x[0]))[: lm.KEPT]]
+    vocab = lm.Vocabulary(kept, np.zeros(lm.BUCKETS), np.zeros(lm.BUCKETS))
+    places = Counter()
+    for w, n in counts_of.items():
+        places[vocab.encode(w.decode())[0]] += n
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    counts, p = lm.word_counts(df), lm.start_parameters()
+    got = {r.doc_id: r for r in lm.score(df, lm.vocabulary(counts), p, counts).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):  # brute force: word by word
+        ids, want = np.array([lm.PAD] * 2 + vocab.encode(t) + [lm.PAD] * 2), 0.0
+        for k, w in enumerate(lm.words_of(t)):
+            want += lm.forward(p, lm.windows(ids)[k : k + 1], ids[k + 2 : k + 3])[0][0] + np.log(counts_of[w] / places[ids[k + 2]])
+        assert got[i].n_words == len(lm.words_of(t)) and abs(got[i].log_prob - want) < 1e-2
+        assert got[i].mean_log_prob is None if not got[i].n_words else abs(got[i].mean_log_prob * got[i].n_words - got[i].log_prob) < 1e-9
+    # one word seen often and one seen once, of the same hashed id
+    shared = {}
+    for w in counts_of:
+        if vocab.encode(w.decode())[0] >= lm.KEPT:
+            shared.setdefault(vocab.encode(w.decode())[0], []).append(w)
+    a, b = next((x, y) for ws in shared.values() for x in ws for y in ws if counts_of[x] > counts_of[y])
+    pair = spark.createDataFrame([(1, a.decode()), (None, b.decode()), (None, b.decode())], "doc_id long, text string")
+    rows = sorted(lm.score(pair, lm.vocabulary(counts), p, counts).collect(), key=lambda r: r.log_prob)
+    assert [r.doc_id for r in rows] == [None, None, 1]
+    assert abs(rows[2].log_prob - rows[0].log_prob - np.log(counts_of[a] / counts_of[b])) < 1e-4
