@@ -1,11 +1,12 @@
 """License scans: Dice coefficient over word bigrams between normalised text and licence templates.
 
 A text is normalised to lower-case words of letters and digits; its word bigrams, as a multiset, are
-compared with those of each template. The whole text, each line, and each window of a template's own
-length are compared. Two size bounds prune templates first: Dice t between sizes a and b needs
-2 min(a, b) >= t (a + b); and a window needs t (a + b) / 2 bigrams in common, so a text that holds fewer
-of a template's bigrams, or holds them too thinly by a running sum, has no match. Both are necessary
-conditions, so nothing is lost by them.
+compared with those of each template. Every window of a text is compared, of any length and over any
+lines. Dice t between sizes a and b needs 2 min(a, b) >= t (a + b), which bounds the lengths; and a window
+that begins or ends with a bigram of no use to the template is never better than the one without it, so
+windows between bigrams of the template are all. A sliding window of the greatest length says how many
+bigrams any window that begins at a place can have in common; places with too few for t, or for a better
+match than the best so far, are passed over. Nothing is lost by that.
 
 Each template has the best match in a text: the highest Dice coefficient of THRESHOLD or more, at the
 first place. Defined cases: null and empty texts match nothing; ties go to the first place, then to the
@@ -118,7 +119,10 @@ class Scanner:
         return 2 * min(a, b) >= self.threshold * (a + b)
 
     def scan(self, text: str | None) -> list[dict]:
-        """Best match of each template with Dice of threshold or more: licence, dice, place (word number), length in words."""
+        """Best match of each template with Dice of threshold or more: licence, dice, place (word number), length in words.
+
+        Only of the whole text, lines and windows of a template's own length; the query runs search().
+        """
         lines = normal_lines(text or "")
         get = self.words.get
         ids = [get(w, 0) for line in lines for w in line]  # 0: a word of no template
@@ -158,13 +162,61 @@ class Scanner:
         return out
 
 
+    def search(self, text: str | None) -> list[dict]:
+        """As scan(), over windows of every length."""
+        ids = [self.words.get(w, 0) for line in normal_lines(text or "") for w in line]
+        hits: dict[int, list[int]] = {}
+        for i, (a, b) in enumerate(zip(ids, ids[1:])):
+            if a and b:
+                for t in self.holders.get((a, b), ()):
+                    hits.setdefault(t, []).append(i)
+        out = []
+        for t in sorted(hits):
+            if len(hits[t]) >= self.sizes[t] * self.threshold / (2 - self.threshold) - 1e-9:
+                best = self._best_window([(ids[i], ids[i + 1]) for i in hits[t]], hits[t], t)
+                if best:
+                    out.append({"licence": self.names[t], "dice": best[0], "place": best[1], "length": best[2]})
+        return out
+
+    def _best_window(self, grams: list[tuple[int, int]], where: list[int], t: int) -> tuple | None:
+        """(dice, place, length in words) of the best window; grams of the template at the places where, in order."""
+        size, most = self.sizes[t], self.grams[t]
+        longest = int(size * (2 - self.threshold) / self.threshold + 1e-9)
+        inside: Counter = Counter()
+        common, end, best = 0, 0, None
+        for start, first in enumerate(where):
+            while end < len(where) and where[end] - first < longest:
+                g = grams[end]
+                inside[g] += 1
+                common += inside[g] <= most[g]
+                end += 1
+            # a window from here has at most `common` in common, and is as long at least
+            bound = 2 * common / (common + size)
+            if bound >= self.threshold and (best is None or bound > best[0]):
+                seen: Counter = Counter()
+                both = 0
+                for g, at in zip(grams[start:end], where[start:end]):
+                    seen[g] += 1
+                    if seen[g] > most[g]:
+                        continue  # no gain
+                    both += 1
+                    u = at - first + 1
+                    d = 2 * both / (u + size)
+                    if d >= self.threshold and (best is None or d > best[0]):
+                        best = (d, first, u + 1)
+            g = grams[start]
+            common -= inside[g] <= most[g]
+            inside[g] -= 1
+        return best
+
+
 def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, text) to (doc_id, licence, dice, matches): the best match, null without any, and all of them."""
 
     def make(rows):
         scanner = Scanner(threshold=threshold)
         for r in rows:
-            found = scanner.scan(r["text"])
+            found = scanner.search(r["text"])
             best = max(found, key=lambda m: m["dice"], default={"licence": None, "dice": None})
             yield {"doc_id": r["doc_id"], "licence": best["licence"], "dice": best["dice"], "matches": found}
 
