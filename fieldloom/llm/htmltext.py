@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import map_rows, table
 
 _SET = frozenset
-SILENT = _SET("script style template noscript head title svg math iframe object embed applet audio video canvas select datalist textarea button option".split())
+SILENT = _SET("script style template noscript head title svg math iframe object applet audio video canvas select datalist textarea button option".split())
 VOID = _SET("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = _SET(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -149,7 +149,7 @@ class _Lines(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag in ("script", "style"):
+        if tag in SILENT:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):

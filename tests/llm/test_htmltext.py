@@ -49,3 +49,8 @@ def test_operator(spark):
     got = [(r.page_id, r.url, r.text, r.n_chars) for r in ht.extract(df).collect()]
     assert sorted(got, key=str) == sorted([(1, "u", "x", 1), (None, None, "", 0), (1, "u", "x", 1)], key=str)
     assert ht.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("odd", ["<embed src=x>", "<embed src=x />", "<svg/>", "<template/>", "<iframe src=x />", "<svg><path/><svg/></svg>", "<object><embed src=x></object>", "<video/>"])
+def test_void_and_self_closed_elements_end_at_once(odd):
+    assert ht.main_text(f"<article><p>a</p>{odd}<p>rest of article</p></article>") == "a rest of article"
