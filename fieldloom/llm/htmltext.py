@@ -9,7 +9,8 @@ that holds nearly all of their characters. The region's unmarked lines are the t
 included, in page order.
 
 Defined cases: null and empty pages and pages without text give an empty string; unclosed and stray
-tags are taken as browsers do, roughly; if names of containers mark everything, only kinds count;
+tags are taken as browsers do, roughly; a form or a name that marks most of a page marks nothing; if
+forms and names mark nearly everything, only other kinds and comments count;
 repeated rows and null ids are rows of their own; an empty table gives an empty result; extra columns
 are ignored.
 """
@@ -33,6 +34,8 @@ BLOCK = _SET(
 )
 #: Containers that are no article by kind; header only outside one.
 OUTSIDE = _SET("nav footer aside form header menu dialog fieldset".split())
+#: Of these, what a page's text can be wrapped in.
+WRAPS = _SET("form fieldset".split())
 ROLES = _SET("navigation banner contentinfo complementary search form menu menubar toolbar dialog alertdialog alert".split())
 #: Words of class and id names that mark a container.
 NAMES = _SET(
@@ -47,12 +50,15 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td
 
 
 class _Node:
-    """An open element: whether its kind or a name marks it (or one around it), and whether it holds comments."""
+    """An open element: whether its kind or a name marks it (or one around it), and whether it holds comments.
 
-    __slots__ = ("tag", "parent", "depth", "kind", "name", "comment")
+    soft: the form, fieldset or name that marks lies on this very element, so a page's text can be wrapped in it.
+    """
 
-    def __init__(self, tag, parent, kind, name, comment=False):
-        self.tag, self.parent, self.kind, self.name, self.comment = tag, parent, kind, name, comment
+    __slots__ = ("tag", "parent", "depth", "kind", "name", "comment", "soft", "hard")
+
+    def __init__(self, tag, parent, kind, name, comment=False, soft=False, hard=False):
+        self.tag, self.parent, self.kind, self.name, self.comment, self.soft, self.hard = tag, parent, kind, name, comment, soft, hard
         self.depth = parent.depth + 1 if parent else 0
 
 
@@ -111,21 +117,26 @@ class _Lines(HTMLParser):
     def open(self, tag, attrs):
         a = {k: (v or "") for k, v in attrs}
         up = self.node
-        kind, name = up.kind, up.name
+        kind, name, hard, soft = up.kind, up.name, up.hard, False
         words = set(re.split(r"[^a-z0-9]+", f"{a.get('class', '')} {a.get('id', '')}".lower()))
         whole = set(f"{a.get('class', '')} {a.get('id', '')}".lower().split())
         if tag in ("article", "main"):
             # an article that begins in a menu, header or form that was never closed; but comments can be articles, too
             name = up.comment or bool(words & COMMENTS)
             kind = kind and up.comment
+            hard = up.comment or name
         elif tag not in ("html", "body"):
             if tag in OUTSIDE and not (tag == "header" and self.within("article", "main")) or a.get("role", "").lower() in ROLES:
                 kind = True
+                soft = tag in WRAPS and a.get("role", "form").lower() == "form" or tag not in OUTSIDE and a["role"].lower() == "form"
+                hard = hard or not soft
             if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "").lower()):
-                kind = True
+                kind = hard = True
             if words & NAMES or whole & WHOLE_NAMES:
                 name = True
-        self.node = _Node(tag, up, kind, name, up.comment or bool(words & COMMENTS) and tag not in ("html", "body"))
+                soft = soft or not words & COMMENTS
+                hard = hard or bool(words & COMMENTS)
+        self.node = _Node(tag, up, kind, name, up.comment or bool(words & COMMENTS) and tag not in ("html", "body"), soft, hard)
 
     def within(self, *tags):
         n = self.node
@@ -234,11 +245,49 @@ def _inside(node: _Node, top: _Node) -> bool:
     return False
 
 
+def unmarked(every: list[Line]) -> list[Line]:
+    """The lines that no container marks.
+
+    A form or named wrapper with most of the text that nothing else marks is no mark. If a tenth of that text or less
+    is left, and no article or main element says that this is all, forms and names count for nothing.
+    """
+    able = [x for x in every if not x.node.hard]
+    total = sum(len(x.text) for x in able)
+    mass: dict[_Node, int] = {}
+    for x in able:
+        n = x.node
+        while n is not None and n.tag not in ("article", "main"):
+            if n.soft:
+                mass[n] = mass.get(n, 0) + len(x.text)
+            n = n.parent
+    wrappers = {n for n, m in mass.items() if m * 2 > total}
+
+    def marked(n: _Node) -> bool:
+        while n is not None and (n.kind or n.name):
+            if n.soft and n not in wrappers:
+                return True
+            if n.tag in ("article", "main"):
+                return False
+            n = n.parent
+        return False
+
+    lines = [x for x in able if not marked(x.node)]
+    if sum(len(x.text) for x in lines) * 10 <= total and not any(_declared(x.node) for x in lines):
+        lines = able
+    return lines or [x for x in every if not x.node.kind]
+
+
+def _declared(node: _Node | None) -> bool:
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.parent
+    return node is not None
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     every = lines_of(html)
-    lines = [x for x in every if not (x.node.kind or x.node.name)] or [x for x in every if not x.node.kind]
+    lines = unmarked(every)
     top = region(lines, content_lines(lines))
     return " ".join(x.text for x in lines if top is None or _inside(x.node, top))
 

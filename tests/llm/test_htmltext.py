@@ -54,3 +54,33 @@ def test_operator(spark):
 @pytest.mark.parametrize("odd", ["<embed src=x>", "<embed src=x />", "<svg/>", "<template/>", "<iframe src=x />", "<svg><path/><svg/></svg>", "<object><embed src=x></object>", "<video/>"])
 def test_void_and_self_closed_elements_end_at_once(odd):
     assert ht.main_text(f"<article><p>a</p>{odd}<p>rest of article</p></article>") == "a rest of article"
+
+
+TEXT = "".join(f"<p>Paragraph {i} of a page with a good deal of text in it, as pages have.</p>" for i in range(12))
+ALL = " ".join(f"Paragraph {i} of a page with a good deal of text in it, as pages have." for i in range(12))
+
+
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        "<form action='/p.aspx'>{}</form>", "<form><fieldset><div>{}</div></fieldset></form>", "<div class='layout has-sidebar'>{}</div>",
+        "<div class='no-sidebar'><div id='with-nav'>{}</div></div><p>Unmarked line.</p>", "<div role='form'>{}</div>",
+        "<form><div class='has-sidebar'>{}<div class='sidebar'><p>Side text here.</p></div></div><nav>Menu</nav><div class='comments'><p>Reader says this.</p></div></form>",
+    ],
+)
+def test_wrapped_pages_stay_whole(wrap):
+    got = ht.main_text(f"<html><body><nav>Home</nav>{wrap.format(TEXT)}<footer>(c)</footer></body></html>")
+    assert got.startswith(ALL) and got[len(ALL) :] in ("", " Unmarked line.")
+
+
+def test_marks_leave_a_small_share():
+    parts = "".join(f"<div class='widget-{i}'>{TEXT}</div>" for i in range(3))
+    assert ht.main_text(f"<body><nav>Home</nav><p>One line.</p>{parts}<footer>(c)</footer></body>") == f"One line. {ALL} {ALL} {ALL}"
+
+
+def test_comments_and_sidebars_stay_marked():
+    short = "<p>The article of this page is short, but an article it is, of two lines at least.</p><p>The second line of it.</p>"
+    want = "The article of this page is short, but an article it is, of two lines at least. The second line of it."
+    assert ht.main_text(f"<body><div>{short}</div><div class='comments'>{TEXT}</div></body>") == want
+    assert ht.main_text(f"<body><article>{short}</article><div class='sidebar'><p>Side.</p></div><aside>{TEXT}</aside></body>") == want
+    assert ht.main_text(f"<body><form>{TEXT}<article>{TEXT}</article></form></body>").count(ALL) >= 1
