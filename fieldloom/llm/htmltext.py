@@ -4,8 +4,9 @@ The page runs once through the standard library's streaming parser. Its events g
 with the characters and tags in it and the containers around it. Lines in containers that are not
 article by kind or by name (menus, headers, footers, sidebars, notices, adverts, forms, comments) are
 marked. The text-to-tag ratios of the other lines are smoothed by a Gaussian and split by a threshold
-at one standard deviation; the lines above it show where the content region is: the innermost container
-that holds nearly all of their characters. The region's unmarked lines are the text, short ones
+at one standard deviation; the lines above it show where the content region is: an article or main
+element, or the innermost container that holds them all, and the containers around it that add only
+unmarked lines. The region's unmarked lines are the text, short ones
 included, in page order.
 
 Defined cases: null and empty pages and pages without text give an empty string; unclosed and stray
@@ -63,10 +64,10 @@ class _Node:
 
 
 class Line:
-    __slots__ = ("text", "tags", "node")
+    __slots__ = ("text", "tags", "node", "linked")
 
-    def __init__(self, text, tags, node):
-        self.text, self.tags, self.node = text, tags, node
+    def __init__(self, text, tags, node, linked=0):
+        self.text, self.tags, self.node, self.linked = text, tags, node, linked
 
 
 class _Lines(HTMLParser):
@@ -76,14 +77,14 @@ class _Lines(HTMLParser):
         self.root = self.node = _Node("", None, False, False)
         self.silent = 0
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
 
     def flush(self):
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append(Line(text, self.tags, self.node))
+            self.lines.append(Line(text, self.tags, self.node, self.linked))
             self.tags = 0
-        self.parts = []
+        self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
         if tag in SILENT:
@@ -180,6 +181,8 @@ class _Lines(HTMLParser):
     def handle_data(self, data):
         if not self.silent:
             self.parts.append(data)
+            if self.within("a"):
+                self.linked += len(data.strip())
 
 
 def lines_of(html: str) -> list[Line]:
@@ -212,8 +215,18 @@ def content_lines(lines: list[Line]) -> list[bool]:
     return [r >= bound for r in ratios]
 
 
+_PARTS = _SET(["", "html", "body", "main", "article", "section", "div", "td", "center"])
+_PAGE = _SET(["", "html", "body", "main", "article"])
+_HEADINGS = _SET("h1 h2 h3 h4 h5 h6 p hgroup".split())
+
+
 def region(lines: list[Line], picked: list[bool]) -> _Node | None:
-    """Innermost container with at least nine tenths of the picked lines' characters."""
+    """The container of the article.
+
+    An article or main element with nine tenths of the picked lines' characters says so itself; else it is the innermost
+    container with all of them. From there up while a parent adds nothing but lines that are no links: at the page's own
+    level or that of an article or main element, nothing but headings and paragraphs.
+    """
     mass: dict[int, int] = {}
     nodes: dict[int, _Node] = {}
     total = 0
@@ -225,16 +238,43 @@ def region(lines: list[Line], picked: list[bool]) -> _Node | None:
                 nodes[id(n)] = n
                 mass[id(n)] = mass.get(id(n), 0) + len(line.text)
                 n = n.parent
-    best = None
-    for key, n in nodes.items():
-        if n.tag in ("", "html", "body", "main", "article", "section", "div", "td", "center") and mass[key] * 10 >= total * 9:
-            if best is None or n.depth > best.depth:
-                best = n
-    # parts of one article: up to the article or main element around them
+
+    def innermost(share: int) -> _Node | None:
+        return max((n for key, n in nodes.items() if n.tag in _PARTS and mass[key] * 10 >= total * share), key=lambda n: n.depth, default=None)
+
+    best = innermost(9)
     n = best
     while n is not None and n.tag not in ("article", "main"):
         n = n.parent
-    return n if n is not None else best
+    best = n if n is not None else innermost(10)
+    return best and _widened(best, lines)
+
+
+def _widened(top: _Node, lines: list[Line]) -> _Node:
+    chain, n = [], top
+    while n is not None:
+        chain.append(n)
+        n = n.parent
+    level = {id(n): i for i, n in enumerate(chain)}
+    added: dict[int, list[Line]] = {}
+    for x in lines:
+        n = x.node
+        while id(n) not in level:
+            n = n.parent
+        added.setdefault(level[id(n)], []).append(x)
+    best = 0
+    for i in range(1, len(chain)):
+        for x in added.get(i, ()):
+            if x.linked * 2 > len(x.text):
+                return chain[best]
+            if chain[i].tag in _PAGE:
+                n = x.node
+                while n.parent and n.tag not in BLOCK:
+                    n = n.parent
+                if n.tag not in _HEADINGS:
+                    return chain[best]
+        best = i
+    return chain[best]
 
 
 def _inside(node: _Node, top: _Node) -> bool:

@@ -84,3 +84,25 @@ def test_comments_and_sidebars_stay_marked():
     assert ht.main_text(f"<body><div>{short}</div><div class='comments'>{TEXT}</div></body>") == want
     assert ht.main_text(f"<body><article>{short}</article><div class='sidebar'><p>Side.</p></div><aside>{TEXT}</aside></body>") == want
     assert ht.main_text(f"<body><form>{TEXT}<article>{TEXT}</article></form></body>").count(ALL) >= 1
+
+
+INTRO = "An intro of one line."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class=post><h1>Title</h1><div class=intro>{i}</div><div class=body>{t}</div></div>",
+        "<div class=post><h1>Title</h1><div class=intro><p>{i}</p></div><section><div class=body>{t}</div></section></div>",
+        "<h1>Title</h1><p>{i}</p><div class=body>{t}</div>", "<main><h1>Title</h1><p>{i}</p><article>{t}</article></main>",
+        "<div class=page><div class=links><a href=/>Home page</a> <a href=/b>Other page</a></div><div class=post><h1>Title</h1><div>{i}</div><div class=body>{t}</div></div></div>",
+    ],
+)
+def test_title_and_intro_outside_the_body(page):
+    got = ht.main_text(f"<html><body><nav>Home</nav>{page.format(i=INTRO, t=TEXT)}<footer>(c)</footer></body></html>")
+    assert got == f"Title {INTRO} {ALL}"
+
+
+def test_all_parts_of_the_upper_cluster():
+    parts = [f"<div class=part>{TEXT}</div>", "<div class=end><p>The end of the article, a long line of it that is a tenth of its text or less.</p></div>"]
+    assert ht.main_text(f"<body><div class=post>{''.join(parts)}</div></body>") == f"{ALL} The end of the article, a long line of it that is a tenth of its text or less."
