@@ -2,8 +2,10 @@
 
 A shingle's hash combines the hashes of its words (XXH64 of the ASCII-lower-cased bytes); PERMUTATIONS
 multiply-shift universal hashes of it are minimised over a text, and 16 bits of each minimum kept. The share of equal positions of two
-fingerprints estimates the Jaccard similarity of the shingle sets. near_pairs() joins bands of the
-signatures in Spark and verifies candidates by the Jaccard similarity itself.
+fingerprints estimates the Jaccard similarity of the shingle sets. near_groups() joins bands of the
+signatures in Spark and verifies candidates by the Jaccard similarity itself: within a bucket first with
+its representative, so a group of near copies is not compared pair by pair, then all pairs of a bucket
+that no link has brought together yet. near_pairs() lists the pairs themselves.
 
 Defined cases: null counts as empty; a text without words has the all-ones fingerprint; fewer than 5
 words are one shingle; rows with equal doc_id are ordered by text hash, null ids come first; the row
@@ -21,12 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialise, table
+from .common import components, map_rows, materialise, table
 
 SHINGLE = 5
 PERMUTATIONS = 128
 BANDS, ROWS = 25, 5
 SIMILARITY = 0.8
+#: Representatives that a bucket's members are linked with, one after another, before the exact pass.
+_ROUNDS = 3
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -100,12 +104,12 @@ def _row(doc_id, text: str, after: str, after_signature: np.ndarray | None = Non
     following = signature(after) if after_signature is None else after_signature
     return {
         "doc_id": doc_id, "n_chars": len(text), "edited_sha256": hashlib.sha256(edited(text, after).encode("utf-8", "surrogatepass")).digest(),
-        "fingerprint": own.tobytes(), "edited_fingerprint": other.tobytes(), "near_edited": likeness(own, other), "near_next": likeness(own, following),
+        "text_key": hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(), "fingerprint": own.tobytes(), "edited_fingerprint": other.tobytes(), "near_edited": likeness(own, other), "near_next": likeness(own, following),
     }
 
 
-_RESULT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
-_BLANK = dict.fromkeys(("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"))
+_RESULT = "doc_id long, n_chars long, text_key binary, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_BLANK = dict.fromkeys(("n_chars", "text_key", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -183,5 +187,69 @@ def near_pairs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return map_rows(both, verify, "doc_id long, other long, jaccard double", 64)
 
 
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose Jaccard similarity is SIMILARITY or more."""
+    both = pairs.distinct().join(sets.select(F.col("node").alias("a"), "grams"), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("others")), "b")
+
+    def verify(rows):
+        for r in rows:
+            x, y = np.frombuffer(r["grams"], "<u8"), np.frombuffer(r["others"], "<u8")
+            if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
+                continue
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            if common / (len(x) + len(y) - common) >= SIMILARITY:
+                yield {"a": r["a"], "b": r["b"]}
+
+    return map_rows(both, verify, "a long, b long", 64)
+
+
+def near_groups(prints: DataFrame, docs: DataFrame) -> DataFrame:
+    """(text_key, component_id, group_size) of the texts of docs, of which prints has doc_id, text_key and fingerprint.
+
+    A group is what links of SIMILARITY or more connect; copies of a text are of its group, and texts without words
+    are of no other's. component_id is its smallest id, null if it has none; group_size counts its rows.
+    """
+    one = prints.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first(F.unhex("fingerprint")).alias("fingerprint"))
+    texts = materialise(one.withColumn("node", F.monotonically_increasing_id()), "texts")
+    size = 2 * ROWS
+    values = F.array(*[F.xxhash64(F.substring("fingerprint", i * size + 1, size)) for i in range(BANDS)])
+    bands = texts.where(F.col("fingerprint") != F.unhex(F.lit("FF" * 2 * PERMUTATIONS))).select("node", F.posexplode(values).alias("band", "value"))
+    bucket = ["band", "value"]
+    shared = bands.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    members = materialise(bands.join(shared, bucket), "buckets")
+
+    def make(rows):
+        for r in rows:
+            yield {"node": r["node"], "grams": np.unique(shingles(words_of(r["text"]))).astype("<u8").tobytes()}
+
+    wanted = texts.join(members.select("node").distinct(), "node", "left_semi").select("node", "text_key")
+    keyed = docs.select(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("text_key"), "text")
+    candidates = keyed.join(wanted, "text_key").groupBy("node").agg(F.first("text").alias("text"))
+    sets = materialise(map_rows(candidates, make, "node long, grams binary", 64), "shingles")
+    rest, links = members, None
+    for _ in range(_ROUNDS):
+        reps = rest.groupBy(*bucket).agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+        pairs = rest.withColumnRenamed("node", "a").join(reps, bucket).where("a <> b")
+        found = materialise(_verified(pairs.select("a", "b"), sets), "links")
+        links = found if links is None else links.unionByName(found)
+        rest = materialise(pairs.join(found, ["a", "b"], "left_anti").select(F.col("a").alias("node"), *bucket), "rest")
+        if rest.isEmpty():
+            break
+    named = materialise(components(links), "components")
+    # exact for the rest: all pairs of a bucket that are not connected yet
+    labelled = members.join(named.withColumnRenamed("id", "node"), "node", "left").select("node", *bucket, F.coalesce("component_id", "node").alias("label"))
+    mixed = labelled.groupBy(*bucket).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select(*bucket)
+    apart = materialise(labelled.join(mixed, bucket), "apart")
+    pairs = apart.withColumnRenamed("node", "a").join(apart.select(*bucket, F.col("node").alias("b"), F.col("label").alias("other")), bucket)
+    more = materialise(_verified(pairs.where("a < b and label <> other").select("a", "b"), sets), "links")
+    if not more.isEmpty():
+        named = materialise(components(links.unionByName(more)), "components")
+    nodes = texts.join(named.withColumnRenamed("id", "node"), "node", "left").select("text_key", "doc_id", "n", F.coalesce("component_id", "node").alias("label"))
+    groups = nodes.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.sum("n").alias("group_size"))
+    return nodes.join(groups, "label").select("text_key", "component_id", "group_size")
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_next(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    prints = with_next(docs)
+    return prints.join(near_groups(prints, docs), "text_key").drop("text_key")

@@ -72,3 +72,41 @@ def test_near_pairs(spark):
     reps = [(i, grams(t)) for t, i in first.items() if t]
     want = {(a, b) for a, x in reps for b, y in reps if a < b and len(x & y) / len(x | y) >= 0.8}
     assert got == want
+
+
+def test_query_links_near_copies(spark, tmp_path):
+    rng, rows = random.Random(8), []
+    for g in range(6):
+        w = prose(rng, 120).split()
+        for k in range(12):
+            v = list(w)
+            for j in range(k):
+                v[(j * 7 + g) % 120] = f"zz{j}"
+            rows.append((1000 * (k + 1) + g, " ".join(v)))  # near copies are never the next document
+    lone = prose(rng, 60)
+    rows += [(9_000_001 + i, t) for i, t in rows[:4]] + [(None, rows[7][1]), (None, lone), (None, lone), (None, " "), (None, None), (3, ""), (4, "one"), (5, "one")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    texts = sorted({t or "" for _, t in rows})
+    sets, parent = [grams(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(find(texts.index(t or "")), []).append((i, len(t or "")))
+    want = []
+    for group in groups.values():
+        low = min((i for i, _ in group if i is not None), default=None)
+        want += [(str(i), n, str(low), len(group)) for i, n in group]
+    got = mh.op6_fingerprints(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.n_chars, str(r.component_id), r.group_size) for r in got) == sorted(want)
+    assert max(n for *_, n in want) > 4
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert mh.op6_fingerprints(spark, f"{tmp_path}/none").count() == 0
