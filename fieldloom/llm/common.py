@@ -18,13 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only where it is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder named by spark.checkpoint.dir or setCheckpointDir(); a folder of our own only on a local master.
+
+    Each run's tables lie in <folder>/fieldloom and are no longer needed once its result is written: clear that folder
+    between runs.
+    """
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    own = getattr(spark.sparkContext, "_fieldloom_scratch", None)
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    own = getattr(context, "_fieldloom_scratch", None)
     if own is None:
-        own = spark.sparkContext._fieldloom_scratch = "file://" + tempfile.mkdtemp(prefix="fieldloom-")
+        own = context._fieldloom_scratch = "file://" + tempfile.mkdtemp(prefix="fieldloom-")
     return own
 
 
@@ -48,21 +55,21 @@ def discard(df: DataFrame) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def map_rows(df: DataFrame, make, schema: str, batch_rows: int = 256) -> DataFrame:
+def map_rows(df: DataFrame, make, schema: str, batch_rows: int = 256, arrays: tuple[str, ...] = ()) -> DataFrame:
     """Run make(iterator of row dicts) -> iterator of row dicts on each partition, through Arrow.
 
-    batch_rows bounds what an Arrow batch holds: texts have no size limit of their own.
+    Spark bounds an Arrow batch by rows and by bytes; of it, batch_rows rows at a time become Python objects, and as many
+    make an output batch. The columns named in arrays, lists of numbers without nulls, come as numpy arrays.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     out = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
         rows, size = [], 0
-        for row in make(r for b in batches for r in _rows(b)):
+        for row in make(r for b in batches for at in range(0, b.num_rows, batch_rows) for r in _rows(b.slice(at, batch_rows))):
             rows.append(row)
             size += 1
             if size >= batch_rows:
@@ -72,10 +79,15 @@ def map_rows(df: DataFrame, make, schema: str, batch_rows: int = 256) -> DataFra
             yield pa.RecordBatch.from_pylist(rows, schema=out)
 
     def _rows(batch):
-        names, cols = batch.schema.names, [c.to_pylist() for c in batch.columns]
+        names = batch.schema.names
+        cols = [_arrays(c) if name in arrays else c.to_pylist() for name, c in zip(names, batch.columns, strict=True)]
         for values in zip(*cols, strict=True):
             yield dict(zip(names, values, strict=True))
 
+    def _arrays(column):
+        flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        return [flat[a:b] if known else None for a, b, known in zip(at, at[1:], column.is_valid().to_pylist())]
+
     return df.mapInArrow(run, schema)
 
 

@@ -10,6 +10,9 @@ combined associatively (max-plus products, doubling), which fixes the state at e
 chunk is then backtraced by itself. Where a cut falls on a word boundary, which no piece crosses, it
 has one state. Documents up to GIANT characters are one chunk, with one state on either side.
 
+No piece spans two characters that stand side by side in none of the pieces, so a word falls apart there;
+words and such parts are kept by text, since most come again.
+
 Results are those of the sentencepiece library for the same file.
 
 Defined cases: null and empty texts have no ids; characters outside the vocabulary become byte pieces;
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -73,6 +77,9 @@ class PieceModel:
         self._reach: dict[str, int] = {}
         for p in self.sound:
             self._reach[p[:3]] = max(self._reach.get(p[:3], 0), len(p))
+        #: Pairs of characters that some piece holds side by side; all others part a text.
+        self._joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self._part = _Cache(self._encode_part)
         self._segment = _Cache(self._encode_segment)
         self._split = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+").findall
 
@@ -173,7 +180,15 @@ class PieceModel:
         return out
 
     def _encode_segment(self, segment: str) -> list[int]:
-        """Ids of the path of weight 0 through a segment, depth first and longest piece first.
+        """Ids of a segment: its parts', one after another."""
+        joined = self._joined
+        cuts = [i for i in range(1, len(segment)) if segment[i - 1 : i + 1] not in joined]
+        if not cuts:
+            return self._part[segment]
+        return list(chain.from_iterable(self._part[segment[a:b]] for a, b in zip([0, *cuts], [*cuts, len(segment)])))
+
+    def _encode_part(self, segment: str) -> list[int]:
+        """Ids of the path of weight 0 through a part, depth first and longest piece first.
 
         All that leads to a position with weight 0 ends in the same piece, so no position is tried twice.
         """
@@ -213,7 +228,7 @@ class PieceModel:
     def encode(self, text: str | None) -> list[int]:
         return self.encode_words(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids) -> str:
         out = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return out[1:] if out.startswith(" ") else out
 
@@ -387,18 +402,29 @@ def encode_giants(docs: DataFrame, path: str | None = None, chunk: int = CHUNK)
     return whole.select("doc_id", F.flatten(F.col("parts.ids")).alias("ids"))
 
 
-def encode(docs: DataFrame, path: str | None = None, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, text) to (doc_id, ids array<int>)."""
+def encode(docs: DataFrame, path: str | None = None, giant: int = GIANT, chunk: int = CHUNK, more=None, more_schema: str = "") -> DataFrame:
+    """(doc_id, text) to (doc_id, ids array<int>), and what more(model, ids) makes of each document's ids, with its schema.
+
+    more runs where the ids are made, so that they needn't come back to Python; only giants' do, whose chunks meet in Spark.
+    """
     rows = docs.select("doc_id", "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, ids array<int>" + (f", {more_schema}" if more else "")
 
     def whole(batch):
         m = model(path)
         for r in batch:
-            yield {"doc_id": r["doc_id"], "ids": m.encode(r["text"])}
+            ids = m.encode(r["text"])
+            yield {"doc_id": r["doc_id"], "ids": ids} | (more(m, ids) if more else {})
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    small = map_rows(rows.where(F.coalesce(F.length("text"), F.lit(0)) <= giant), whole, f"doc_id {kind}, ids array<int>")
-    return small.unionByName(encode_giants(rows.where(F.length("text") > giant), path, chunk))
+    def added(batch):
+        m = model(path)
+        for r in batch:
+            yield r | more(m, r["ids"].tolist())
+
+    small = map_rows(rows.where(F.coalesce(F.length("text"), F.lit(0)) <= giant), whole, schema)
+    large = encode_giants(rows.where(F.length("text") > giant), path, chunk)
+    return small.unionByName(map_rows(large, added, schema, 16, arrays=("ids",)) if more else large)
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
@@ -407,22 +433,20 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
     def make(rows):
         m = model(path)
         for r in rows:
-            yield {"doc_id": r["doc_id"], "ids": r["ids"], "text": m.decode(r["ids"] or [])}
+            yield {"doc_id": r["doc_id"], "ids": r["ids"], "text": m.decode(r["ids"].tolist() if r["ids"] is not None else [])}
 
     kind = coded.schema["doc_id"].dataType.simpleString()
-    return map_rows(coded.select("doc_id", "ids"), make, f"doc_id {kind}, ids array<int>, text string")
+    return map_rows(coded.select("doc_id", "ids"), make, f"doc_id {kind}, ids array<int>, text string", arrays=("ids",))
 
 
-def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every document, their count and CRC-32 (little-endian 32-bit), and the CRC-32 of the text decoded from them."""
+def _digests(m: PieceModel, ids: list[int]) -> dict:
+    text = m.decode(ids).encode("utf-8", "surrogatepass")
+    return {"n_tokens": len(ids), "ids_crc32": zlib.crc32(array("I", ids)), "decoded_crc32": zlib.crc32(text)}
 
-    def make(rows):
-        m = model()
-        for r in rows:
-            text = m.decode(r["ids"]).encode("utf-8", "surrogatepass")
-            yield r | {"n_tokens": len(r["ids"]), "ids_crc32": zlib.crc32(np.asarray(r["ids"], dtype="<u4").tobytes()), "decoded_crc32": zlib.crc32(text)}
 
-    return map_rows(encode(table(spark, sf_dir, "documents")), make, "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, decoded_crc32 long")
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, their count and CRC-32 (little-endian 32-bit), and the CRC-32 of the text decoded from them."""
+    return encode(table(spark, sf_dir, "documents"), more=_digests, more_schema="n_tokens long, ids_crc32 long, decoded_crc32 long")
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

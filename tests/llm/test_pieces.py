@@ -64,6 +64,14 @@ def test_operator(spark):
     assert got.columns == ["doc_id", "ids"]
     want = sorted((str(i), LIB.encode(t or "")) for i, t, _ in rows)
     assert sorted((str(r.doc_id), r.ids) for r in got.collect()) == want
+    import zlib
+
+    import numpy as np
+
+    more = pieces.encode(df, giant=300, chunk=97, more=pieces._digests, more_schema="n_tokens long, ids_crc32 long, decoded_crc32 long").collect()
+    assert sorted((str(r.doc_id), r.ids) for r in more) == want
+    for r in more:
+        assert (r.n_tokens, r.ids_crc32, r.decoded_crc32) == (len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes()), zlib.crc32(LIB.decode(r.ids).encode()))
     back = pieces.decode(got).collect()
     assert sorted((str(r.doc_id), r.text) for r in back) == sorted((str(i), LIB.decode(LIB.encode(t or ""))) for i, t, _ in rows)
     assert pieces.encode(df.limit(0)).count() == 0
