@@ -14,13 +14,15 @@ TOK = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def noise(rng, n):
-    return "".join(rng.choice(["the", "Ärger", " ", "\n", "'s", "it's", "12", "\x1c", " ", "é", "́", "!?", "日本", "<|endoftext|>", "\x85", "İ", "Σ "]) for _ in range(n))
+    return "".join(rng.choice(["the", "Ärger", " ", "\n", "'s", "it's", "12", "\x1c", " ", "é", "́", "!?", "日本", "<|endoftext|>", "<|EndOfText|>", "<|", "|>", "The,", "(x-1", "e.", "\x85", "İ", "Σ "]) for _ in range(n))
 
 
 def test_words_equal_whole_texts():
     rng, words = random.Random(3), tf._Words(None)
     for text in ["", " ", None] + [noise(rng, rng.randint(1, 60)) for _ in range(600)]:
-        assert list(words.ids(text)) == TOK.encode(text or "", add_special_tokens=False).ids + [1], repr(text)
+        assert np.frombuffer(words.ids([text])[0], "<u4").tolist() == TOK.encode(text or "", add_special_tokens=False).ids + [1], repr(text)
+    texts = [noise(rng, 40) for _ in range(30)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in words.ids(texts)] == [TOK.encode(t, add_special_tokens=False).ids + [1] for t in texts]
 
 
 def test_format_and_checksums():
@@ -35,13 +37,16 @@ def test_format_and_checksums():
     assert [(r.doc_id(i), r.content(i)) for i in (2, 0, 1)] == [docs[i] for i in (2, 0, 1)]
     plain = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw), read_across_frames=True).read()
     assert plain == b"".join(c for _, c in docs)
-    at = r.starts[2] + r.sizes[6] - 2
+    at = int(r.starts[2] + r.sizes[2][0]) - 2
+    some = tf.FrameReader(io.BytesIO(raw), 1, 3, int(r.starts[1]))
+    assert [(some.doc_id(i), some.content(i)) for i in (2, 1)] == [docs[i] for i in (2, 1)]
     bad = tf.FrameReader(io.BytesIO(raw[:at] + bytes([raw[at] ^ 255]) + raw[at + 1 :]))
     with pytest.raises((ValueError, zstandard.ZstdError)):
         bad.content(2)
 
 
-def test_round_trip(spark, tmp_path):
+def test_round_trip(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tf, "SPAN", 4)
     rng = random.Random(8)
     rows = [(i * 7 % 41, noise(rng, 30), "x") for i in range(41)] + [(None, "no id", None), (3, "twice", None), (60, None, None), (61, "", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
