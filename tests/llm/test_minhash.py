@@ -47,31 +47,44 @@ def test_rows_against_brute_force(spark):
         after = texts[(i + 1) % 60]
         e = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
         r = got[i]
-        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
+        assert r.n_chars == len(t) and bytes(r.edited_sha256) == hashlib.sha256(e.encode()).digest()
         s, x, n = (mh.signature(v) for v in (t, e, after))
-        assert (r.fingerprint, r.edited_fingerprint) == (s.tobytes().hex(), x.tobytes().hex())
+        assert (bytes(r.fingerprint), bytes(r.edited_fingerprint)) == (s.tobytes(), x.tobytes())
         assert (r.near_edited, r.near_next) == (mh.likeness(s, x), mh.likeness(s, n))
     assert mh.with_next(df.limit(0)).count() == 0
     assert mh.with_next(df.limit(1)).first().near_next == 1.0
 
 
-def test_near_pairs(spark):
+def test_long_unrelated_texts_are_unlike():
+    rng = random.Random(3)
+    a, b = (mh.signature(prose(rng, 20_000)) for _ in range(2))
+    assert mh.likeness(a, b) < 0.05 and mh.likeness(a, a) == 1
+
+
+def test_blocks_link_what_all_pairs_link(spark):
+    """A chain of near copies whose ends are far apart, in blocks of a few texts."""
     rng, rows = random.Random(6), []
-    for g in range(12):
-        w = prose(rng, 120).split()
-        for k in range(4):
-            v = list(w)
-            for _ in range(k):
-                v[rng.randrange(120)] = "zz"
-            rows.append((g * 10 + k, " ".join(v)))
-    rows += [(500 + i, t) for i, t in rows[:5]] + [(900, ""), (901, None), (902, "one"), (903, "one")]
-    got = {(r.doc_id, r.other) for r in mh.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    first = {}
-    for i, t in sorted(rows):
-        first.setdefault(t or "", i)
-    reps = [(i, grams(t)) for t, i in first.items() if t]
-    want = {(a, b) for a, x in reps for b, y in reps if a < b and len(x & y) / len(x | y) >= 0.8}
-    assert got == want
+    for g in range(3):
+        w = prose(rng, 150).split()
+        for k in range(30):
+            w = list(w)
+            for j in rng.sample(range(30), rng.choice([0, 1, 1, 2])):
+                w[j * 5 + rng.randrange(5)] = f"zz{k}"
+            rows.append((g * 100 + k, " ".join(w)))
+    rows += [(500 + i, t) for i, t in rows[:5]] + [(900, ""), (901, None), (902, "one"), (903, "one"), (904, "two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {bytes(r.text_key): (r.component_id, r.group_size) for r in mh.near_groups(mh.with_next(docs), docs, chunk=4).collect()}
+    texts = sorted({t or "" for _, t in rows})
+    sets, label = [grams(t) for t in texts], list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8 and label[a] != label[b]:
+                label = [label[b] if x == label[a] else x for x in label]
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(label[texts.index(t or "")], []).append(i)
+    want = {hashlib.sha256(t.encode()).digest()[:16]: (min(g), len(g)) for t, g in ((t, groups[x]) for t, x in zip(texts, label)) if len(g) > 1}
+    assert got == want and len(set(want.values())) > 4
 
 
 def test_query_links_near_copies(spark, tmp_path):
