@@ -3,15 +3,21 @@
 A small network predicts every word from the two words before and the two after it. A document's score
 is the sum of the conditional log-probabilities of all its words. Words are counted over the whole
 corpus; the KEPT most frequent have ids of their own, all others share BUCKETS hashed ids. A hashed id's
-probability is dealt out by the counts of its words, so that every word's count reaches the score: each
-document's other words are joined with the table of all counts, in Spark. The softmax has two levels (a class, then a word of the class), so
-a word costs 2 * SIDE outputs, not SIDE squared.
-
-Training runs over every word of the corpus, once: each partition takes gradient steps over its own
-texts from a common start, and the partitions' parameters are averaged, weighted by their words, in
-rounds of at most FAN_IN at a time, so what is gathered grows with the corpus and no task or driver
-holds more than FAN_IN slices. The vocabulary (KEPT words and two numbers a bucket) and one set of parameters (under 1 MB) are
-all that reaches the driver.
+probability is dealt out by the counts of its words, so that every word's count reaches the score. The
+softmax has two levels (a class, then a word of the class), so a word costs 2 * SIDE outputs, not SIDE
+squared.
+
+Texts are read once. Each task cuts its documents into segments of at most _FLUSH different words,
+numbers a segment's words in order of appearance and writes the documents as these numbers, and the
+words with their counts. The counts are summed in Spark and joined back to the segments' words, so each
+word of a segment, not of a document, crosses the network; a segment's documents then get the ids of
+the network and what their rare words add to the score.
+
+Training runs over every word of the corpus, once, in ROUNDS rounds: a round's documents are dealt to
+shards of about SHARD_WORDS words by a hash of id and ids, every shard takes gradient steps from the
+common parameters, and the results are averaged, weighted by their words, FAN_IN at a time. How the
+table is partitioned doesn't matter. The KEPT words, two numbers a bucket and one set of parameters
+(about 1 MB) are all that reaches the driver.
 
 Defined cases: null and empty texts and texts without words have 0 words, a log-probability of 0 and a
 null mean; repeated rows and null ids are rows of their own; an empty table gives an empty result; extra
@@ -21,25 +27,29 @@ columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_rows, materialise, table
 
-SIDE = 32  # classes, and words in each
-BUCKETS = 256
+SIDE = 40  # classes, and words in each
+BUCKETS = 512
 KEPT = SIDE * SIDE - BUCKETS - 1
 PAD = SIDE * SIDE - 1
 WINDOW = 2
 EMBED, HIDDEN = 16, 32
-BATCH = 2048
+BATCH = 4096
 RATE = 2.0
+#: Rounds of one pass over the corpus, and words that a shard of a round holds.
+ROUNDS = 4
+SHARD_WORDS = 500_000
 FAN_IN = 16
 SLICE = 8192
-_FLUSH = 300_000
+#: Different words, and words, that a segment holds before it ends with the document.
+_FLUSH, _LONGEST = 500_000, 4_000_000
 
 SHAPES = {"e": (SIDE * SIDE, EMBED), "w": (2 * WINDOW * EMBED, HIDDEN), "b": (HIDDEN,), "c": (HIDDEN, SIDE), "cb": (SIDE,), "u": (SIDE, HIDDEN, SIDE), "ub": (SIDE, SIDE)}
 
@@ -48,46 +58,88 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word binary, n): counts of all words; partial counts are made before the shuffle."""
+def bucket_of(word: bytes) -> int:
+    return KEPT + zlib.crc32(word) % BUCKETS
 
-    def make(rows):
-        counts: dict[bytes, int] = {}
-        for r in rows:
-            for w in words_of(r["text"]):
-                counts[w] = counts.get(w, 0) + 1
-            if len(counts) > _FLUSH:
-                yield from ({"word": w, "n": n} for w, n in counts.items())
-                counts.clear()
-        yield from ({"word": w, "n": n} for w, n in counts.items())
 
-    return map_rows(docs.select("text"), make, "word binary, n long", 4096).groupBy("word").agg(F.sum("n").alias("n"))
+class _Numbers(dict):
+    """Words in order of appearance."""
 
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
-class Vocabulary:
-    """Ids of words, and what a hashed id's probability is divided by: its distinct words, or its places."""
 
-    def __init__(self, words: list[bytes], bucket_words: np.ndarray, bucket_places: np.ndarray):
-        self.ids = {w: i for i, w in enumerate(words)}
-        self.log_share, self.log_places = np.zeros(SIDE * SIDE), np.zeros(SIDE * SIDE)
-        self.log_share[KEPT : KEPT + BUCKETS] = np.log(np.maximum(1, bucket_words))
-        self.log_places[KEPT : KEPT + BUCKETS] = np.log(np.maximum(1, bucket_places))
+def segments(docs: DataFrame, flush: int = _FLUSH) -> DataFrame:
+    """(doc_id, text) to rows of documents (segment, doc_id, n_words, numbers) and rows of words (segment, number, word, n)."""
+
+    def make(rows):
+        from pyspark import TaskContext
 
-    def encode(self, text: str | None) -> list[int]:
-        get, crc = self.ids.get, zlib.crc32
-        return [i if (i := get(w)) is not None else KEPT + crc(w) % BUCKETS for w in words_of(text)]
+        segment, numbers, held = TaskContext.get().partitionId() << 33, _Numbers(), []
 
+        def words():
+            counts = np.bincount(np.concatenate(held), minlength=len(numbers)).tolist() if held else []
+            for (word, i), n in zip(numbers.items(), counts, strict=True):
+                yield {"segment": segment, "number": i, "word": word, "n": n}
 
-def vocabulary(counts: DataFrame) -> Vocabulary:
-    """KEPT words and twice BUCKETS numbers are collected; all other counts stay in the table, for score()."""
+        total = 0
+        for r in rows:
+            got = np.array(list(map(numbers.__getitem__, words_of(r["text"]))), "<i4")
+            held.append(got)
+            total += len(got)
+            yield {"segment": segment, "doc_id": r["doc_id"], "n_words": len(got), "numbers": zstandard.compress(got.tobytes(), 1)}
+            if len(numbers) >= flush or total >= _LONGEST:
+                yield from words()
+                segment, total = segment + 1, 0
+                numbers.clear()
+                held.clear()
+        yield from words()
+
+    return materialise(map_rows(docs.select(F.col("doc_id").cast("long"), "text"), make, "segment long, doc_id long, n_words long, numbers binary, number int, word binary, n long", 1024), "segments")
+
+
+def vocabulary(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """The KEPT most frequent words, and the words' places in each bucket; all other counts stay in the table (word, n)."""
     kept = {bytes(r.word): r.n for r in counts.orderBy(F.desc("n"), "word").limit(KEPT).collect()}
-    seen, places = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in counts.groupBy((F.crc32("word") % BUCKETS).alias("bucket")).agg(F.count("*").alias("words"), F.sum("n").alias("places")).collect():
-        seen[r.bucket], places[r.bucket] = r.words, r.places
+    places = np.zeros(BUCKETS)
+    for r in counts.groupBy((F.crc32("word") % BUCKETS).alias("bucket")).agg(F.sum("n").alias("places")).collect():
+        places[r.bucket] = r.places
     for w, n in kept.items():
-        seen[zlib.crc32(w) % BUCKETS] -= 1
-        places[zlib.crc32(w) % BUCKETS] -= n
-    return Vocabulary(list(kept), seen, places)
+        places[bucket_of(w) - KEPT] -= n
+    return list(kept), places
+
+
+def encode(docs: DataFrame, flush: int = _FLUSH) -> DataFrame:
+    """(doc_id, text) to (doc_id, n_words, ids, dealt): network ids as 16-bit numbers, and the sum over the words with hashed
+    ids of the logarithm of a word's share of its bucket's places.
+    """
+    spark = docs.sparkSession
+    parts = segments(docs, flush)
+    words = parts.where("word is not null").select("segment", "number", "word", "n")
+    counts = materialise(words.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    kept, places = vocabulary(counts)
+    own = F.broadcast(spark.createDataFrame([(bytearray(w), i) for i, w in enumerate(kept)], "word binary, own int"))  # KEPT rows at most
+    known = counts.join(own, "word", "left").select("word", "n", F.coalesce("own", (F.crc32("word") % BUCKETS + KEPT).cast("int")).alias("id"))
+    named = words.select("segment", "number", "word").join(known, "word").groupBy("segment").agg(F.collect_list(F.struct("number", "id", "n")).alias("all"))  # at most a segment's words
+    named = named.select("segment", F.col("all.number").alias("number"), F.col("all.id").alias("id"), F.col("all.n").alias("times"))
+    rows = parts.where("word is null").select("segment", "doc_id", "n_words", "numbers").unionByName(named, allowMissingColumns=True)
+    log_places = np.log(np.maximum(1, places))
+
+    def make(rows):
+        ids = shares = np.zeros(0)
+        for r in rows:
+            if r["number"] is not None:
+                ids, shares = np.zeros(len(r["number"]), "<u2"), np.zeros(len(r["number"]))
+                ids[r["number"]] = r["id"]
+                hashed = r["id"] >= KEPT
+                shares[r["number"][hashed]] = np.log(r["times"][hashed]) - log_places[r["id"][hashed] - KEPT]
+            else:
+                numbers = np.frombuffer(zstandard.decompress(r["numbers"]), "<i4")
+                yield {"doc_id": r["doc_id"], "n_words": r["n_words"], "ids": ids[numbers].tobytes() if len(numbers) else b"", "dealt": float(shares[numbers].sum()) if len(numbers) else 0.0}
+
+    ordered = rows.repartition("segment").sortWithinPartitions("segment", F.col("number").isNull())
+    return materialise(map_rows(ordered, make, "doc_id long, n_words long, ids binary, dealt double", arrays=("number", "id", "times")), "encoded")
 
 
 def start_parameters() -> dict[str, np.ndarray]:
@@ -115,41 +167,62 @@ def windows(ids: np.ndarray) -> np.ndarray:
     return np.stack([ids[k : k + n] for k in range(2 * WINDOW + 1) if k != WINDOW], 1)
 
 
-def _softmax(z: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probabilities of the picked columns, and all probabilities (in z's place)."""
-    at = np.arange(len(z))
-    z -= z.max(-1, keepdims=True)
-    own = z[at, picked]
-    np.exp(z, out=z)
-    total = z.sum(-1, keepdims=True)
-    z /= total
-    return own - np.log(total[:, 0]), z
-
-
-def forward(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray):
-    """Log-probabilities of the targets, and what backward() needs; rows must be sorted by target's class."""
-    x = p["e"][context].reshape(len(context), -1)
-    h = np.tanh(x @ p["w"] + p["b"])
-    cls, word = target // SIDE, target % SIDE
-    own_c, pc = _softmax(h @ p["c"] + p["cb"], cls)
+def _logits(h: np.ndarray, p: dict[str, np.ndarray], cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Outputs for the words of each row's class, which rows must be sorted by, and where the classes begin."""
     edges = np.searchsorted(cls, np.arange(SIDE + 1))
     z = np.empty((len(h), SIDE), h.dtype)
     for k in range(SIDE):
         a, b = edges[k], edges[k + 1]
         if a < b:
-            z[a:b] = h[a:b] @ p["u"][k] + p["ub"][k]
-    own_w, pw = _softmax(z, word)
-    return own_c + own_w, (x, h, pc, pw, cls, word, edges)
+            np.matmul(h[a:b], p["u"][k], out=z[a:b])
+            z[a:b] += p["ub"][k]
+    return z, edges
+
+
+def _softmax(z: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities of the picked columns, and the exponentials (in z's place) with their sums."""
+    z -= z.max(1, keepdims=True)
+    own = z[np.arange(len(z)), picked]
+    np.exp(z, out=z)
+    total = z.sum(1)
+    return own - np.log(total), total
+
+
+def hidden(tables: np.ndarray, b: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """tables: what each id adds at each place of the window."""
+    h = tables[0][context[:, 0]]
+    for k in range(1, 2 * WINDOW):
+        h += tables[k][context[:, k]]
+    h += b
+    return np.tanh(h, out=h)
+
+
+def tables_of(p: dict[str, np.ndarray]) -> np.ndarray:
+    return np.stack([p["e"] @ p["w"][k * EMBED : (k + 1) * EMBED] for k in range(2 * WINDOW)])
+
+
+def log_probabilities(p: dict[str, np.ndarray], tables: np.ndarray, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Of the targets in their contexts."""
+    order = np.argsort(target // SIDE, kind="stable")
+    cls, word = np.divmod(target[order], SIDE)
+    h = hidden(tables, p["b"], context[order])
+    out = np.empty(len(target))
+    out[order] = _softmax(h @ p["c"] + p["cb"], cls)[0] + _softmax(_logits(h, p, cls)[0], word)[0]
+    return out
 
 
 def step(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One step down the mean negative log-likelihood of a batch, in place."""
     order = np.argsort(target // SIDE, kind="stable")
-    context, target = context[order], target[order]
-    _, (x, h, dc, dw, cls, word, edges) = forward(p, context, target)
-    n, at = len(h), np.arange(len(h))
-    dc[at, cls] -= 1
-    dw[at, word] -= 1
+    context, (cls, word) = context[order], np.divmod(target[order], SIDE)
+    n, at = len(context), np.arange(len(context))
+    x = p["e"][context].reshape(n, -1)
+    h = np.tanh(x @ p["w"] + p["b"])
+    dc = h @ p["c"] + p["cb"]
+    dw, edges = _logits(h, p, cls)
+    for z, picked in ((dc, cls), (dw, word)):
+        z /= _softmax(z, picked)[1][:, None]
+        z[at, picked] -= 1
     dh = dc @ p["c"].T
     for k in range(SIDE):
         a, b = edges[k], edges[k + 1]
@@ -171,128 +244,105 @@ def step(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, rate
     p["e"][ids[by][first]] -= (rate / n**0.5) * sums / count[:, None] ** 0.5
 
 
-def _batches(rows, vocab: Vocabulary, size: int):
-    """(keys, lengths, padded ids) of whole documents, `size` words or one document at least."""
-    gap, keys, lengths, parts, total = [PAD] * WINDOW, [], [], list([PAD] * WINDOW), 0
+def _batches(rows, size: int):
+    """(rows, padded ids) of whole documents, `size` words or one document at least."""
+    gap = np.full(WINDOW, PAD, "<u2")
+    held, parts, total = [], [gap], 0
     for r in rows:
-        ids = vocab.encode(r["text"])
-        keys.append(r.get("doc_id"))
-        lengths.append(len(ids))
-        parts += ids
-        parts += gap
+        ids = np.frombuffer(r["ids"], "<u2")
+        held.append(r)
+        parts += [ids, gap]
         total += len(ids)
         if total >= size:
-            yield keys, lengths, np.array(parts, np.int64)
-            keys, lengths, parts, total = [], [], list(gap), 0
-    if keys:
-        yield keys, lengths, np.array(parts, np.int64)
-
-
-def train(docs: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
-    """One pass over all texts in each partition, then the weighted mean over the partitions."""
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(vocab)  # KEPT words
+            yield held, np.concatenate(parts)
+            held, parts, total = [], [gap], 0
+    if held:
+        yield held, np.concatenate(parts)
+
+
+def train_shard(rows, p: dict[str, np.ndarray], rate: float) -> int:
+    """Gradient steps over the rows' words, changing p; the number of words."""
+    total = 0
+    for _, ids in _batches(rows, 1 << 16):
+        context, target = windows(ids), ids[WINDOW:-WINDOW]
+        real = target != PAD
+        context, target = context[real], target[real]
+        for at in range(0, len(target), BATCH):
+            step(p, context[at : at + BATCH], target[at : at + BATCH], rate)
+        total += len(target)
+    return total
+
+
+def train(encoded: DataFrame, rounds: int = ROUNDS, shard_words: int = SHARD_WORDS) -> dict[str, np.ndarray]:
+    """Rounds over the parts of the corpus, each from the mean of the last one's shards; the rate falls by rounds."""
+    p = start_parameters()
+    words = encoded.agg(F.sum("n_words")).first()[0]
+    if not words:
+        return p
+    shards = -(-words // (rounds * shard_words))
+    mark = F.xxhash64("doc_id", "ids")
+    dealt = encoded.where("n_words > 0").select("doc_id", "ids", F.pmod(mark, F.lit(rounds)).alias("round"), F.pmod(F.floor(mark / rounds), F.lit(shards)).alias("shard"))
+    for k in range(rounds):
+        p = _round(dealt.where(F.col("round") == k).select("doc_id", "ids", "shard"), p, RATE / (1 + k) ** 0.5, shards) or p
+    return p
+
+
+def _round(dealt: DataFrame, p: dict[str, np.ndarray], rate: float, shards: int) -> dict[str, np.ndarray] | None:
+    """The mean of what the shards make of p, weighted by their words."""
+    known = dealt.sparkSession.sparkContext.broadcast(flat(p))  # about 1 MB
 
     def make(rows):
-        from pyspark import TaskContext
+        from itertools import groupby
 
-        p, total = start_parameters(), 0
-        for _, _, ids in _batches(rows, known.value, 1 << 16):
-            context, target = windows(ids), ids[WINDOW:-WINDOW]
-            real = target != PAD
-            context, target = context[real], target[real]
-            for at in range(0, len(target), BATCH):
-                # the rate falls with what the partition has seen, by words only
-                step(p, context[at : at + BATCH], target[at : at + BATCH], RATE / (1 + total / 2e6) ** 0.5)
-                total += len(target[at : at + BATCH])
-        x = flat(p)
-        part = TaskContext.get().partitionId()
-        if total:
+        for shard, group in groupby(rows, key=lambda r: r["shard"]):
+            p = unflat(known.value.copy())
+            total = train_shard(group, p, rate)
+            x = flat(p)
             for i in range(0, len(x), SLICE):
-                yield {"part": part, "slice": i // SLICE, "words": total, "values": (x[i : i + SLICE].astype(float) * total).astype("<f8").tobytes()}
+                yield {"part": shard, "slice": i // SLICE, "words": total, "values": (x[i : i + SLICE].astype(float) * total).astype("<f8").tobytes()}
 
-    now = materialise(map_rows(docs.select("text"), make, "part int, slice int, words long, values binary", 8), "trained")
+    tasks = min(2 * shards, 20_000)  # hashed: some get none
+    ordered = dealt.repartition(tasks, "shard").sortWithinPartitions("shard", F.xxhash64("ids"), "doc_id", "ids")
+    now, top = materialise(map_rows(ordered, make, "part long, slice int, words long, values binary", 64), "trained"), shards - 1
 
     def add(pdf):
         import pandas as pd
 
-        total = sum(np.frombuffer(v) for v in pdf["values"])
+        total = sum(np.frombuffer(v) for v in pdf.sort_values("part")["values"])
         return pd.DataFrame({"part": [int(pdf["part"].iloc[0]) // FAN_IN], "slice": [pdf["slice"].iloc[0]], "words": [pdf["words"].sum()], "values": [total.tobytes()]})
 
-    top = now.agg(F.max("part")).first()[0]
-    if top is None:
-        return start_parameters()
     while True:
-        now = now.groupBy(F.floor(F.col("part") / FAN_IN).alias("to"), F.col("slice").alias("of")).applyInPandas(add, "part int, slice int, words long, values binary")
+        now = now.groupBy(F.floor(F.col("part") / FAN_IN).alias("to"), F.col("slice").alias("of")).applyInPandas(add, "part long, slice int, words long, values binary")
         if top < FAN_IN:
             break
         now, top = materialise(now, "trained"), top // FAN_IN
     rows = sorted(now.collect(), key=lambda r: r["slice"])  # one set of parameters
-    return unflat(np.concatenate([np.frombuffer(r["values"]) / r["words"] for r in rows]))
-
+    return unflat(np.concatenate([np.frombuffer(r["values"]) / r["words"] for r in rows])) if rows else None
 
-_SCORES = "doc_id long, n_words long, log_prob double, mean_log_prob double"
 
-
-def score(docs: DataFrame, vocab: Vocabulary, parameters: dict[str, np.ndarray], counts: DataFrame | None = None) -> DataFrame:
-    """(doc_id, text) to (doc_id, n_words, log_prob, mean_log_prob).
-
-    counts, the table that vocab was made of, says how a hashed id's probability is dealt out to its words; without it
-    they have equal shares. A word that counts lacks counts as seen once.
-    """
-    known = docs.sparkSession.sparkContext.broadcast((vocab, parameters))
-    by_count = counts is not None
+def score(encoded: DataFrame, parameters: dict[str, np.ndarray]) -> DataFrame:
+    """encode()'s rows to (doc_id, n_words, log_prob, mean_log_prob)."""
+    known = encoded.sparkSession.sparkContext.broadcast(parameters)
 
     def make(rows):
-        from pyspark import TaskContext
-
-        vocab, p = known.value
-        share = vocab.log_places if by_count else vocab.log_share
-        row, texts = TaskContext.get().partitionId() << 40, []
-
-        def noted():
-            for r in rows:
-                texts.append(r["text"])
-                yield r
-
-        for keys, lengths, ids in _batches(noted(), vocab, 1 << 15):
+        p, tables = known.value, tables_of(known.value)
+        for held, ids in _batches(rows, 1 << 15):
             target = ids[WINDOW:-WINDOW]
             logs = np.zeros(len(target))
-            for at in range(0, len(target), 1 << 15):
-                part = target[at : at + (1 << 15)]
-                context = windows(ids[at : at + len(part) + 2 * WINDOW])
-                order = np.argsort(part // SIDE, kind="stable")
-                got = np.empty(len(part))
-                got[order] = forward(p, context[order], part[order])[0]
-                logs[at : at + len(part)] = np.where(part == PAD, 0, got - share[part])
-            sums = np.r_[0, np.cumsum(logs)]
-            at = 0
-            for key, n, text in zip(keys, lengths, texts, strict=True):
-                total = float(sums[at + n] - sums[at]) if n else 0.0
-                out = {"doc_id": key, "n_words": n, "log_prob": total, "mean_log_prob": total / n if n else None}
-                if by_count:
-                    others = Counter(w for w in words_of(text) if w not in vocab.ids)
-                    out |= {"row": row, "words": list(others), "times": list(others.values())}
-                    row += 1
-                yield out
+            for at in range(0, len(target), BATCH):
+                part = target[at : at + BATCH]
+                got = log_probabilities(p, tables, windows(ids[at : at + len(part) + 2 * WINDOW]), part)
+                logs[at : at + len(part)] = np.where(part == PAD, 0, got)
+            sums, at = np.r_[0, np.cumsum(logs)], 0
+            for r in held:
+                n = r["n_words"]
+                total = float(sums[at + n] - sums[at]) + r["dealt"] if n else 0.0
+                yield {"doc_id": r["doc_id"], "n_words": n, "log_prob": total, "mean_log_prob": total / n if n else None}
                 at += n + WINDOW
-            texts.clear()
 
-    if not by_count:
-        return map_rows(docs.select("doc_id", "text"), make, _SCORES)
-    # written, so that a row's number is the same on both sides of the join
-    scored = materialise(map_rows(docs.select("doc_id", "text"), make, f"{_SCORES}, row long, words array<binary>, times array<int>"), "scored")
-    others = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    # a count of one adds the logarithm of one
-    dealt = others.join(counts.where("n > 1").select("word", F.log("n").alias("log_n")), "word").groupBy("row").agg(F.sum(F.col("times") * F.col("log_n")).alias("more"))
-    log_prob = F.col("log_prob") + F.coalesce("more", F.lit(0.0))
-    return scored.select("row", "doc_id", "n_words", "log_prob").join(dealt, "row", "left").select(
-        "doc_id", "n_words", log_prob.alias("log_prob"), F.when(F.col("n_words") > 0, log_prob / F.col("n_words")).alias("mean_log_prob")
-    )
+    return map_rows(encoded, make, "doc_id long, n_words long, log_prob double, mean_log_prob double")
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    counts = materialise(word_counts(docs), "words")
-    vocab = vocabulary(counts)
-    return score(docs, vocab, train(docs, vocab), counts)
+    encoded = encode(table(spark, sf_dir, "documents"))
+    return score(encoded, train(encoded))
