@@ -91,6 +91,16 @@ def map_rows(df: DataFrame, make, schema: str, batch_rows: int = 256, arrays: tu
     return df.mapInArrow(run, schema)
 
 
+def nested(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that columns beside it can have any name."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
+def numbered(df: DataFrame, label: str, **more: Column) -> DataFrame:
+    """df as (n, row, ...): a number for each row and the row itself, and the columns of more; written, so that numbers stay."""
+    return materialise(df.select(F.monotonically_increasing_id().alias("n"), nested(df).alias("row"), *[c.alias(k) for k, c in more.items()]), label)
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

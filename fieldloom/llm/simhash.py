@@ -5,13 +5,15 @@ the vector of their bit counts differs between two fingerprints by at most their
 Manhattan distance. So fingerprints within 3 bits have Manhattan distance 3 at most, and on one half
 of the 32 segments 1 at most. Each half is a grid of unit cells: a fingerprint lies in one cell and
 probes that cell and the cells one step up, an equi-join that finds all pairs within Manhattan
-distance 1 on that half. Candidates are verified exactly by the bit count of the exclusive or.
+distance 1 on that half. The other half then lies within 3, so one of its four quarters at least has
+equal counts, which the join key holds, too: four times the rows, a fiftieth of the candidates for each.
+Candidates are verified exactly by the bit count of the exclusive or.
 
 Only distinct fingerprints enter the join, so a group of copies, however large, is one row there; the
 number of distinct fingerprints in a small Hamming ball is bounded by the ball, not by the corpus.
 Large cells and hot fingerprints are left to adaptive skew joins, which can split all joins here.
 
-Defined cases: null and empty texts and texts without words have fingerprint zero and link like any
+Defined cases of the operator: null and empty texts and texts without words have fingerprint zero and link like any
 other; texts with fewer than 3 words have one shingle; repeated rows are rows of their own; a row with
 a null id belongs to its group but never names it; an empty table gives an empty result; extra columns
 are ignored.
@@ -24,10 +26,9 @@ from itertools import accumulate
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, map_rows, materialise, table
+from .common import components, map_rows, materialise, numbered, table
 
 SHINGLE = 3
 SEED = 42
@@ -73,24 +74,31 @@ def popcounts(half: Column) -> Column:
 
 
 def links(distinct_fp: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the distinct fingerprints in column fp with 1 to DISTANCE differing bits."""
+    """Pairs (a, b) of the distinct fingerprints in column fp with 1 to DISTANCE differing bits; a pair may come more than once."""
     low, high = popcounts(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))), popcounts(F.shiftrightunsigned(F.col("fp"), 32))
-    cells = distinct_fp.select("fp", F.posexplode(F.array(low, high)).alias("half", "cell"))
-    home = cells.select(F.col("fp").alias("b"), "half", "cell")
+    cells = distinct_fp.select("fp", F.posexplode(F.array(F.struct(low.alias("cell"), high.alias("rest")), F.struct(high.alias("cell"), low.alias("rest")))).alias("half", "c"))
+    # where in the other half's quarters: half, quarter and the quarter's counts, above the cell's 32 bits
+    quarters = F.array(*[F.shiftleft((F.col("half") * 4 + q) * 256 + F.shiftright(F.col("c.rest"), 8 * q).bitwiseAND(F.lit(255)), 32) for q in range(4)])
+    cells = cells.select("fp", F.col("c.cell").alias("cell"), F.explode(quarters).alias("above"))
+    home = cells.select(F.col("fp").alias("b"), (F.col("above") + F.col("cell")).alias("key"))
     steps = F.array(*[F.when(F.shiftright(F.col("cell"), 2 * i).bitwiseAND(F.lit(3)) < 2, F.col("cell") + (1 << 2 * i)) for i in range(16)])
-    probes = cells.select(F.col("fp").alias("a"), "half", F.explode(F.array_compact(F.concat(F.array("cell"), steps))).alias("cell"))
+    probes = cells.select(F.col("fp").alias("a"), "above", F.explode(F.array_compact(F.concat(F.array("cell"), steps))).alias("cell"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
-    return probes.join(home, ["half", "cell"]).where((F.col("a") != F.col("b")) & near).select("a", "b")
+    return probes.select("a", (F.col("above") + F.col("cell")).alias("key")).join(home, "key").where((F.col("a") != F.col("b")) & near).select("a", "b")
+
+
+def labels(distinct_fp: DataFrame) -> DataFrame:
+    """(fp, label) of the fingerprints in column fp: the smallest fingerprint reachable over links."""
+    named = materialise(components(links(distinct_fp)), "components")
+    return distinct_fp.join(named, F.col("fp") == F.col("id"), "left").select("fp", F.coalesce("component_id", "fp").alias("label"))
 
 
 def groups(fps: DataFrame) -> DataFrame:
     """(doc_id, fp) to (fp, component_id): the smallest doc_id reachable over links, for each fingerprint."""
     reps = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    comp = materialise(components(links(reps.select("fp"))), "components").withColumnRenamed("component_id", "group")
-    member = reps.join(comp, F.col("fp") == F.col("id")).select("fp", "rep", "group")
-    lowest = member.groupBy("group").agg(F.min("rep").alias("lowest"))
-    named = member.join(lowest, "group").select(F.col("fp").alias("linked_fp"), "lowest")
-    return reps.join(named, F.col("fp") == F.col("linked_fp"), "left").select("fp", F.coalesce("lowest", "rep").alias("component_id"))
+    member = labels(reps.select("fp")).join(reps, "fp")
+    lowest = member.groupBy("label").agg(F.min("rep").alias("component_id"))
+    return member.join(lowest, "label").select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -105,14 +113,21 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest id; repeated rows of it stay once.
+    """One row of each group: that with the smallest id, null last; of several, that with the smallest text hash, then any.
 
-    Documents with a null id take part under an id derived from their text, above all real ids.
+    Rows are told apart by a number, not by id: texts of different groups that share an id, or have none, are kept all.
+    The rows keep their columns, whatever the names.
     """
-    stand_in = F.xxhash64("text").bitwiseAND(F.lit(0x3FFFFFFFFFFFFFFF)).bitwiseOR(F.lit(0x4000000000000000))
-    named = docs.withColumn("simhash_key", F.coalesce(F.col("doc_id").cast("long"), stand_in))
-    found = near_duplicates(named.select(F.col("simhash_key").alias("doc_id"), "text"))
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("simhash_key")).distinct()
-    once = W.partitionBy("simhash_key").orderBy("text", "doc_id")
-    out = named.join(kept, "simhash_key", "left_semi").withColumn("simhash_row", F.row_number().over(once))
-    return out.where("simhash_row = 1").select(*docs.columns)
+    rows = numbered(docs, "rows")
+    every = rows.select("n", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64("row.text").alias("tie"), "row.text")
+
+    def make(rows):
+        for r in rows:
+            r["fp"] = fingerprint(r.pop("text"))
+            yield r
+
+    fps = map_rows(every, make, "n long, id long, tie long, fp long")
+    first = fps.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie", "n")).alias("first"))
+    first = materialise(first, "reps")
+    kept = first.join(labels(first.select("fp")), "fp").groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.n").alias("n"))
+    return rows.join(materialise(kept, "kept"), "n", "left_semi").select("row.*")

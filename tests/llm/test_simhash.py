@@ -59,11 +59,16 @@ def test_links_and_groups_are_brute_force(spark):
 
 
 def test_edge_cases(spark):
-    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (2, None, "s"), (3, "", None), (None, "a b c", "s"), (None, "q w e r t y", "s"), (4, "A  B\nC", "s")]
+    rows = [(1, "other words altogether", "s"), (1, "a b c", "s"), (1, "a b c", "s"), (2, None, "s"), (3, "", None), (None, "a b c", "s"), (None, "q w e r t y", "s"), (4, "A  B\nC", "s")]
+    # two groups have rows of id 1, one of the two rows without id is alone
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
     got = sorted(((str(r.doc_id), r.fp == 0, r.component_id) for r in simhash.near_duplicates(df).collect()), key=str)
-    assert got == sorted([("1", False, 1), ("1", False, 1), ("2", True, 2), ("3", True, 2), ("None", False, 1), ("None", False, None), ("4", False, 1)], key=str)
+    assert got == sorted([("1", False, 1), ("1", False, 1), ("1", False, 1), ("2", True, 2), ("3", True, 2), ("None", False, 1), ("None", False, None), ("4", False, 1)], key=str)
     assert simhash.near_duplicates(df.limit(0)).count() == 0
     kept = simhash.keep_one(spark, df, "")
     assert kept.columns == df.columns
-    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == ["1", "2", "None"]
+    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == ["1", "1", "2", "None"]
+    clash = df.selectExpr("*", "'k' AS n", "doc_id AS row", "text AS tie", "1.5 AS label")
+    again = simhash.keep_one(spark, clash, "")
+    assert again.columns == clash.columns and {(r.n, r.label) for r in again.collect()} == {("k", 1.5)}
+    assert simhash.keep_one(spark, df.limit(0), "").count() == 0
