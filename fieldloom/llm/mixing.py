@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, table, word_count
+from .common import materialise, numbered, table, word_count
 
 BINS = 1 << 16
 #: No source is repeated more often than this.
@@ -66,16 +66,18 @@ def targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame) -> DataFrame:
+def mix(docs: DataFrame, number: str | None = None) -> DataFrame:
     """docs (doc_id, text, source) to (doc_id, size, source, source_size, target, quality_weight, taken).
 
+    number names a long column of docs that comes along.
+
     taken counts the words that the mix takes of a row, repeats counted: epochs * size, and in the last,
     fractional epoch the whole row before the budget ends, the row's first words where it ends, or nothing.
     The words taken of a source are its target rounded to whole words. No row is taken over MOST_EPOCHS times.
     """
     digits = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, 13)
     unit = (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("quality_weight"), F.xxhash64("text").alias("tie"))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("quality_weight"), F.xxhash64("text").alias("tie"), (F.col(number) if number else F.lit(None).cast("long")).alias("number"))
     rows = rows.withColumn("sort_key", -F.log(unit) / F.col("quality_weight"))
     rows = rows.withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("sort_key"))) * BINS), F.lit(BINS - 1)).cast("int"))
     rows = materialise(rows, "mix")
@@ -97,25 +99,27 @@ def mix(docs: DataFrame) -> DataFrame:
     goal = materialise(goal.join(cut, "key", "left").drop("key"), "cuts").withColumn("key", F.struct("source"))
     rows = rows.withColumn("key", F.struct("source")).drop("source")
     rows = rows.join(goal, "key")
-    inside = W.partitionBy("source", "bin").orderBy("sort_key", "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "bin").orderBy("sort_key", "doc_id", "size", "tie", "number").rowsBetween(W.unboundedPreceding, -1)
     edge = rows.where("bin = cut_bin").withColumn("rest", F.col("budget") - F.col("cut_before") - F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rest = rows.where("cut_bin is null or bin <> cut_bin").withColumn("rest", F.when(F.col("cut_bin").isNull(), 0).when(F.col("bin") < F.col("cut_bin"), F.col("size")).otherwise(0).cast("long"))
     partly = F.greatest(F.lit(0), F.least("size", "rest"))
     return edge.unionByName(rest).select(
-        "doc_id", "size", "source", "source_size", "target", "quality_weight", (F.col("epochs") * F.col("size") + partly).cast("long").alias("taken")
+        *(["number"] if number else []), "doc_id", "size", "source", "source_size", "target", "quality_weight", (F.col("epochs") * F.col("size") + partly).cast("long").alias("taken")
     )
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, with the columns of docs: a row for each whole time that it is taken.
+    """The documents of the mix, with the columns of docs, whatever their names: a row for each whole time that it is taken.
 
     The row where a budget ends is kept if at least half of it lies inside. A document without words
-    adds nothing to any target and stays once.
+    adds nothing to any target and stays once. Rows are told apart by a number, not by id, so those that
+    share an id or have none are taken each by itself.
     """
-    plan = mix(docs).select("doc_id", F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("copies"))
-    plan = plan.where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    joined = docs.join(plan.withColumnRenamed("doc_id", "mixed_id").withColumnRenamed("copies", "mixed_copies"), F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-    return joined.withColumn("mixed_copies", F.explode(F.sequence(F.lit(1), F.col("mixed_copies")))).select(*[docs[c] for c in docs.columns])
+    rows = numbered(docs, "rows")
+    plan = mix(rows.select("n", "row.doc_id", "row.text", "row.source"), "n")
+    times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
+    copies = plan.select(F.col("number").alias("n"), times.alias("times")).where("times > 0")
+    return rows.join(copies, "n").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,6 +60,20 @@ def test_stage_keeps_columns_and_copies(spark):
     assert out.groupBy("doc_id").count().agg(F.max("count")).first()[0] == 2
 
 
+def test_stage_takes_rows_apart(spark):
+    """400 rows of one id, 400 without: each row by itself, as mix() plans."""
+    rows = [(i if i < 400 else None if i < 800 else 7, " ".join(["w"] * (1 + i % 40)), "ab"[i % 2], i) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, number long").selectExpr("*", "1 AS n", "'x' AS row", "2 AS times")
+    out = mixing.mixed_documents(spark, df, "")
+    assert out.columns == df.columns
+    taken, want = defaultdict(int), {r.source: r.target for r in mixing.mix(df).collect()}
+    for r in out.collect():
+        assert (r.n, r.row, r.times) == (1, "x", 2) and rows[r.number][:3] == (r.doc_id, r.text, r.source)
+        taken[r.source] += len(r.text.split())
+    assert all(abs(taken[s] - want[s]) <= 20 for s in want)
+    assert mixing.mixed_documents(spark, df.limit(0), "").count() == 0
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2100)] + [(7, 7)]
