@@ -6,7 +6,7 @@ in numpy) gives the conjunctions weights, most of them zero. What is left is com
 column expression over the statistics, which one pass of an Arrow UDF takes from each whole text.
 
 Defined cases: null texts count as empty; empty texts get the score of all-zero statistics; a null id
-is never held out; a doc_id labelled more than once has its mean label, rounded up from one half;
+is never held out; rows that share an id are scored each by itself; a doc_id labelled more than once has its mean label, rounded up from one half;
 labels other than 0 and 1 and null labels are not learnt from; without any usable label every score is
 0.5, with one class only it is that class's smoothed share; extra columns are ignored; an empty table
 gives an empty result.
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import table
+from .common import nested, table
 
 #: The classifier is fitted on at most so many labelled rows, those with the smallest hash of their id.
 FIT_ROWS = 20_000
@@ -186,31 +186,26 @@ def fit(docs: DataFrame, labels: DataFrame) -> Ensemble:
         .orderBy(F.xxhash64("fit_id"), "fit_id")
         .limit(FIT_ROWS)
     )
-    rows = docs.join(F.broadcast(usable), F.col("doc_id") == F.col("fit_id"))
-    got = rows.select("fit_label", statistics("text").alias("stats")).select("fit_label", "stats.*").limit(FIT_ROWS).toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(usable), F.col("doc_id") == F.col("fit_id"))  # FIT_ROWS rows at most
+    stats = rows.select("fit_id", "fit_label", F.xxhash64("text").alias("fit_tie"), statistics("text").alias("stats"))
+    got = stats.orderBy(F.xxhash64("fit_id"), "fit_id", "fit_tie").limit(FIT_ROWS).select("fit_label", "stats.*").toPandas()
     return fit_rules(got[list(STATISTICS)].to_numpy(float), got["fit_label"].to_numpy())
 
 
 def score(docs: DataFrame, model: Ensemble) -> DataFrame:
-    """docs with __quality_score added."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-    wide = docs.withColumn("__quality_stats", statistics("text"))
-    return wide.withColumn("__quality_score", model.score({k: F.col("__quality_stats")[k] for k in STATISTICS})).drop("__quality_stats")
+    """(row, score): the rows of docs, with all their columns, and their scores."""
+    wide = docs.select(nested(docs).alias("row"), statistics("text").alias("stats"))
+    return wide.select("row", model.score({k: F.col("stats")[k] for k in STATISTICS}).alias("score"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")))
-    return scored.select(
-        "doc_id",
-        held_out(F.col("doc_id")).alias("held_out"),
-        F.col("__quality_score").alias("score"),
-        (F.col("__quality_score") >= 0.5).cast("int").alias("predicted"),
-    )
+    return scored.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that the classifier rejects."""
+    """docs, with all their columns, without the rows that the classifier rejects."""
     every = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(every, table(spark, sf_dir, "labels").select("doc_id", "quality"))
-    return score(docs, model).where("__quality_score >= 0.5").select(*docs.columns)
+    return score(docs, model).where("score >= 0.5").select("row.*")

@@ -53,6 +53,6 @@ def test_edge_cases(spark):
     for used in (labels, labels.limit(0)):
         m = q.fit(docs, used.select("doc_id", "quality"))
         rows = q.score(docs, m).collect()
-        assert len(rows) == 4 and all(0 <= r["__quality_score"] <= 1 for r in rows)
+        assert len(rows) == 4 and all(0 <= r["score"] <= 1 for r in rows)
     assert q.score(docs.limit(0).select("doc_id", "text"), m).count() == 0
     assert pytest.approx(0.5) == 1 / (1 + math.exp(-q.fit_rules(np.zeros((0, 14)), np.zeros(0)).bias))
