@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Token expansions of addresses.
+# Token expansions of addresses. Letters with a nukta occur as one code point and as two.
 EXPANSIONS = {
     "st": "street", "rd": "road", "ave": "avenue", "av": "avenue", "ln": "lane", "ct": "court", "cir": "circle", "dr": "drive", "pl": "place",
     "pkwy": "parkway", "hwy": "highway", "bldg": "building", "blk": "block", "apt": "apartment", "flat": "flat", "ste": "suite", "fl": "floor",
@@ -15,8 +15,8 @@ EXPANSIONS = {
     "ps": "police station", "stn": "station", "dist": "district", "tal": "taluk", "teh": "tehsil", "nr": "near",
     "rod": "road", "marg": "road", "sadak": "road", "gali": "lane", "makan": "house", "bhavan": "building", "tavar": "tower",
     "apartment": "apartment", "phlait": "flat", "najdik": "near", "nazdik": "near", "paas": "near",
-    "रोड": "road", "मार्ग": "road", "सड़क": "road", "सडक": "road", "गली": "lane", "मकान": "house", "भवन": "building", "टावर": "tower",
-    "अपार्टमेंट": "apartment", "फ्लैट": "flat", "नजदीक": "near", "पास": "near",
+    "रोड": "road", "मार्ग": "road", "सड़क": "road", "सड़क": "road", "सडक": "road", "गली": "lane", "मकान": "house", "भवन": "building", "टावर": "tower",
+    "अपार्टमेंट": "apartment", "फ़्लैट": "flat", "फ्लैट": "flat", "नजदीक": "near", "नज़दीक": "near", "पास": "near",
 }
 
 # Tokens left out of names and addresses.
@@ -31,8 +31,8 @@ MONTHS = dict(zip("jan feb mar apr may jun jul aug sep oct nov dec".split(), ran
 GENDERS = {
     "m": "male", "male": "male", "man": "male", "boy": "male", "f": "female", "female": "female", "woman": "female", "girl": "female",
     "other": "other", "others": "other", "nb": "other", "non-binary": "other", "nonbinary": "other",
-    "पुरुष": "male", "आदमी": "male", "लड़का": "male", "लड़का": "male", "बालक": "male", "महिला": "female", "स्त्री": "female", "नारी": "female",
-    "लड़की": "female", "लड़की": "female", "अन्य": "other", "दूसरे": "other", "purush": "male", "aadmi": "male", "ladka": "male", "balak": "male",
+    "पुरुष": "male", "आदमी": "male", "लड़का": "male", "लड़का": "male", "बालक": "male", "महिला": "female", "स्त्री": "female", "नारी": "female",
+    "लड़की": "female", "लड़की": "female", "अन्य": "other", "दूसरे": "other", "purush": "male", "aadmi": "male", "ladka": "male", "balak": "male",
     "mahila": "female", "stree": "female", "naari": "female", "nari": "female", "ladki": "female", "anya": "other", "dusre": "other",
 }
 

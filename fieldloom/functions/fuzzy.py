@@ -53,6 +53,22 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(ratio(one, two), ratio(both, one), ratio(both, two))
 
 
+def best_phrase(phrases: list[str], line: str, least: float) -> int | None:
+    """Index of the phrase with the highest token_set_ratio to line, the first of equals, if it is least or more.
+
+    Without a common token the ratio is bounded by the lengths, so most lines need no ratio at all.
+    """
+    words = set(line.split())
+    n, top, best = sum(map(len, words)) + max(0, len(words) - 1), 0.0, None
+    for i, p in enumerate(phrases):
+        if 200.0 * min(n, len(p)) / max(1, n + len(p)) < least and words.isdisjoint(p.split()):
+            continue
+        score = token_set_ratio(p, line)
+        if score > top:
+            top, best = score, i
+    return best if top >= least else None
+
+
 def partial_ratio(a: str, b: str) -> float:
     """Best ratio of the shorter string with any window of its length in the longer, cut off at the ends, too."""
     if len(a) > len(b):

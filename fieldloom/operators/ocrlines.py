@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.dictionaries import LINE_PHRASES, LINE_SCORE, LINE_STARTS
-from ..functions.fuzzy import token_set_ratio
+from ..functions.fuzzy import best_phrase
 
 _PHRASES = [(label, p) for label, ps in LINE_PHRASES.items() for p in ps]
 _START = re.compile(LINE_STARTS, re.IGNORECASE)
@@ -31,9 +31,8 @@ def fold_punctuation(line: str) -> str:
 
 def label_of(line: str) -> tuple[str, str] | None:
     """(label, phrase) of the best phrase, the first of equals, if it scores enough."""
-    scored = [token_set_ratio(p, line.lower()) for _, p in _PHRASES]
-    top = max(scored)
-    return _PHRASES[scored.index(top)] if top >= LINE_SCORE else None
+    at = best_phrase([p for _, p in _PHRASES], line.lower(), LINE_SCORE)
+    return None if at is None else _PHRASES[at]
 
 
 def canonical(label: str, value: str) -> str | None:

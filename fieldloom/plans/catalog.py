@@ -13,6 +13,7 @@ from ..operators import extract, ocrlines, register, review, verify
 from ..operators import score as C
 from ..sources import documents as sources
 from ..sources import sinks
+from . import expected as X
 from . import inputs as I
 
 QUERIES: dict = {}
@@ -57,6 +58,12 @@ def _sql_generic(c: str) -> str:
     return _sql_stop(_sql_expand(f"trim(regexp_replace(regexp_replace(lower({c}), '[.,;:!?\\-()\"''/]', ' ', 'g'), '\\s+', ' ', 'g'))"))
 
 
+_PHONE = """CASE WHEN a = '' OR b = '' THEN 0.0 WHEN a = b OR right(a, 10) = right(b, 10) THEN 1.0 WHEN length(a) >= 9 AND length(b) >= 9 AND right(a, 9) = right(b, 9) THEN 0.95
+  WHEN length(a) >= 8 AND length(b) >= 8 AND right(a, 8) = right(b, 8) THEN 0.9 WHEN length(a) >= 7 AND length(b) >= 7 AND right(a, 7) = right(b, 7) THEN 0.85
+  WHEN length(a) >= 6 AND length(b) >= 6 AND right(a, 6) = right(b, 6) THEN 0.8
+  ELSE greatest(0.0, 1 - CAST(list_sum(list_transform(range(1, 11), lambda i: CASE WHEN substr(lpad(right(a, 10), 10, '0'), CAST(i AS INTEGER), 1) <> substr(lpad(right(b, 10), 10, '0'), CAST(i AS INTEGER), 1) THEN 1 ELSE 0 END)) + 10 - least(length(b), 10) AS DOUBLE) / 10) END"""
+
+
 # Sources, sinks
 
 
@@ -73,15 +80,18 @@ def s3_page_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.assemble_pages(pages, "conv_id")
 
 
-@query()
+@query(I.SQL + "SELECT CAST(application_id AS VARCHAR) AS path, '--- PAGE 1 ---' || chr(10) || raw_text AS raw_text, CAST(NULL AS VARCHAR) AS error FROM docs")
 def s6_recognise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The recogniser is a stand-in that reads lines out of bytes; what is run is the rest of the path."""
+    return sources.extract_text(_scans(spark, sf_dir), _line_reader)
 
-    def make_reader(lang: str):
-        return lambda content, how: [content.decode().split("\n")]
 
-    docs = I.documents(spark, sf_dir).select(F.col("application_id").cast("string").alias("path"), F.encode("raw_text", "UTF-8").alias("content"), F.lit("pdf").alias("handler"))
-    return sources.extract_text(docs, make_reader)
+def _line_reader(lang: str):
+    return lambda content, how: [content.decode().split("\n")]
+
+
+def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.documents(spark, sf_dir).select(F.col("application_id").cast("string").alias("path"), F.encode("raw_text", "UTF-8").alias("content"), F.lit("pdf").alias("handler"))
 
 
 @query("WITH d AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events) SELECT event_id, k FROM d")
@@ -89,12 +99,21 @@ def s8_json_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.table(spark, sf_dir, "events").select("event_id", sources.read_forms(F.col("props"))["k"].alias("k"))
 
 
-@query()
+_SIDES = "p.first || ' ' || p.last AS ocr_name, strftime(p.born, '%-d %b %Y') AS ocr_dob, '+91 ' || p.phone AS ocr_phone, p.house || ' ' || p.road AS ocr_address, p.sex AS ocr_gender, " + ", ".join(f"f.{x} AS user_{x}" for x in D.SCORED)
+_FLOW = I.SQL + ", " + X.verified(X.PEOPLE, _sql_generic, _PHONE)
+_SCORES = ", ".join(f"f_{f}" for f in D.SCORED)
+_FROM_PAIRS = "FROM done JOIN people p ON p.application_id = done.application_id JOIN forms f ON f.application_id = done.application_id"
+
+
+@query(f"{_FLOW} SELECT '2026-01-01T00:00:00.000000' AS ts, {_SIDES}, overall_confidence, decision, {_SCORES}, notes, 'a3-v1' AS version {_FROM_PAIRS}")
 def s9_audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.audit_rows(e6_verify_pairs(spark, sf_dir), F.lit("2026-01-01 00:00:00").cast("timestamp"))
+    rows = sinks.audit_rows(e6_verify_pairs(spark, sf_dir), F.lit("2026-01-01 00:00:00").cast("timestamp"))
+    sides = [F.col(side)[f].alias(f"{side}_{f}") for side in ("ocr", "user") for f in D.SCORED]
+    scores = [F.col("response.fields")[f].alias(f"f_{f}") for f in D.SCORED]
+    return rows.select("ts", *sides, "response.overall_confidence", "response.decision", *scores, "response.notes", "response.version")
 
 
-@query()
+@query(f"{_FLOW} SELECT overall_confidence, decision, {_SCORES}, {_SIDES} {_FROM_PAIRS}")
 def s10_flat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.flat_rows(e6_verify_pairs(spark, sf_dir))
 
@@ -113,21 +132,45 @@ def s13_register(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Lines
 
 
-@query()
+@query(
+    I.SQL
+    + """SELECT application_id, ['First Name: ' || first, 'Last Name: ' || last, 'DOB', strftime(born, '%d/%m/%Y'), 'Gender: ' || sex, 'Address: ' || house || ' ' || road, 'City', city || '.',
+    'State', state || '.', 'Pin Code', pin, 'Phone', '+91 ' || phone, 'Email', upper(mail)] AS lines FROM people"""
+)
 def x_line_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = I.documents(spark, sf_dir)
     return docs.select("application_id", ocrlines.normalise_lines(F.split(F.regexp_replace("raw_text", ": ", "\n"), "\n")).alias("lines"))
 
 
-@query("SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda l: replace(replace(l, '—', '-'), '：', ':')), lambda m: regexp_matches(m, '[A-Za-z0-9]') AND length(m) >= 3) AS lines FROM documents")
+def _noisy_lines(k):
+    """Labels with slips, values on the same line or the next, repeats, and lines that go."""
+    n = k.cast("string")
+    return F.array(
+        F.lit("Frst Name"), F.concat(F.lit("Abc"), n), F.lit("surname： Xyz"), F.lit("Sex"), F.when(k % 2 == 0, "m").otherwise("F"), F.lit("my age is this"), F.concat((k % 90 + 10).cast("string"), F.lit(" years")),
+        F.concat(F.lit("row "), n), F.concat(F.lit("row "), n), F.lit("ab"), F.lit("पंक्ति"), F.lit(None).cast("string"), F.lit("  "), F.concat(F.lit("Permanent Address — "), n, F.lit(" MG Road")), F.lit("Gender"), F.lit("Last Name"), F.lit("Pqr"),
+    )
+
+
+@query(
+    "SELECT c_custkey, ['First Name: Abc' || c_custkey, 'Last Name: Xyz', 'Gender: ' || CASE WHEN c_custkey % 2 = 0 THEN 'Male' ELSE 'Female' END, 'Age: ' || (c_custkey % 90 + 10), 'row ' || c_custkey, "
+    "'Address: ' || c_custkey || ' MG Road', 'Gender', 'Last Name: Pqr'] AS lines FROM customer"
+)
+def x_noisy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.table(spark, sf_dir, "customer").select("c_custkey", ocrlines.normalise_lines(_noisy_lines(F.col("c_custkey"))).alias("lines"))
+
+
+_LINES = "SELECT doc_id, list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda m: regexp_matches(m, '[A-Za-z0-9]') AND length(m) >= 3)) AS kept FROM documents"
+
+
+@query(f"SELECT doc_id, list_sort(kept) AS lines FROM ({_LINES})")
 def x8_kept_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folded = F.transform(F.split("text", "\n"), lambda x: F.translate(x, "—：", "-:"))
-    return I.table(spark, sf_dir, "documents").select("doc_id", F.filter(folded, lambda x: F.rlike(x, F.lit("[A-Za-z0-9]")) & (F.length(x) >= 3)).alias("lines"))
+    return I.table(spark, sf_dir, "documents").select("doc_id", F.array_sort(ocrlines.normalise_lines(F.split("text", "\n"))).alias("lines"))
 
 
-@query("SELECT doc_id, len(list_distinct(string_split(text, chr(10)))) AS n_lines FROM documents")
+@query(f"SELECT doc_id, CAST(len(kept) AS BIGINT) AS n_lines FROM ({_LINES})")
 def x9_distinct_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.table(spark, sf_dir, "documents").select("doc_id", F.size(F.array_distinct(F.split("text", "\n"))).cast("long").alias("n_lines"))
+    twice = F.split(F.concat("text", F.lit("\n"), "text"), "\n")
+    return I.table(spark, sf_dir, "documents").select("doc_id", F.size(ocrlines.normalise_lines(twice)).cast("long").alias("n_lines"))
 
 
 # Extraction
@@ -186,12 +229,25 @@ _FULL = """SELECT application_id, document_type, first || ' ' || last AS name, C
   CASE WHEN n THEN NULL ELSE pin END AS pincode, CASE WHEN n THEN NULL ELSE '+91' || phone END AS phone, CASE WHEN n THEN NULL ELSE lower(replace(mail, 'qmail', 'gmail')) END AS email"""
 
 
-@query(I.SQL + _FULL + ", CAST(CASE WHEN n THEN 1 ELSE 9 END AS BIGINT) AS fields_count, CASE WHEN n THEN ['age', 'gender', 'address', 'phone', 'email'] ELSE ['age'] END AS missing_fields FROM (SELECT p.*, d.document_type, coalesce(d.document_type = 'aadhar', FALSE) AS n FROM people p JOIN docs d USING (application_id))")
+_FULL_ROWS = _FULL + ", CAST(CASE WHEN n THEN 1 ELSE 9 END AS BIGINT) AS fields_count, CASE WHEN n THEN ['age', 'gender', 'address', 'phone', 'email'] ELSE ['age'] END AS missing_fields FROM (SELECT p.*, d.document_type, coalesce(d.document_type = 'aadhar', FALSE) AS n FROM people p JOIN docs d USING (application_id))"
+
+
+@query(I.SQL + _FULL_ROWS)
 def e4_extract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = extract.with_report(extract.extract_fields(I.documents(spark, sf_dir)))
     return rows.drop("raw_text").withColumn("fields_count", F.col("fields_count").cast("long"))
 
 
+@query(
+    I.SQL
+    + """SELECT CAST(application_id AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS error, first || ' ' || last AS name, sex AS gender, strftime(born, '%d/%m/%Y') AS dob, CAST(NULL AS VARCHAR) AS age,
+    house || ' ' || road AS address, city, state, pin AS pincode, '+91' || phone AS phone, lower(replace(mail, 'qmail', 'gmail')) AS email, CAST(9 AS BIGINT) AS fields_count, ['age'] AS missing_fields FROM people"""
+)
+def e2_extract_and_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sources.extract_and_map(_scans(spark, sf_dir), _line_reader)
+    return rows.drop("raw_text").withColumn("fields_count", F.col("fields_count").cast("long"))
+
+
 # Projections, predicates, pairing
 
 
@@ -266,7 +322,7 @@ def j3_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Normal forms
 
 
-@query()
+@query("SELECT doc_id, regexp_replace(strip_accents(text), '[\\x00-\\x1F\\x7F]', '', 'g') AS latin FROM documents")
 def n1_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.table(spark, sf_dir, "documents").select("doc_id", N.to_latin("text").alias("latin"))
 
@@ -292,9 +348,9 @@ def n6_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("application_id", "expanded", N.drop_stop_tokens(F.col("expanded")).alias("kept"), "normal")
 
 
-@query(f"SELECT c_custkey, {_sql_map({k: v for k, v in D.GENDERS.items()}, 'g')} AS gender FROM (SELECT c_custkey, ['m', 'female', 'boy', 'महिला', 'non-binary', 'unknown', ''][c_custkey % 7 + 1] AS g FROM customer)")
+@query(f"SELECT c_custkey, {_sql_map({k: v for k, v in D.GENDERS.items()}, 'g')} AS gender FROM (SELECT c_custkey, ['m', 'female', 'boy', 'महिला', 'non-binary', 'unknown', '', 'लड़की', 'लड़का'][c_custkey % 9 + 1] AS g FROM customer)")
 def n7_gender(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = F.element_at(F.array(*[F.lit(x) for x in (" M", "Female ", "boy", "महिला", "Non-Binary", "Unknown", "")]), F.expr("cast(c_custkey % 7 + 1 as int)"))
+    given = F.element_at(F.array(*[F.lit(x) for x in (" M", "Female ", "boy", "महिला", "Non-Binary", "Unknown", "", "लड़की", "लड़का")]), F.expr("cast(c_custkey % 9 + 1 as int)"))
     return I.table(spark, sf_dir, "customer").select("c_custkey", N.gender(given).alias("gender"))
 
 
@@ -323,21 +379,18 @@ def n11_age_note(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.table(spark, sf_dir, "orders").select("o_orderkey", N.age_note(dob, age, F.lit(AS_OF).cast("date")).alias("note"))
 
 
-# Fuzzy ratios: longest common subsequence by rows of the table, each a running maximum
+# Fuzzy ratios
 
 
-def _sql_lcs(a: str, b: str) -> str:
-    row = f"list_transform(range(1, len(acc) + 1), lambda i: list_max(list_transform(range(1, i + 1), lambda j: CASE WHEN j = 1 THEN 0 ELSE greatest(acc[j], acc[j - 1] + CASE WHEN substr({b}, CAST(j - 1 AS INTEGER), 1) = ch[1] THEN 1 ELSE 0 END) END)))"
-    steps = f"list_prepend(list_transform(range(0, length({b}) + 1), lambda z: CAST(0 AS INTEGER)), list_transform(range(1, length({a}) + 1), lambda p: [CAST(p AS INTEGER)]))"
-    row = row.replace("ch[1]", f"substr({a}, ch[1], 1)")
-    return f"list_extract(list_reduce({steps}, lambda acc, ch: list_transform({row}, lambda q: CAST(q AS INTEGER))), -1)"
+_PAIRS = X.NAME_PAIRS
 
 
-_PAIRS = I.SQL + ", pairs AS (SELECT p.application_id, lower(p.first || ' ' || p.last) AS a, lower(f.name) AS b FROM people p JOIN forms f USING (application_id))"
+def _ratio(a: str, b: str) -> str:
+    return f"200.0 * {X.lcs(a, b)} / (length({a}) + length({b}))"
 
 
-def _ratio(a: str, b: str) -> str:
-    return f"200.0 * {_sql_lcs(a, b)} / (length({a}) + length({b}))"
+def _all_ratios(column: str) -> str:
+    return f"{_PAIRS}, {X.fuzzy('pairs', '')} SELECT application_id, {column} AS ratio FROM pairs JOIN fz USING (a, b)"
 
 
 def _name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,12 +424,12 @@ def f3_token_set_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _name_pairs(spark, sf_dir).select("application_id", fuzzy.best_of("token_set_ratio")("a", "b").alias("ratio"))
 
 
-@query()
+@query(_all_ratios("part"))
 def f4_partial_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _name_pairs(spark, sf_dir).select("application_id", fuzzy.best_of("partial_ratio")("a", "b").alias("ratio"))
 
 
-@query()
+@query(_all_ratios("weighted"))
 def f5_weighted_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _name_pairs(spark, sf_dir).select("application_id", fuzzy.best_of("weighted_ratio")("a", "b").alias("ratio"))
 
@@ -384,16 +437,16 @@ def f5_weighted_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Scores
 
 
-@query()
+@query(f"{_PAIRS}, {X.fuzzy('pairs', '')}, {X.name_scores('')} SELECT application_id, score FROM pairs JOIN ns USING (a, b)")
 def c1_name_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _name_pairs(spark, sf_dir).withColumn("f", C.name_ratio("a", "b"))
     return rows.select("application_id", C.name_score(F.col("a"), F.col("b"), F.col("f")).alias("score"))
 
 
-@query()
+@query(I.SQL + f", pairs AS (SELECT application_id, {_sql_generic('x')} AS a, {_sql_generic('y')} AS b FROM (SELECT p.application_id, p.house || ' ' || p.road AS x, CASE WHEN p.application_id % 3 = 0 THEN p.road ELSE f.address END AS y FROM people p JOIN forms f USING (application_id))), {X.fuzzy('pairs', '')}, {X.address_scores('')} SELECT application_id, score FROM pairs JOIN ads USING (a, b)")
 def c2_address_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, f = I.people(spark, sf_dir), I.forms(spark, sf_dir)
-    rows = p.join(f.select("application_id", "address"), "application_id").select("application_id", N.generic(F.concat_ws(" ", "house", "road")).alias("a"), N.generic(F.col("address")).alias("b"))
+    rows = p.join(f.select("application_id", "address"), "application_id").withColumn("address", F.when(F.col("application_id") % 3 == 0, F.col("road")).otherwise(F.col("address"))).select("application_id", N.generic(F.concat_ws(" ", "house", "road")).alias("a"), N.generic(F.col("address")).alias("b"))
     return rows.withColumn("f", C.address_ratio("a", "b")).select("application_id", C.address_score(F.col("a"), F.col("b"), F.col("f")).alias("score"))
 
 
@@ -405,12 +458,6 @@ def c2_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.table(spark, sf_dir, "part").select("p_partkey", t["shared"].cast("long").alias("shared"), t["all"].cast("long").alias("all_tokens"), t["coverage"].alias("coverage"))
 
 
-_PHONE = """CASE WHEN a = '' OR b = '' THEN 0.0 WHEN a = b OR right(a, 10) = right(b, 10) THEN 1.0 WHEN length(a) >= 9 AND length(b) >= 9 AND right(a, 9) = right(b, 9) THEN 0.95
-  WHEN length(a) >= 8 AND length(b) >= 8 AND right(a, 8) = right(b, 8) THEN 0.9 WHEN length(a) >= 7 AND length(b) >= 7 AND right(a, 7) = right(b, 7) THEN 0.85
-  WHEN length(a) >= 6 AND length(b) >= 6 AND right(a, 6) = right(b, 6) THEN 0.8
-  ELSE greatest(0.0, 1 - CAST(list_sum(list_transform(range(1, 11), lambda i: CASE WHEN substr(lpad(right(a, 10), 10, '0'), CAST(i AS INTEGER), 1) <> substr(lpad(right(b, 10), 10, '0'), CAST(i AS INTEGER), 1) THEN 1 ELSE 0 END)) + 10 - least(length(b), 10) AS DOUBLE) / 10) END"""
-
-
 @query(I.SQL + f"SELECT application_id, CAST({_PHONE} AS DOUBLE) AS score FROM (SELECT p.application_id, '91' || p.phone AS a, CASE WHEN p.application_id % 7 = 0 THEN left(f.phone, 7) ELSE f.phone END AS b FROM people p JOIN forms f USING (application_id))")
 def c3_phone_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, f = I.people(spark, sf_dir), I.forms(spark, sf_dir)
@@ -470,15 +517,17 @@ def w1_first_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_custkey, max_by(o_orderpriority, o_orderkey) AS last_value FROM orders GROUP BY o_custkey")
 def w2_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by("o_orderpriority", "o_orderkey").alias("last_value"))
+    """A customer's orders as lines with the same label: the last one's value stays."""
+    rows = I.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("rows"))
+    lines = F.transform("rows", lambda r: F.concat(F.lit("City: "), r["o_orderpriority"]))
+    return rows.select("o_custkey", extract.by_label(lines, "city").alias("last_value"))
 
 
-@query("SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS next_line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN ['Last Name: ' || o_orderpriority] ELSE ['Last Name', 'First Name: ' || o_orderpriority] END AS lines FROM orders")
 def w4_next_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    rows = I.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return rows.withColumn("next_line", F.lead("line").over(W.partitionBy("doc_id").orderBy("pos"))).withColumn("pos", F.col("pos").cast("long"))
+    """A label's value is the next line, unless that begins with a label."""
+    after = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).otherwise(F.concat(F.lit("First Name: "), "o_orderpriority"))
+    return I.table(spark, sf_dir, "orders").select("o_orderkey", ocrlines.normalise_lines(F.array(F.lit("Last Name"), after)).alias("lines"))
 
 
 # Review
@@ -533,10 +582,18 @@ def u14_batch_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Whole flows
 
 
-@query()
+@query(
+    I.SQL + ", " + X.verified(X.RESTRICTED, _sql_generic, _PHONE) + ", extracted AS (" + _FULL_ROWS + ") "
+    + "SELECT application_id, document_type, " + ", ".join(f"CASE WHEN free OR document_type IN ({', '.join(repr(k) for k, fs in D.DOCUMENT_FIELDS.items() if f in fs) or 'NULL'}) THEN {f} END AS doc_{f}" for f in D.FIELDS)
+    + f", missing_fields, overall_confidence, decision, {_SCORES}, notes FROM (SELECT *, document_type IS NULL OR document_type = 'handwritten' AS free FROM extracted) JOIN done USING (application_id)"
+)
 def e5_map_and_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = verify.map_and_verify(I.documents(spark, sf_dir), I.forms(spark, sf_dir), F.lit(AS_OF).cast("date"))
-    return rows.select("application_id", "document_type", *[f"doc_{f}" for f in D.FIELDS], "missing_fields", "overall_confidence", "decision", "fields", "notes")
+    return rows.select("application_id", "document_type", *[f"doc_{f}" for f in D.FIELDS], "missing_fields", "overall_confidence", "decision", *_field_scores(), "notes")
+
+
+def _field_scores() -> list:
+    return [F.col("fields")[f].alias(f"f_{f}") for f in D.SCORED]
 
 
 def e6_verify_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -546,18 +603,21 @@ def e6_verify_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.verify(verify.pair(p, I.forms(spark, sf_dir)), as_of=F.lit(AS_OF).cast("date"))
 
 
-@query()
+@query(f"{_FLOW} SELECT application_id, overall_confidence, decision, {_SCORES}, notes, 'a3-v1' AS version FROM done")
 def e6_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return e6_verify_pairs(spark, sf_dir).select("application_id", "overall_confidence", "decision", "fields", "notes", "version")
+    return e6_verify_pairs(spark, sf_dir).select("application_id", "overall_confidence", "decision", *_field_scores(), "notes", "version")
+
+
+_REGISTRATION = "'PRE' || upper(left(sha256(CAST(application_id AS VARCHAR)), 10))"
 
 
-@query()
+@query(f"{_FLOW} SELECT application_id, overall_confidence, decision, CASE WHEN overall_confidence >= 0.8e0 THEN 'success' ELSE 'verification_failed' END AS status, CASE WHEN overall_confidence >= 0.8e0 THEN {_REGISTRATION} END AS registration_id FROM done")
 def e8_integrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = register.integrate(I.documents(spark, sf_dir), I.forms(spark, sf_dir))
     return rows.select("application_id", "overall_confidence", "decision", "status", "registration_id")
 
 
-@query()
+@query(I.SQL + ", " + X.verified(f"(SELECT application_id, dn, fn, CAST(NULL AS DOUBLE) AS dd, '' AS da, '' AS fa, dp, fp, FALSE AS dg FROM {X.PEOPLE})", _sql_generic, _PHONE) + f" SELECT application_id, overall_confidence, {_REGISTRATION} AS registration_id, 'success' AS status FROM done")
 def e9_verify_and_submit(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = I.people(spark, sf_dir).select("application_id", F.concat_ws(" ", "first", "last").alias("name"), "phone")
     return register.verify_and_submit(verify.pair(p, I.forms(spark, sf_dir))).select("application_id", "overall_confidence", "registration_id", "status")

@@ -42,7 +42,8 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(application_id, raw_text, document_type): a form as it would be read off paper."""
-    p = people(spark, sf_dir)
+    # the table is one small file, one task by itself; texts are worth more
+    p = people(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "application_id")
     text = F.concat(
         F.lit("First Name: "), "first", F.lit("\nLast Name: "), "last", F.lit("\nDOB: "), F.date_format("born", "dd/MM/yyyy"), F.lit("\nGender: "), "sex",
         F.lit("\nAddress: "), "house", F.lit(" "), "road", F.lit("\nCity: "), "city", F.lit(".\nState: "), "state", F.lit(".\nPin Code: "), "pin",

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.extract import extract_fields, with_report
 from ..operators.ocrlines import normalise_lines
 
 # Extensions of images, and limits of image sizes.
@@ -109,7 +110,7 @@ def assemble_pages(pages: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def recognise(docs: DataFrame, make_reader: Callable[[str], Callable[[bytes, str], list[list[str]]]], lang: str = "en", key: str = "path") -> DataFrame:
-    """(key, content, handler) to (key, page_no, lines, error).
+    """(key, content, handler) to (key, handler, page_no, lines, error).
 
     make_reader(lang) is called once a task and gives read(content, handler), the lines of each page.
     What it raises becomes the row's error.
@@ -118,22 +119,20 @@ def recognise(docs: DataFrame, make_reader: Callable[[str], Callable[[bytes, str
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read = None
         for batch in batches:
-            rows = []
             for k, content, how in zip(batch[key], batch["content"], batch["handler"], strict=True):
                 try:
                     read = read or make_reader(lang)
-                    pages = read(bytes(content), how)
-                    rows += [(k, i, [t for t in page if t.strip()], None) for i, page in enumerate(pages, 1)]
+                    rows = [(k, how, i, [t for t in page if t.strip()], None) for i, page in enumerate(read(bytes(content), how), 1)]
                 except Exception as e:  # noqa: BLE001  a document's failure is its own
-                    rows.append((k, 1, [], str(e) or type(e).__name__))
-            yield pd.DataFrame(rows, columns=[key, "page_no", "lines", "error"])
+                    rows = [(k, how, 1, [], str(e) or type(e).__name__)]
+                yield pd.DataFrame(rows, columns=[key, "handler", "page_no", "lines", "error"])
 
-    return docs.select(key, "content", "handler").mapInPandas(run, f"{key} string, page_no int, lines array<string>, error string")
+    return docs.select(key, "content", "handler").mapInPandas(run, f"{key} string, handler string, page_no int, lines array<string>, error string")
 
 
 def extract_text(docs: DataFrame, make_reader, lang: str = "en", key: str = "path") -> DataFrame:
     """(key, raw_text, error): lines of each page normalised; PDF pages get headings."""
-    pages = recognise(docs.where("handler is not null"), make_reader, lang, key).join(docs.select(key, "handler"), key)
+    pages = recognise(docs.where("handler is not null"), make_reader, lang, key)
     pages = pages.select(key, "handler", "page_no", "error", F.array_join(normalise_lines("lines"), "\n").alias("text"))
     blocks = F.array_sort(F.collect_list(F.struct("page_no", F.when(F.col("handler") == "pdf", page_block(F.col("page_no"), F.col("text"))).otherwise(F.col("text")).alias("block"))))
     read = pages.groupBy(key).agg(F.array_join(blocks["block"], "\n\n").alias("raw_text"), F.max("error").alias("error"))
@@ -142,6 +141,11 @@ def extract_text(docs: DataFrame, make_reader, lang: str = "en", key: str = "pat
     return read
 
 
+def extract_and_map(docs: DataFrame, make_reader, lang: str = "en", key: str = "path") -> DataFrame:
+    """Files to records in one plan: (key, raw_text, error), every field, how many there are and which are missing."""
+    return with_report(extract_fields(extract_text(docs, make_reader, lang, key), kind=None))
+
+
 def read_texts(spark: SparkSession, path: str, form: str = "json") -> DataFrame:
     """Raw text rows from JSON lines, Parquet, or whole text files."""
     if form == "text":

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.extract import extract_fields
@@ -25,8 +24,11 @@ def extracted(stream: DataFrame) -> DataFrame:
     return extract_fields(stream)
 
 
-def start_verification(stream: DataFrame, forms: DataFrame, out: str, checkpoint: str, as_of=None) -> StreamingQuery:
-    """Verify documents as they come against a static table of forms; append audit rows as JSON lines, exactly once."""
+def start_verification(stream: DataFrame, forms: DataFrame, out: str, checkpoint: str, as_of=None, at: Column | None = None) -> StreamingQuery:
+    """Verify documents as they come against a static table of forms; append audit rows as JSON lines, exactly once.
+
+    at is the stamp of the rows; without it, the time of their batch.
+    """
     verified = map_and_verify(stream, forms, as_of=as_of)
-    rows = audit_rows(verified, F.lit("1970-01-01 00:00:00").cast("timestamp"))
+    rows = audit_rows(verified, at)
     return rows.writeStream.format("json").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()

@@ -50,6 +50,13 @@ def test_ratios_are_bounded_and_symmetric(a, b):
         assert all(f(a, a) == 100 for f in fuzzy.RATIOS.values())
 
 
+@given(st.lists(st.text(alphabet="agensx ", min_size=1, max_size=14).filter(str.strip), min_size=1, max_size=5), st.text(alphabet="agensx ", max_size=30))
+def test_best_phrase_is_the_first_best(phrases, line):
+    scores = [fuzzy.token_set_ratio(p, line) for p in phrases]
+    want = scores.index(max(scores)) if max(scores) >= 80 else None
+    assert fuzzy.best_phrase(phrases, line, 80) == want
+
+
 def test_known_ratios():
     assert fuzzy.lcs("ramesh kumaar", "ramesh kumar") == 12
     assert fuzzy.token_sort_ratio("kumar ramesh", "ramesh kumar") == 100

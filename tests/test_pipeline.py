@@ -124,6 +124,16 @@ def test_files_and_recogniser(spark, tmp_path):
     assert sources.preprocess(__import__("numpy").zeros((20, 10, 3), dtype="uint8")).shape == (1000, 500, 3)
 
 
+def test_files_to_records(spark):
+    rows = [("a.pdf", b"First Name: Ann\nAge: 30", "pdf"), ("b.png", b"\xff", "image"), ("b.png", b"Sex\nF", "image")]
+
+    def make_reader(lang):
+        return lambda content, how: [content.decode().split("\n")]
+
+    got = sorted((r.path, r.name, r.age, r.gender, r.error is None, r.fields_count) for r in sources.extract_and_map(spark.createDataFrame(rows[:2], "path string, content binary, handler string"), make_reader).collect())
+    assert got == [("a.pdf", "Ann", "30", None, True, 2), ("b.png", None, None, None, False, 0)]
+
+
 def test_sinks_and_stream(spark, tmp_path):
     from fieldloom.streaming import ingest
 
@@ -134,6 +144,7 @@ def test_sinks_and_stream(spark, tmp_path):
     q = ingest.start_verification(ingest.text_stream(spark, str(tmp_path / "in")), forms, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
     got = spark.read.json(str(tmp_path / "out"))
+    assert got.where("ts < '2020'").count() == 0
     assert got.count() == 3 and {r.decision for r in got.select("response.decision").collect()} == {"MATCH"}
     pairs = verify.verify(verify.pair(spark.createDataFrame([(1, *USER.values())], "application_id long, name string, dob string, phone string, address string, gender string"), forms))
     for _ in range(2):
