@@ -1,17 +1,20 @@
 """Main text of web pages: text-to-tag ratios of lines, smoothed and thresholded.
 
 The page runs once through the standard library's streaming parser. Its events give lines, one a block,
-with the characters and tags in it and the containers around it. Lines in containers that are not
-article by kind or by name (menus, headers, footers, sidebars, notices, adverts, forms, comments) are
-marked. The text-to-tag ratios of the other lines are smoothed by a Gaussian and split by a threshold
-at one standard deviation; the lines above it show where the content region is: an article or main
-element, or the innermost container that holds them all, and the containers around it that add only
-unmarked lines. The region's unmarked lines are the text, short ones
-included, in page order.
+with the characters and tags in it and the containers around it. Lines in containers that say themselves
+that they are no article, by kind or by name (menus, headers, footers, sidebars, notices, adverts, forms,
+comments), are marked and go first. Of the others, the logarithms of the text-to-tag ratios, characters
+outside links only, are smoothed by a Gaussian and cut into two clusters at the threshold that parts them
+best; ratios that are all alike are one cluster. The upper cluster chooses the content region: an article
+or main element, or the innermost container that holds it all, and the containers around it that add only
+unmarked lines. Where the region is no more than the page itself, blocks without any line of the upper
+cluster go, but for headings and paragraphs next to it. What is left is the text, short lines included,
+in page order.
 
 Defined cases: null and empty pages and pages without text give an empty string; unclosed and stray
 tags are taken as browsers do, roughly; a form or a name that marks most of a page marks nothing; if
-forms and names mark nearly everything, only other kinds and comments count;
+forms and names mark nearly everything, only other kinds and comments count; the time a page takes is
+linear in its size, however deep its containers nest;
 repeated rows and null ids are rows of their own; an empty table gives an empty result; extra columns
 are ignored.
 """
@@ -56,11 +59,12 @@ class _Node:
     soft: the form, fieldset or name that marks lies on this very element, so a page's text can be wrapped in it.
     """
 
-    __slots__ = ("tag", "parent", "depth", "kind", "name", "comment", "soft", "hard")
+    __slots__ = ("tag", "parent", "depth", "kind", "name", "comment", "soft", "hard", "at", "block")
 
     def __init__(self, tag, parent, kind, name, comment=False, soft=False, hard=False):
         self.tag, self.parent, self.kind, self.name, self.comment, self.soft, self.hard = tag, parent, kind, name, comment, soft, hard
         self.depth = parent.depth + 1 if parent else 0
+        self.block = self if parent is None or tag in BLOCK else parent.block
 
 
 class Line:
@@ -74,7 +78,11 @@ class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.root = self.node = _Node("", None, False, False)
+        self.node = _Node("", None, False, False)
+        self.node.at = 0
+        #: All elements, parents before children, and how many are open of each kind.
+        self.nodes: list[_Node] = [self.node]
+        self.opened: dict[str, int] = {}
         self.silent = 0
         self.parts: list[str] = []
         self.tags = self.linked = 0
@@ -138,20 +146,19 @@ class _Lines(HTMLParser):
                 soft = soft or not words & COMMENTS
                 hard = hard or bool(words & COMMENTS)
         self.node = _Node(tag, up, kind, name, up.comment or bool(words & COMMENTS) and tag not in ("html", "body"), soft, hard)
+        self.node.at = len(self.nodes)
+        self.nodes.append(self.node)
+        self.opened[tag] = self.opened.get(tag, 0) + 1
 
     def within(self, *tags):
-        n = self.node
-        while n.parent:
-            if n.tag in tags:
-                return True
-            n = n.parent
-        return False
+        return any(self.opened.get(t) for t in tags)
 
     def close_to(self, node):
         """Leave node and all that is open inside it."""
         n = self.node
         while True:
             self.silent -= n.tag in SILENT
+            self.opened[n.tag] -= 1
             if n is node:
                 break
             n = n.parent
@@ -169,6 +176,8 @@ class _Lines(HTMLParser):
             self.tags += 1
         if tag in BLOCK and not self.silent:
             self.flush()
+        if not self.opened.get(tag):
+            return
         n = self.node
         while n.parent and n.tag != tag:
             # inline end tags don't close the blocks around them
@@ -185,12 +194,12 @@ class _Lines(HTMLParser):
                 self.linked += len(data.strip())
 
 
-def lines_of(html: str) -> list[Line]:
+def lines_of(html: str) -> tuple[list[Line], list[_Node]]:
     parser = _Lines()
     parser.feed(html)
     parser.close()
     parser.flush()
-    return parser.lines
+    return parser.lines, parser.nodes
 
 
 def smooth(values: list[float], sigma: float = 1.0) -> list[float]:
@@ -204,88 +213,126 @@ def smooth(values: list[float], sigma: float = 1.0) -> list[float]:
     return out
 
 
+#: Clusters whose mean ratios lie within this factor are one.
+ALIKE = 4.0
+
+
+def threshold(values: list[float]) -> float:
+    """The cut that parts values into two clusters with the least spread inside; the least value if their means are alike."""
+    v = sorted(values)
+    upto, total, best = 0.0, sum(v), None
+    for i in range(1, len(v)):
+        upto += v[i - 1]
+        low, high = upto / i, (total - upto) / (len(v) - i)
+        between = i * (len(v) - i) * (high - low) ** 2
+        if v[i] > v[i - 1] and (best is None or between > best[0]):
+            best = (between, v[i], high - low)
+    return v[0] if best is None or best[2] < math.log(ALIKE) else best[1]
+
+
 def content_lines(lines: list[Line]) -> list[bool]:
     """Which lines' smoothed text-to-tag ratio lies in the upper cluster."""
     if not lines:
         return []
-    ratios = smooth([len(x.text) / max(1, x.tags) for x in lines])
-    mean = sum(ratios) / len(ratios)
-    spread = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
-    bound = min(spread, max(ratios))
+    ratios = smooth([math.log1p(max(0, len(x.text) - x.linked) / max(1, x.tags)) for x in lines])
+    bound = threshold(ratios)
     return [r >= bound for r in ratios]
 
 
 _PARTS = _SET(["", "html", "body", "main", "article", "section", "div", "td", "center"])
 _PAGE = _SET(["", "html", "body", "main", "article"])
+_DECLARED = _SET(["article", "main"])
 _HEADINGS = _SET("h1 h2 h3 h4 h5 h6 p hgroup".split())
 
 
-def region(lines: list[Line], picked: list[bool]) -> _Node | None:
+def _passed_up(nodes: list[_Node], own: list, stop: frozenset = _SET()) -> list:
+    """own's sums over all that each element holds; elements of the kinds in stop keep theirs to themselves."""
+    for n in reversed(nodes):
+        if n.parent is not None and n.tag not in stop:
+            own[n.parent.at] += own[n.at]
+    return own
+
+
+def region(lines: list[Line], picked: list[bool], nodes: list[_Node]) -> _Node | None:
     """The container of the article.
 
     An article or main element with nine tenths of the picked lines' characters says so itself; else it is the innermost
     container with all of them. From there up while a parent adds nothing but lines that are no links: at the page's own
     level or that of an article or main element, nothing but headings and paragraphs.
     """
-    mass: dict[int, int] = {}
-    nodes: dict[int, _Node] = {}
-    total = 0
+    mass, total = [0] * len(nodes), 0
     for line, yes in zip(lines, picked, strict=True):
         if yes:
+            mass[line.node.at] += len(line.text)
             total += len(line.text)
-            n = line.node
-            while n is not None:
-                nodes[id(n)] = n
-                mass[id(n)] = mass.get(id(n), 0) + len(line.text)
-                n = n.parent
+    mass = _passed_up(nodes, mass)
 
     def innermost(share: int) -> _Node | None:
-        return max((n for key, n in nodes.items() if n.tag in _PARTS and mass[key] * 10 >= total * share), key=lambda n: n.depth, default=None)
+        held = (n for n in nodes if mass[n.at] and n.tag in _PARTS and mass[n.at] * 10 >= total * share)
+        return max(held, key=lambda n: n.depth, default=None)
 
-    best = innermost(9)
-    n = best
-    while n is not None and n.tag not in ("article", "main"):
+    n = innermost(9)
+    while n is not None and n.tag not in _DECLARED:
         n = n.parent
     best = n if n is not None else innermost(10)
-    return best and _widened(best, lines)
+    return best and _widened(best, lines, nodes)
 
 
-def _widened(top: _Node, lines: list[Line]) -> _Node:
+def _widened(top: _Node, lines: list[Line], nodes: list[_Node]) -> _Node:
     chain, n = [], top
     while n is not None:
         chain.append(n)
         n = n.parent
-    level = {id(n): i for i, n in enumerate(chain)}
+    level = [-1] * len(nodes)
+    for i, n in enumerate(chain):
+        level[n.at] = i
+    for n in nodes:
+        if level[n.at] < 0:
+            level[n.at] = level[n.parent.at]
     added: dict[int, list[Line]] = {}
     for x in lines:
-        n = x.node
-        while id(n) not in level:
-            n = n.parent
-        added.setdefault(level[id(n)], []).append(x)
+        added.setdefault(level[x.node.at], []).append(x)
     best = 0
     for i in range(1, len(chain)):
         for x in added.get(i, ()):
-            if x.linked * 2 > len(x.text):
+            if x.linked * 2 > len(x.text) or chain[i].tag in _PAGE and x.node.block.tag not in _HEADINGS:
                 return chain[best]
-            if chain[i].tag in _PAGE:
-                n = x.node
-                while n.parent and n.tag not in BLOCK:
-                    n = n.parent
-                if n.tag not in _HEADINGS:
-                    return chain[best]
         best = i
     return chain[best]
 
 
-def _inside(node: _Node, top: _Node) -> bool:
-    while node is not None:
-        if node is top:
-            return True
-        node = node.parent
-    return False
+def inside(lines: list[Line], top: _Node, nodes: list[_Node]) -> list[bool]:
+    held = [False] * len(nodes)
+    for n in nodes[top.at :]:
+        held[n.at] = n is top or n.parent is not None and held[n.parent.at]
+    return [held[x.node.at] for x in lines]
 
 
-def unmarked(every: list[Line]) -> list[Line]:
+def chosen(lines: list[Line], picked: list[bool], top: _Node, nodes: list[_Node]) -> list[bool]:
+    """The lines in the region; of one that is the page itself, the blocks with a picked line, and headings and paragraphs
+    without links in between or next to these.
+    """
+    keep = inside(lines, top, nodes)
+    if top.tag not in _PAGE or top.tag in _DECLARED:
+        return keep
+    body = next((n for n in nodes if n.tag == "body"), top)
+    if all(inside(lines, body, nodes)):
+        top = body
+    child = [-1] * len(nodes)  # the block right under top that an element is in
+    for n in nodes[top.at + 1 :]:
+        child[n.at] = n.at if n.parent is top else child[n.parent.at]
+    of = [child[x.node.at] for x in lines]
+    rich = {c for c, yes in zip(of, picked, strict=True) if yes}
+    plain = [x.node.block.tag in _HEADINGS and x.node.block.parent is top and x.linked * 2 <= len(x.text) for x in lines]
+    good = [k and (c in rich or c < 0 and yes) for k, c, yes in zip(keep, of, picked, strict=True)]
+    for order in (range(1, len(lines)), range(len(lines) - 2, -1, -1)):
+        back = 1 if order.step > 0 else -1
+        for i in order:
+            good[i] = good[i] or keep[i] and plain[i] and good[i - back]
+    return good
+
+
+def unmarked(every: list[Line], nodes: list[_Node]) -> list[Line]:
     """The lines that no container marks.
 
     A form or named wrapper with most of the text that nothing else marks is no mark. If a tenth of that text or less
@@ -293,43 +340,30 @@ def unmarked(every: list[Line]) -> list[Line]:
     """
     able = [x for x in every if not x.node.hard]
     total = sum(len(x.text) for x in able)
-    mass: dict[_Node, int] = {}
+    mass = [0] * len(nodes)
     for x in able:
-        n = x.node
-        while n is not None and n.tag not in ("article", "main"):
-            if n.soft:
-                mass[n] = mass.get(n, 0) + len(x.text)
-            n = n.parent
-    wrappers = {n for n, m in mass.items() if m * 2 > total}
-
-    def marked(n: _Node) -> bool:
-        while n is not None and (n.kind or n.name):
-            if n.soft and n not in wrappers:
-                return True
-            if n.tag in ("article", "main"):
-                return False
-            n = n.parent
-        return False
-
-    lines = [x for x in able if not marked(x.node)]
-    if sum(len(x.text) for x in lines) * 10 <= total and not any(_declared(x.node) for x in lines):
+        mass[x.node.at] += len(x.text)
+    mass = _passed_up(nodes, mass, _DECLARED)
+    marked, declared = [False] * len(nodes), [False] * len(nodes)
+    for n in nodes[1:]:
+        declared[n.at] = n.tag in _DECLARED or declared[n.parent.at]
+        if n.kind or n.name:
+            marked[n.at] = n.soft and mass[n.at] * 2 <= total or n.tag not in _DECLARED and marked[n.parent.at]
+    lines = [x for x in able if not marked[x.node.at]]
+    if sum(len(x.text) for x in lines) * 10 <= total and not any(declared[x.node.at] for x in lines):
         lines = able
     return lines or [x for x in every if not x.node.kind]
 
 
-def _declared(node: _Node | None) -> bool:
-    while node is not None and node.tag not in ("article", "main"):
-        node = node.parent
-    return node is not None
-
-
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    every = lines_of(html)
-    lines = unmarked(every)
-    top = region(lines, content_lines(lines))
-    return " ".join(x.text for x in lines if top is None or _inside(x.node, top))
+    every, nodes = lines_of(html)
+    lines = unmarked(every, nodes)
+    picked = content_lines(lines)
+    top = region(lines, picked, nodes)
+    keep = [True] * len(lines) if top is None else chosen(lines, picked, top, nodes)
+    return " ".join(x.text for x, yes in zip(lines, keep, strict=True) if yes)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -106,3 +106,53 @@ def test_title_and_intro_outside_the_body(page):
 def test_all_parts_of_the_upper_cluster():
     parts = [f"<div class=part>{TEXT}</div>", "<div class=end><p>The end of the article, a long line of it that is a tenth of its text or less.</p></div>"]
     assert ht.main_text(f"<body><div class=post>{''.join(parts)}</div></body>") == f"{ALL} The end of the article, a long line of it that is a tenth of its text or less."
+
+
+MENU = "<div class=c1><div><a href=/>Home page</a></div><div><a href=/n>News of the day</a></div><div><a href=/c>Contact us here</a></div><div><a href=/s>Site map</a></div></div>"
+FOOT = "<div class=c9><div><a href=/p>Privacy</a></div><div><a href=/t>Terms of use</a></div><div>(c) a company</div></div>"
+#: Pages whose names say nothing: what to keep, and the page.
+NAMELESS = [
+    (f"Title {ALL}", f"<body>{MENU}<div class=c2><h1>Title</h1>{TEXT}</div>{FOOT}</body>"),
+    (f"Title {ALL}", f"<body><div class=w>{MENU}<div class=c2><h1>Title</h1>{TEXT}</div>{FOOT}</div></body>"),
+    (f"Title {INTRO} {ALL}", f"<body>{MENU}<h1>Title</h1><p>{INTRO}</p>{TEXT}{FOOT}</body>"),
+    (f"{ALL} first second {ALL}", f"<body>{MENU}<div>{TEXT}<ul><li>first</li><li>second</li></ul>{TEXT}</div>{FOOT}</body>"),
+    (f"{ALL} {ALL}", f"<body><table><tr><td>{MENU}</td><td>{TEXT}{TEXT}</td><td>{FOOT}</td></tr></table></body>"),
+]
+
+
+@pytest.mark.parametrize("want, page", NAMELESS)
+def test_ratios_decide_where_names_do_not(want, page):
+    assert ht.main_text(page) == want
+
+
+def test_without_the_ratios_results_change(monkeypatch):
+    """The clusters decide: with every line in the upper one, menus and footers stay."""
+    monkeypatch.setattr(ht, "content_lines", lambda lines: [True] * len(lines))
+    assert all(ht.main_text(page) != want for want, page in NAMELESS)
+
+
+def test_threshold_is_brute_force():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(60):
+        v = [rng.choice([rng.uniform(0, 2), rng.uniform(4, 7)]) for _ in range(rng.randint(1, 30))]
+        cuts = []
+        for cut in sorted(set(v))[1:]:
+            low, high = [x for x in v if x < cut], [x for x in v if x >= cut]
+            a, b = sum(low) / len(low), sum(high) / len(high)
+            cuts.append((sum((x - a) ** 2 for x in low) + sum((x - b) ** 2 for x in high), cut, b - a))
+        got = ht.threshold(v)
+        if not cuts or min(cuts)[2] < ht.math.log(ht.ALIKE):
+            assert got == min(v)
+        else:
+            assert abs(min(cuts)[0] - next(c[0] for c in cuts if c[1] == got)) < 1e-9
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 100_000, "<b>x" * 100_000, "<ul><li>x</b>" * 50_000, "<div><p>x</p>" * 50_000 + "</div>" * 50_000, "<form><div class=nav>y" * 30_000])
+def test_deep_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    assert ht.main_text(page).count("x") in (0, page.count("x"))
+    assert time.process_time() - began < 60
