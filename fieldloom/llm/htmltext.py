@@ -335,7 +335,8 @@ def chosen(lines: list[Line], picked: list[bool], top: _Node, nodes: list[_Node]
 def unmarked(every: list[Line], nodes: list[_Node]) -> list[Line]:
     """The lines that no container marks.
 
-    A form or named wrapper with most of the text that nothing else marks is no mark. If a tenth of that text or less
+    A form or named wrapper with most of the text that nothing else marks is no mark, unless an article or main element
+    holds more than a tenth of it. If a tenth of that text or less
     is left, and no article or main element says that this is all, forms and names count for nothing.
     """
     able = [x for x in every if not x.node.hard]
@@ -347,8 +348,10 @@ def unmarked(every: list[Line], nodes: list[_Node]) -> list[Line]:
     marked, declared = [False] * len(nodes), [False] * len(nodes)
     for n in nodes[1:]:
         declared[n.at] = n.tag in _DECLARED or declared[n.parent.at]
+    said = sum(len(x.text) for x in able if declared[x.node.at]) * 10 > total
+    for n in nodes[1:]:
         if n.kind or n.name:
-            marked[n.at] = n.soft and mass[n.at] * 2 <= total or n.tag not in _DECLARED and marked[n.parent.at]
+            marked[n.at] = n.soft and (said or mass[n.at] * 2 <= total) or n.tag not in _DECLARED and marked[n.parent.at]
     lines = [x for x in able if not marked[x.node.at]]
     if sum(len(x.text) for x in lines) * 10 <= total and not any(declared[x.node.at] for x in lines):
         lines = able

@@ -35,7 +35,7 @@ def test_cut_off_and_odd_pages():
 
 
 def test_table_pages(spark, request):
-    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").toPandas()
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").toPandas()
     off = 0
     for html in pages.html:
         body = html[html.index("<article>") : html.index("</article>")] if "</article>" in html else html[html.index("<article>") :]
@@ -86,6 +86,10 @@ def test_comments_and_sidebars_stay_marked():
     assert ht.main_text(f"<body><form>{TEXT}<article>{TEXT}</article></form></body>").count(ALL) >= 1
 
 
+def test_a_short_article_beside_a_long_advert():
+    assert ht.main_text("<body><div class='ad'>Buy this thing now, it is very good and cheap.</div><article><h1>Short</h1><p>Short.</p></article></body>") == "Short Short."
+
+
 INTRO = "An intro of one line."
 
 
