@@ -2,7 +2,8 @@
 
 Unit vectors with cosine t or more lie within epsilon = sqrt(2 - 2t). Vectors are projected on the
 leading principal axes of a bounded sample (an orthonormal basis, so projected distances never exceed
-true ones) and sorted by label, then by their grid cells of side epsilon on these axes in turn. Runs
+true ones; the length of what the projection leaves out is one more coordinate, which keeps that) and
+sorted by label, then by their grid cells of side epsilon on these axes in turn. Runs
 of up to RUN consecutive vectors are the sequences: pairs of runs that share or neighbour a cell of the
 first axis are found by an equi-join, those whose boxes lie further apart than epsilon are dropped, and
 each pair that is left is one group of at most 2 * RUN rows. Inside, the two sequences are halved
@@ -10,6 +11,10 @@ recursively; a pair of parts whose boxes are provably distant is skipped, and sm
 in double precision by a matrix product. Each group returns link counts and a spanning forest, at most
 one edge a vector, so that thousands of copies never become all their pairs.
 
+What the boxes skip depends on the vectors. Those that form clusters, as embeddings do, leave few pairs of
+parts; directions spread evenly over many dimensions leave nearly all, and then a label's work grows with
+the square of its vectors, as matrix products, and a row is shuffled once for every RUN vectors near it.
+
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors
 with a null label, link with nothing; vectors of different lengths don't link; rows that share a vec_id
 are one vector, the least by label and embedding; a null vec_id is a vector with a null component; an
@@ -29,9 +34,9 @@ from .common import components, map_rows, materialise, np_components, table
 THRESHOLD = 0.98
 #: The axes are fitted on so many vectors at most (those with the smallest hash); they decide speed, not results.
 SAMPLE = 4096
-AXES = 8
-RUN = 4096
-LEAF = 512
+AXES = 16
+RUN = 16384
+LEAF = 32
 
 
 def axes(vectors: DataFrame) -> dict[int, np.ndarray]:
@@ -46,8 +51,11 @@ def axes(vectors: DataFrame) -> dict[int, np.ndarray]:
 
 
 def _project(x: np.ndarray, basis: np.ndarray | None) -> np.ndarray:
-    p = x @ basis if basis is not None else x[:, :AXES]
-    return np.pad(p, ((0, 0), (0, AXES - p.shape[1])))
+    """Coordinates on the axes, and the length of the rest."""
+    basis = np.eye(x.shape[1], min(AXES, x.shape[1])) if basis is None else basis
+    p = x @ basis
+    rest = np.linalg.norm(x - p @ basis.T, axis=1)
+    return np.c_[np.pad(p, ((0, 0), (0, AXES - p.shape[1]))), rest]
 
 
 def _valid(vectors: DataFrame) -> DataFrame:
@@ -70,7 +78,7 @@ def _with_cells(vectors: DataFrame, basis: dict[int, np.ndarray], epsilon: float
     def make(rows):
         for r in rows:
             p = _project(np.frombuffer(r["unit"])[None], basis.get(r["dim"]))[0]
-            yield r | {"cells": np.floor(p / epsilon).astype(int).tolist(), "spot": p.tolist()}
+            yield r | {"cells": np.floor(p[:AXES] / epsilon).astype(int).tolist(), "spot": p.tolist()}
 
     return map_rows(vectors, make, "vec_id long, label long, dim int, unit binary, cells array<int>, spot array<double>", 2048)
 
@@ -94,27 +102,21 @@ def _runs(ordered: DataFrame) -> DataFrame:
 def run_pairs(runs: DataFrame, epsilon: float) -> DataFrame:
     """Pairs (run, other), run <= other, whose boxes come within epsilon."""
     box = runs.groupBy("label", "dim", "run").agg(
-        *[F.min(F.col("spot")[i]).alias(f"lo{i}") for i in range(AXES)],
-        *[F.max(F.col("spot")[i]).alias(f"hi{i}") for i in range(AXES)],
+        *[F.min(F.col("spot")[i]).alias(f"lo{i}") for i in range(AXES + 1)],
+        *[F.max(F.col("spot")[i]).alias(f"hi{i}") for i in range(AXES + 1)],
         F.min(F.col("cells")[0]).alias("c_lo"),
         F.max(F.col("cells")[0]).alias("c_hi"),
     )
     near = box.select("*", F.explode(F.sequence("c_lo", "c_hi")).alias("cell"))
     far = box.select(*[F.col(c).alias(f"o_{c}") for c in box.columns], F.explode(F.sequence(F.col("c_lo") - 1, F.col("c_hi") + 1)).alias("o_cell"))
-    gap = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"lo{i}") - F.col(f"o_hi{i}"), F.col(f"o_lo{i}") - F.col(f"hi{i}")), F.lit(2.0)) for i in range(AXES)), F.lit(0.0))
+    gap = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"lo{i}") - F.col(f"o_hi{i}"), F.col(f"o_lo{i}") - F.col(f"hi{i}")), F.lit(2.0)) for i in range(AXES + 1)), F.lit(0.0))
     same = [F.col("label") == F.col("o_label"), F.col("dim") == F.col("o_dim"), F.col("cell") == F.col("o_cell")]
     return near.join(far, same).where((F.col("run") <= F.col("o_run")) & (gap <= epsilon * epsilon)).select("run", F.col("o_run").alias("other")).distinct()
 
 
-def join_sequences(x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray, threshold: float, epsilon: float, same: bool):
-    """Link counts of x's and y's rows and edges (i, j) over the joint numbering that connect what links connect.
-
-    p and q are the projections. With same, y is x, and pairs are those with i < j.
-    """
-    n = len(x)
-    counts = np.zeros(n if same else n + len(y), dtype=np.int64)
-    heads, tails, shift = [], [], 0 if same else n
-    stack = [(0, n, 0, len(y))]
+def near_parts(p: np.ndarray, q: np.ndarray, epsilon: float, same: bool):
+    """Pairs of small parts (a, b, c, d) of the sequences p and q, rows a to b and c to d, whose boxes come within epsilon."""
+    stack = [(0, len(p), 0, len(q))]
     while stack:
         a, b, c, d = stack.pop()
         if same and a >= d:
@@ -122,12 +124,24 @@ def join_sequences(x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray, t
         gap = np.maximum(0, np.maximum(p[a:b].min(0) - q[c:d].max(0), q[c:d].min(0) - p[a:b].max(0)))
         if gap @ gap > epsilon * epsilon:
             continue
-        if b - a > LEAF or d - c > LEAF:
-            am, cm = (a + b) // 2, (c + d) // 2
-            left = [(a, am), (am, b)] if b - a > LEAF else [(a, b)]
-            right = [(c, cm), (cm, d)] if d - c > LEAF else [(c, d)]
-            stack += [(*s, *t) for s in left for t in right]
+        if b - a <= LEAF and d - c <= LEAF:
+            yield a, b, c, d
             continue
+        am, cm = (a + b) // 2, (c + d) // 2
+        left = [(a, am), (am, b)] if b - a > LEAF else [(a, b)]
+        right = [(c, cm), (cm, d)] if d - c > LEAF else [(c, d)]
+        stack += [(*s, *t) for s in left for t in right]
+
+
+def join_sequences(x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray, threshold: float, epsilon: float, same: bool):
+    """Link counts of x's and y's rows and edges (i, j) over the joint numbering that connect what links connect.
+
+    p and q are the projections. With same, y is x, and pairs are those with i < j.
+    """
+    n = len(x)
+    counts = np.zeros(n if same else n + len(y), dtype=np.int64)
+    heads, tails, shift = [], [], 0 if same else n
+    for a, b, c, d in near_parts(p, q, epsilon, same):
         hit = x[a:b] @ y[c:d].T >= threshold
         if same:
             hit &= np.arange(a, b)[:, None] < np.arange(c, d)[None, :]
@@ -169,7 +183,7 @@ def link_stars(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         first = own == key[0].as_py()
         at = np.r_[np.flatnonzero(first), np.flatnonzero(~first)]
         # in grid order again, which the shuffle lost, so that halves are compact
-        at = at[np.lexsort((*np.floor(p[at] / epsilon).T[::-1], ~first[at]))]
+        at = at[np.lexsort((*np.floor(p[at, :AXES] / epsilon).T[::-1], ~first[at]))]
         x, p, ids, k = x[at], p[at], ids[at], int(first.sum())
         same = k == len(ids)
         counts, head, tail = join_sequences(x[:k], p[:k], x if same else x[k:], p if same else p[k:], threshold, epsilon, same)

@@ -53,3 +53,37 @@ def test_recursion_finds_all_pairs_and_prunes():
     assert (gridjoin.np_components(3000, i, j) == gridjoin.np_components(3000, head, tail)).all()
     c2, h2, t2 = gridjoin.join_sequences(x[:1000], x[:1000, :4], x[1000:], x[1000:, :4], 0.98, eps, False)
     assert (c2[:1000] == s[:1000, 1000:].sum(1)).all() and (c2[1000:] == s[1000:, :1000].sum(1)).all()
+
+
+def test_boxes_skip_most_parts_of_clustered_vectors():
+    """64-d vectors in 100 clusters: under a fifth of the pairs of parts are compared, and no link is lost."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(100, 64))
+    x = np.repeat(centres, 80, 0) + 0.08 * rng.normal(size=(8000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    _, _, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    epsilon = 0.2 * (1 + 1e-9)
+    p = gridjoin._project(x, np.ascontiguousarray(vt[: gridjoin.AXES].T))
+    order = np.lexsort(np.floor(p[:, : gridjoin.AXES] / epsilon).T[::-1])
+    x, p = x[order], p[order]
+    parts = list(gridjoin.near_parts(p, p, epsilon, True))
+    side = len({a for a, *_ in parts})
+    assert len(parts) < 0.2 * side * (side + 1) / 2
+    near = np.triu(x @ x.T >= 0.98, 1)
+    found = np.zeros_like(near)
+    for a, b, c, d in parts:
+        found[a:b, c:d] = True
+    assert near.sum() > 1000 and not (near & ~found).any()
+
+
+def test_projection_never_lengthens():
+    rng = np.random.default_rng(5)
+    for dim in (3, 16, 40):
+        x = rng.normal(size=(50, dim))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        basis = np.linalg.qr(rng.normal(size=(dim, dim)))[0][:, : gridjoin.AXES]
+        for b in (None, basis):
+            p = gridjoin._project(x, b)
+            assert p.shape == (50, gridjoin.AXES + 1)
+            gap = np.linalg.norm(p[:, None] - p[None], axis=2) - np.linalg.norm(x[:, None] - x[None], axis=2)
+            assert gap.max() < 1e-12
