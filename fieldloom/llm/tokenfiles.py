@@ -47,11 +47,11 @@ END_ID = 1
 _END = struct.pack("<I", END_ID)
 SKIP_INDEX, SKIP_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Frames that one reading task takes at a time.
-SPAN = 2048
+SPAN = 8192
 MOST_TASKS = 20_000
-_KEPT_WORDS = 500_000
+_KEPT_WORDS = 1_200_000
 #: Documents that are encoded at a time.
-_TOGETHER = 128
+_TOGETHER = 512
 #: Punctuation, a core between ASCII letters or digits, punctuation.
 _PEEL = re.compile(rb"([!-&(-/:-@\[-`{-~]*)([a-z0-9](?:.*[a-z0-9])?)([!-&(-/:-@\[-`{-~]*)", re.DOTALL).fullmatch
 
@@ -75,27 +75,33 @@ class _Words(dict):
         if len(self) > _KEPT_WORDS:
             self.clear()
             self[b""] = b""
-        split, parts = {}, {}
-        for w in filterfalse(self.__contains__, words):
-            cut = None if w.isalnum() or b"<|" in w else _PEEL(w)
-            if cut:
+        new = list(filterfalse(self.__contains__, words))
+        parts, split = dict.fromkeys(w for w in new if w.isalnum()), {}
+        for w in new:
+            if w in parts:
+                continue
+            cut = None if b"<|" in w else _PEEL(w)
+            if cut and (cut[1] or cut[3]):
                 split[w] = own = cut.groups()
-                parts.update((x, None) for x in own if x not in self)
+                for x in own:
+                    if x not in self:
+                        parts[x] = None
             else:
                 parts[w] = None
         if parts:
-            got = self.tokenizer.encode([w.decode("utf-8", "surrogatepass") for w in parts], is_pretokenized=True, add_special_tokens=False)
+            names = b" ".join(parts).decode("utf-8", "surrogatepass").split(" ")
+            got = self.tokenizer.encode(names, is_pretokenized=True, add_special_tokens=False)
             ids = np.array(got.ids, "<u4").tobytes()
             at = (np.searchsorted(np.array(got.word_ids, dtype=int), np.arange(len(parts) + 1)) * 4).tolist()
             self.update(zip(parts, (ids[a:b] for a, b in pairwise(at))))
         for w, own in split.items():
             self[w] = b"".join(map(self.__getitem__, own))
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text, with the end id."""
+    def ids(self, texts: list[bytes | None]) -> list[bytes]:
+        """Ids of each text (its UTF-8), with the end id."""
         split = []
         for t in texts:
-            raw = (t or "").encode("utf-8", "surrogatepass")
+            raw = t or b""
             split.append([w if b"<|" in w else w.lower() for w in raw.split()] if b"<|" in raw else raw.lower().split())
         self.learn(set(chain.from_iterable(split)))
         return [b"".join(map(self.__getitem__, words)) + _END for words in split]
@@ -211,7 +217,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None) -> D
         yield {"part": part, "file": f"{folder}/{name}", "n_docs": n, "n_tokens": total, "spans": out.spans(SPAN)}
 
     order = ["doc_id", F.xxhash64("text")]
-    dealt = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = docs.select("doc_id", F.col("text").cast("binary").alias("text")).repartitionByRange(*order).sortWithinPartitions(*order)
     return materialise(map_rows(dealt, make, _MANIFEST), "manifest")
 
 

@@ -20,9 +20,9 @@ def noise(rng, n):
 def test_words_equal_whole_texts():
     rng, words = random.Random(3), tf._Words(None)
     for text in ["", " ", None] + [noise(rng, rng.randint(1, 60)) for _ in range(600)]:
-        assert np.frombuffer(words.ids([text])[0], "<u4").tolist() == TOK.encode(text or "", add_special_tokens=False).ids + [1], repr(text)
+        assert np.frombuffer(words.ids([text and text.encode()])[0], "<u4").tolist() == TOK.encode(text or "", add_special_tokens=False).ids + [1], repr(text)
     texts = [noise(rng, 40) for _ in range(30)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in words.ids(texts)] == [TOK.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in words.ids([t.encode() for t in texts])] == [TOK.encode(t, add_special_tokens=False).ids + [1] for t in texts]
 
 
 def test_format_and_checksums():
