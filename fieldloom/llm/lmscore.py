@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialise, table
+from .common import discard, map_rows, materialise, table
 
 SIDE = 40  # classes, and words in each
 BUCKETS = 512
@@ -41,7 +41,7 @@ KEPT = SIDE * SIDE - BUCKETS - 1
 PAD = SIDE * SIDE - 1
 WINDOW = 2
 EMBED, HIDDEN = 16, 32
-BATCH = 4096
+BATCH = 8192
 RATE = 2.0
 #: Rounds of one pass over the corpus, and words that a shard of a round holds.
 ROUNDS = 4
@@ -50,6 +50,8 @@ FAN_IN = 16
 SLICE = 8192
 #: Different words, and words, that a segment holds before it ends with the document.
 _FLUSH, _LONGEST = 500_000, 4_000_000
+#: Words of a segment that a row holds.
+_SOME = 4096
 
 SHAPES = {"e": (SIDE * SIDE, EMBED), "w": (2 * WINDOW * EMBED, HIDDEN), "b": (HIDDEN,), "c": (HIDDEN, SIDE), "cb": (SIDE,), "u": (SIDE, HIDDEN, SIDE), "ub": (SIDE, SIDE)}
 
@@ -71,7 +73,9 @@ class _Numbers(dict):
 
 
 def segments(docs: DataFrame, flush: int = _FLUSH) -> DataFrame:
-    """(doc_id, text) to rows of documents (segment, doc_id, n_words, numbers) and rows of words (segment, number, word, n)."""
+    """(doc_id, text) to rows of documents (segment, doc_id, n_words, numbers) and of words (segment, first, words, counts),
+    whose numbers are first, first + 1 and so on.
+    """
 
     def make(rows):
         from pyspark import TaskContext
@@ -80,8 +84,9 @@ def segments(docs: DataFrame, flush: int = _FLUSH) -> DataFrame:
 
         def words():
             counts = np.bincount(np.concatenate(held), minlength=len(numbers)).tolist() if held else []
-            for (word, i), n in zip(numbers.items(), counts, strict=True):
-                yield {"segment": segment, "number": i, "word": word, "n": n}
+            every = list(numbers)
+            for i in range(0, len(every), _SOME):
+                yield {"segment": segment, "first": i, "words": every[i : i + _SOME], "counts": counts[i : i + _SOME]}
 
         total = 0
         for r in rows:
@@ -96,7 +101,7 @@ def segments(docs: DataFrame, flush: int = _FLUSH) -> DataFrame:
                 held.clear()
         yield from words()
 
-    return materialise(map_rows(docs.select(F.col("doc_id").cast("long"), "text"), make, "segment long, doc_id long, n_words long, numbers binary, number int, word binary, n long", 1024), "segments")
+    return materialise(map_rows(docs.select(F.col("doc_id").cast("long"), "text"), make, "segment long, doc_id long, n_words long, numbers binary, first int, words array<binary>, counts array<long>"), "segments")
 
 
 def vocabulary(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
@@ -116,14 +121,15 @@ def encode(docs: DataFrame, flush: int = _FLUSH) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = segments(docs, flush)
-    words = parts.where("word is not null").select("segment", "number", "word", "n")
+    zipped = parts.where("first is not null").select("segment", "first", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
+    words = zipped.select("segment", (F.col("first") + F.col("at")).alias("number"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     counts = materialise(words.groupBy("word").agg(F.sum("n").alias("n")), "words")
     kept, places = vocabulary(counts)
     own = F.broadcast(spark.createDataFrame([(bytearray(w), i) for i, w in enumerate(kept)], "word binary, own int"))  # KEPT rows at most
     known = counts.join(own, "word", "left").select("word", "n", F.coalesce("own", (F.crc32("word") % BUCKETS + KEPT).cast("int")).alias("id"))
     named = words.select("segment", "number", "word").join(known, "word").groupBy("segment").agg(F.collect_list(F.struct("number", "id", "n")).alias("all"))  # at most a segment's words
     named = named.select("segment", F.col("all.number").alias("number"), F.col("all.id").alias("id"), F.col("all.n").alias("times"))
-    rows = parts.where("word is null").select("segment", "doc_id", "n_words", "numbers").unionByName(named, allowMissingColumns=True)
+    rows = parts.where("first is null").select("segment", "doc_id", "n_words", "numbers").unionByName(named, allowMissingColumns=True)
     log_places = np.log(np.maximum(1, places))
 
     def make(rows):
@@ -139,7 +145,10 @@ def encode(docs: DataFrame, flush: int = _FLUSH) -> DataFrame:
                 yield {"doc_id": r["doc_id"], "n_words": r["n_words"], "ids": ids[numbers].tobytes() if len(numbers) else b"", "dealt": float(shares[numbers].sum()) if len(numbers) else 0.0}
 
     ordered = rows.repartition("segment").sortWithinPartitions("segment", F.col("number").isNull())
-    return materialise(map_rows(ordered, make, "doc_id long, n_words long, ids binary, dealt double", arrays=("number", "id", "times")), "encoded")
+    encoded = materialise(map_rows(ordered, make, "doc_id long, n_words long, ids binary, dealt double", arrays=("number", "id", "times")), "encoded")
+    for used in (parts, counts):
+        discard(used)
+    return encoded
 
 
 def start_parameters() -> dict[str, np.ndarray]:
