@@ -41,7 +41,7 @@ KEPT = SIDE * SIDE - BUCKETS - 1
 PAD = SIDE * SIDE - 1
 WINDOW = 2
 EMBED, HIDDEN = 16, 32
-BATCH = 8192
+BATCH = 4096
 RATE = 2.0
 #: Rounds of one pass over the corpus, and words that a shard of a round holds.
 ROUNDS = 4
