@@ -49,6 +49,33 @@ def merged_keys(record: Column) -> Column:
     return F.map_from_entries(first)
 
 
+# Document slots, and fields of a handwritten form, in the order of display, with their labels.
+SLOT_LABELS = {"name": "Aadhaar/Voter ID (Name)", "address": "DL/Passport (Address)", "dob": "Birth/SLC (DOB)", "handwritten": "Handwritten (All Fields)"}
+FIELD_LABELS = {
+    "name": "Name", "dob": "Date of Birth", "gender": "Gender", "address": "Address", "city": "City", "state": "State", "pincode": "Pincode", "phone": "Phone", "email": "Email",
+}
+
+
+def shown_slots(rows: DataFrame, slot: str = "slot") -> DataFrame:
+    """rows of the slots that are shown, with their place (from 1) and label; order by place to display."""
+    place = F.array_position(F.array(*[F.lit(k) for k in SLOT_LABELS]), F.col(slot))
+    label = F.get(F.array(*[F.lit(v) for v in SLOT_LABELS.values()]), (place - 1).cast("int"))
+    return rows.withColumns({"place": place, "label": label}).where("place > 0")
+
+
+def labelled_lines(record: Column) -> Column:
+    """"Label: value" lines of a map: known fields in their order, then the others in the map's; blank values have no line."""
+    merged = merged_keys(F.transform_values(record, lambda k, v: F.when(k == "email", plain_email(strip(v))).otherwise(strip(v))))
+
+    def line(key: Column, label: Column) -> Column:
+        value = F.try_element_at(merged, key)
+        return F.when(value != "", F.concat(label, F.lit(": "), value))
+
+    known = [line(F.lit(k), F.lit(v)) for k, v in FIELD_LABELS.items()]
+    others = F.filter(F.map_keys(merged), lambda k: ~k.isin(list(FIELD_LABELS)))
+    return F.array_compact(F.concat(F.array(*known), F.transform(others, lambda k: line(k, k))))
+
+
 def plain_email(c: Column) -> Column:
     return F.regexp_replace(c, r"(?i)^id:\s*", "")
 

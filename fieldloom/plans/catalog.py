@@ -546,6 +546,21 @@ def u1_review_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(I.SQL + "SELECT application_id, ['Name: ' || first, 'City: ' || city, 'Email: ' || mail, 'extra: ' || pin] AS lines FROM people")
+def u5_labelled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    record = F.create_map(F.lit("extra"), F.col("pin"), F.lit("email"), F.concat(F.lit(" ID: "), "mail"), F.lit("CITY"), F.lit(" "), F.lit("City"), F.col("city"), F.lit("name"), F.col("first"), F.lit("Phone"), F.lit(""))
+    return I.people(spark, sf_dir).select("application_id", review.labelled_lines(record).alias("lines"))
+
+
+@query(
+    "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 4 WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 2 END::BIGINT AS place, "
+    "CASE o_orderkey % 5 WHEN 0 THEN 'Handwritten (All Fields)' WHEN 1 THEN 'Aadhaar/Voter ID (Name)' WHEN 2 THEN 'Birth/SLC (DOB)' ELSE 'DL/Passport (Address)' END AS label FROM orders WHERE o_orderkey % 5 < 4"
+)
+def w5_display_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slot = F.element_at(F.array(*[F.lit(x) for x in ("handwritten", "name", "dob", "address", "other")]), F.expr("cast(o_orderkey % 5 + 1 as int)"))
+    return review.shown_slots(I.table(spark, sf_dir, "orders").select("o_orderkey", slot.alias("slot"))).select("o_orderkey", "place", "label")
+
+
 @query("SELECT o_orderkey, CAST(CASE o_orderkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.55 ELSE 0.6 END AS DOUBLE) AS confidence FROM orders")
 def u6_edited_dob(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, k = F.col("o_orderdate"), F.col("o_orderkey") % 3

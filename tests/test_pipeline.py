@@ -101,6 +101,10 @@ def test_review(spark):
     assert [r.c for r in rows.select(review.edited_dob_confidence(F.col("a"), F.col("b")).alias("c")).collect()] == [1.0, 1.0, 0.55, 0.6]
     m = spark.createDataFrame([({"Email": "", "EMAIL": "id: a@b", "x": "1"},)], "m map<string,string>").select(review.merged_keys(F.col("m")).alias("m")).first().m
     assert m == {"email": "id: a@b", "x": "1"}
+    shown = spark.createDataFrame([({"x": "1", "STATE": " ", "state": "KA", "email": "id: a@b", "Name": "A"},)], "m map<string,string>").select(review.labelled_lines(F.col("m")).alias("l")).first().l
+    assert shown == ["Name: A", "State: KA", "Email: a@b", "x: 1"]
+    slots = review.shown_slots(spark.createDataFrame([("dob",), ("none",), ("name",)], "slot string")).orderBy("place").collect()
+    assert [(r.slot, r.place) for r in slots] == [("name", 1), ("dob", 3)]
     form = spark.createDataFrame([("A", " ", "2001-02-30", "male", "a@b", "1", "x")], "first_name string, last_name string, dob string, gender string, email string, phone string, address string")
     assert form.select(review.form_problems().alias("p")).first().p == ["last_name", "dob", "gender"]
 
