@@ -12,6 +12,7 @@ from .pieces import op3_pieces
 from .quality import op10_quality
 from .simhash import op4_simhash
 from .tokenfiles import op5_token_files
+from .whitening import op12_whitening
 
 QUERIES = {
     "op1_grid_join": op1_grid_join,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_mix": op8_mix,
     "op9_html_text": op9_html_text,
     "op10_quality": op10_quality,
+    "op12_whitening": op12_whitening,
 }
 
 OP1_SQL = """
