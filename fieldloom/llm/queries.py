@@ -10,6 +10,7 @@ from .minhash import op6_fingerprints
 from .mixing import op8_mix
 from .pieces import op3_pieces
 from .quality import op10_quality
+from .repeats import op11_repeats
 from .simhash import op4_simhash
 from .tokenfiles import op5_token_files
 from .whitening import op12_whitening
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_mix": op8_mix,
     "op9_html_text": op9_html_text,
     "op10_quality": op10_quality,
+    "op11_repeats": op11_repeats,
     "op12_whitening": op12_whitening,
 }
 
@@ -77,4 +79,24 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, budget - before)) AS BIGINT) AS taken FROM r
 """
 
-ORACLES = {"op1_grid_join": OP1_SQL, "op8_mix": OP8_SQL}
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS pos FROM d WHERE len(w) >= 35
+), h AS (
+  SELECT doc_id, pos, md5(array_to_string(w[pos:pos + 34], ' ')) AS words FROM s
+), r AS (
+  SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY words) AS places FROM h) WHERE places > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 35)) AS pos FROM r
+), word AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM d
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES = {"op1_grid_join": OP1_SQL, "op8_mix": OP8_SQL, "op11_repeats": OP11_SQL}
