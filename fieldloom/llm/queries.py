@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op13_alignment
 from .gridjoin import op1_grid_join
 from .htmltext import op9_html_text
 from .licences import op2_licences
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_repeats": op11_repeats,
     "op12_whitening": op12_whitening,
+    "op13_alignment": op13_alignment,
 }
 
 OP1_SQL = """
