@@ -12,9 +12,9 @@ cluster go, but for headings and paragraphs next to it. What is left is the text
 in page order.
 
 Defined cases: null and empty pages and pages without text give an empty string; unclosed and stray
-tags are taken as browsers do, roughly; a form or a name that marks most of a page marks nothing; if
-forms and names mark nearly everything, only other kinds and comments count; the time a page takes is
-linear in its size, however deep its containers nest;
+tags are taken as browsers do, roughly; a form or a layout name that marks most of a page marks nothing; if
+forms and layout names mark nearly everything, only other kinds and names count; a page of adverts and
+notices has no text; the time a page takes is linear in its size, however deep its containers nest;
 repeated rows and null ids are rows of their own; an empty table gives an empty result; extra columns
 are ignored.
 """
@@ -48,6 +48,11 @@ NAMES = _SET(
     "sharing social related recommended recommendations newsletter subscribe signup popup modal login search pagination pager toolbar masthead topbar".split()
 )
 COMMENTS = _SET("comment comments respond disqus reply replies".split())
+#: Of these, what never holds an article, whatever its share of a page, and what can name the layout of a page around one.
+ADVERTS = _SET("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices".split())
+LAYOUT = _SET("nav navbar navigation menu breadcrumb breadcrumbs footer sidebar widget widgets login search pagination pager toolbar masthead topbar".split())
+#: Names that say what a wrapper has or lacks, not what it is.
+_STATES = re.compile(r"(?:has|with|no|without|hide|hides|hidden)[-_].*").fullmatch
 WHOLE_NAMES = _SET("header site-header page-header top-header".split())
 #: An open element of the first kind ends before a start tag of the second.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
@@ -56,13 +61,14 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td
 class _Node:
     """An open element: whether its kind or a name marks it (or one around it), and whether it holds comments.
 
-    soft: the form, fieldset or name that marks lies on this very element, so a page's text can be wrapped in it.
+    soft: the form, fieldset or layout name that marks lies on this very element, so a page's text can be wrapped in it.
+    hard: it is marked whatever its share of the page; advert: an advert or notice, never text.
     """
 
-    __slots__ = ("tag", "parent", "depth", "kind", "name", "comment", "soft", "hard", "at", "block")
+    __slots__ = ("tag", "parent", "depth", "kind", "name", "comment", "soft", "hard", "advert", "at", "block")
 
-    def __init__(self, tag, parent, kind, name, comment=False, soft=False, hard=False):
-        self.tag, self.parent, self.kind, self.name, self.comment, self.soft, self.hard = tag, parent, kind, name, comment, soft, hard
+    def __init__(self, tag, parent, kind, name, comment=False, soft=False, hard=False, advert=False):
+        self.tag, self.parent, self.kind, self.name, self.comment, self.soft, self.hard, self.advert = tag, parent, kind, name, comment, soft, hard, advert
         self.depth = parent.depth + 1 if parent else 0
         self.block = self if parent is None or tag in BLOCK else parent.block
 
@@ -126,14 +132,15 @@ class _Lines(HTMLParser):
     def open(self, tag, attrs):
         a = {k: (v or "") for k, v in attrs}
         up = self.node
-        kind, name, hard, soft = up.kind, up.name, up.hard, False
-        words = set(re.split(r"[^a-z0-9]+", f"{a.get('class', '')} {a.get('id', '')}".lower()))
-        whole = set(f"{a.get('class', '')} {a.get('id', '')}".lower().split())
+        kind, name, hard, soft, advert = up.kind, up.name, up.hard, False, up.advert
+        whole = {x for x in f"{a.get('class', '')} {a.get('id', '')}".lower().split() if not _STATES(x)}
+        words = set(re.split(r"[^a-z0-9]+", " ".join(whole)))
         if tag in ("article", "main"):
             # an article that begins in a menu, header or form that was never closed; but comments can be articles, too
             name = up.comment or bool(words & COMMENTS)
             kind = kind and up.comment
             hard = up.comment or name
+            advert = False
         elif tag not in ("html", "body"):
             if tag in OUTSIDE and not (tag == "header" and self.within("article", "main")) or a.get("role", "").lower() in ROLES:
                 kind = True
@@ -143,9 +150,10 @@ class _Lines(HTMLParser):
                 kind = hard = True
             if words & NAMES or whole & WHOLE_NAMES:
                 name = True
-                soft = soft or not words & COMMENTS
-                hard = hard or bool(words & COMMENTS)
-        self.node = _Node(tag, up, kind, name, up.comment or bool(words & COMMENTS) and tag not in ("html", "body"), soft, hard)
+                firm = bool(words & NAMES - LAYOUT)
+                soft, hard = soft or not firm, hard or firm
+                advert = advert or bool(words & ADVERTS)
+        self.node = _Node(tag, up, kind, name, up.comment or bool(words & COMMENTS) and tag not in ("html", "body"), soft, hard, advert)
         self.node.at = len(self.nodes)
         self.nodes.append(self.node)
         self.opened[tag] = self.opened.get(tag, 0) + 1
@@ -335,9 +343,10 @@ def chosen(lines: list[Line], picked: list[bool], top: _Node, nodes: list[_Node]
 def unmarked(every: list[Line], nodes: list[_Node]) -> list[Line]:
     """The lines that no container marks.
 
-    A form or named wrapper with most of the text that nothing else marks is no mark, unless an article or main element
-    holds more than a tenth of it. If a tenth of that text or less
-    is left, and no article or main element says that this is all, forms and names count for nothing.
+    A form, or a wrapper with a name of page layout, that holds most of the text that nothing else marks is no mark, unless
+    an article or main element holds more than a tenth of it. If a tenth of that text or less is left, and no article or
+    main element says that this is all, forms and such names count for nothing. Adverts and notices are never text, and
+    comments, shares and recommendations only on a page that has nothing else.
     """
     able = [x for x in every if not x.node.hard]
     total = sum(len(x.text) for x in able)
@@ -355,7 +364,7 @@ def unmarked(every: list[Line], nodes: list[_Node]) -> list[Line]:
     lines = [x for x in able if not marked[x.node.at]]
     if sum(len(x.text) for x in lines) * 10 <= total and not any(declared[x.node.at] for x in lines):
         lines = able
-    return lines or [x for x in every if not x.node.kind]
+    return lines or [x for x in every if not x.node.kind and not x.node.advert]
 
 
 def main_text(html: str | None) -> str:

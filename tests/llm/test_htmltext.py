@@ -1,6 +1,8 @@
 import re
+from collections import Counter
 from html import unescape
 
+import pyarrow.parquet as pq
 import pytest
 
 from fieldloom.llm import htmltext as ht
@@ -44,6 +46,24 @@ def test_table_pages(spark, request):
     assert off == 0
 
 
+def likeness(got, want):
+    a, b = Counter(got.split()), Counter(want.split())
+    return 2 * sum((a & b).values()) / max(1, sum(a.values()) + sum(b.values()))
+
+
+def test_table_pages_without_their_names(monkeypatch):
+    """Truth is the text with all names: the ratios find it without article elements, and nearly without any class or id."""
+    pages = pq.read_table("/root/testdata/sf0.1/pages.parquet", columns=["html"])["html"].to_pylist()[::5]
+    want = [ht.main_text(x) for x in pages]
+    divs = [re.sub(r"<(/?)(article|main)\b", r"<\1div", x) for x in pages]
+    assert [ht.main_text(x) for x in divs] == want
+    bare = [re.sub(r"\s(class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", x) for x in divs]
+    score = sum(map(likeness, map(ht.main_text, bare), want)) / len(want)
+    assert score >= 0.98
+    monkeypatch.setattr(ht, "content_lines", lambda lines: [True] * len(lines))
+    assert sum(map(likeness, map(ht.main_text, bare), want)) / len(want) < score
+
+
 def test_operator(spark):
     df = spark.createDataFrame([(1, "u", "<p>x</p>", "z"), (None, None, None, "z"), (1, "u", "<p>x</p>", "z")], "page_id long, url string, html string, text string")
     got = [(r.page_id, r.url, r.text, r.n_chars) for r in ht.extract(df).collect()]
@@ -90,6 +110,20 @@ def test_a_short_article_beside_a_long_advert():
     assert ht.main_text("<body><div class='ad'>Buy this thing now, it is very good and cheap.</div><article><h1>Short</h1><p>Short.</p></article></body>") == "Short Short."
 
 
+@pytest.mark.parametrize("name", ["ad", "ad-slot top", "sponsored", "promo-box", "cookie-notice", "gdpr", "site-notices", "newsletter-signup", "related", "share"])
+@pytest.mark.parametrize("times", [1, 40])
+def test_adverts_and_notices_stay_out_whatever_their_share(name, times):
+    box = f"<div class='{name}'>" + "<p>Buy this thing now, it is very good and cheap, and read all of these terms of ours.</p>" * times + "</div>"
+    for story in ("<div><h1>Short</h1><p>The story is short.</p></div>", "<h1>Short</h1><p>The story is short.</p>", "<article><h1>Short</h1><p>The story is short.</p></article>"):
+        for page in (f"{box}{story}", f"{story}{box}", f"<div class='has-ads with-cookie'>{story}{box}</div>"):
+            assert ht.main_text(f"<body>{page}</body>") == "Short The story is short."
+
+
+def test_nothing_but_adverts():
+    assert ht.main_text(f"<body><div class='ads'>{TEXT}</div><div id='cookie-notice'>{TEXT}</div></body>") == ""
+    assert ht.main_text(f"<body><div class='related'>{TEXT}</div><div class='ads'>{TEXT}</div></body>") == ALL
+
+
 INTRO = "An intro of one line."
 
 
