@@ -249,7 +249,8 @@ class _Dictionary:
         return out
 
     def table(self) -> np.ndarray:
-        self.numbers = [np.concatenate(self.numbers)]
+        if len(self.numbers) > 1:
+            self.numbers = [np.concatenate(self.numbers)]
         return self.numbers[0]
 
 
