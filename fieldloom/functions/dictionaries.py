@@ -93,6 +93,9 @@ LINE_LABELS = {
 
 # Label phrases looked for fuzzily, in order.
 NAME_PHRASES = ["first name", "middle name", "last name", "given name", "surname", "family name"]
+PHRASE_PARTS = {
+    "first name": "first_name", "given name": "first_name", "middle name": "middle_name", "last name": "last_name", "surname": "last_name", "family name": "last_name",
+}
 LINE_PHRASES = {
     "First Name": ["first name", "given name", "forename"], "Middle Name": ["middle name"], "Last Name": ["last name", "surname", "family name"],
     "Gender": ["gender", "sex"], "Address": ["address", "residential address", "permanent address", "current address", "correspondence address"], "Age": ["age"],
@@ -103,9 +106,9 @@ NAME_STARTS = r"\s*(first\s*name|middle\s*name|last\s*name|surname|family\s*name
 LINE_STARTS = r"\s*(first\s*name|middle\s*name|last\s*name|surname|family\s*name|gender|sex|address|age)\b"
 
 
-def pattern(label: str, value: str, gap: str = _GAP) -> str:
-    """JVM regex: Unicode classes and case, and a word boundary that holds before vowel signs, too."""
-    return rf"(?iuU)(?<![\p{{L}}\p{{N}}_]){label}{gap}({value})"
+def labelled_value(label: str, value: str, gap: str = _GAP) -> str:
+    """Pattern of a label at the start of a word, and the value behind it."""
+    return rf"\b{label}{gap}({value})"
 
 
 def lookup(table: dict, key: Column) -> Column:

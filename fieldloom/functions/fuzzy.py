@@ -6,6 +6,10 @@ column expression, for short strings and as a cross-check.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,20 +57,48 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(ratio(one, two), ratio(both, one), ratio(both, two))
 
 
-def best_phrase(phrases: list[str], line: str, least: float) -> int | None:
-    """Index of the phrase with the highest token_set_ratio to line, the first of equals, if it is least or more.
+class PhraseIndex:
+    """Finds the phrase with the highest token_set_ratio to a line, the first of equals, if it is `least` or more.
 
-    Without a common token the ratio is bounded by the lengths, so most lines need no ratio at all.
+    An inverted index gives the phrases that share a token with the line. Without a common token the ratio is that of
+    whole strings, which lengths and then counts of characters bound, so few others need a ratio at all. Lines come again
+    on other documents: what was found is kept, for a bounded number of lines.
     """
-    words = set(line.split())
-    n, top, best = sum(map(len, words)) + max(0, len(words) - 1), 0.0, None
-    for i, p in enumerate(phrases):
-        if 200.0 * min(n, len(p)) / max(1, n + len(p)) < least and words.isdisjoint(p.split()):
-            continue
-        score = token_set_ratio(p, line)
-        if score > top:
-            top, best = score, i
-    return best if top >= least else None
+
+    KEPT = 100_000
+
+    def __init__(self, phrases: list[str], least: float):
+        self.phrases, self.least = phrases, least
+        self.holding: dict[str, set[int]] = {}
+        for i, p in enumerate(phrases):
+            for token in p.split():
+                self.holding.setdefault(token, set()).add(i)
+        bare = [" ".join(set(p.split())) for p in phrases]
+        self.by_size = sorted((len(p), i) for i, p in enumerate(bare))
+        self.sizes = [n for n, _ in self.by_size]
+        self.letters = [Counter(p) for p in bare]
+        self.known: dict[str, int | None] = {}
+
+    def _alike(self, words: set[str]) -> set[int]:
+        """Phrases that can score enough by their letters alone."""
+        line = " ".join(words)
+        n, slack = len(line), 200.0 / self.least - 1 if self.least else math.inf
+        fits = self.by_size[bisect_left(self.sizes, n / slack - 1e-9) : bisect_right(self.sizes, n * slack + 1e-9)]
+        letters = Counter(line)
+        return {i for size, i in fits if 200.0 * (letters & self.letters[i]).total() >= self.least * (n + size) - 1e-9}
+
+    def best(self, line: str) -> int | None:
+        if line not in self.known:
+            if len(self.known) >= self.KEPT:
+                self.known.clear()
+            self.known[line] = self._search(line)
+        return self.known[line]
+
+    def _search(self, line: str) -> int | None:
+        words = set(line.split())
+        some = self._alike(words).union(*[self.holding[w] for w in words if w in self.holding])
+        top, found = max(((token_set_ratio(self.phrases[i], line), -i) for i in some), default=(0.0, 0))
+        return -found if some and top >= self.least and top > 0 else None
 
 
 def partial_ratio(a: str, b: str) -> float:

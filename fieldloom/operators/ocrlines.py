@@ -1,20 +1,24 @@
 """Recognised lines to normal lines: labels found fuzzily, values from the same line or the next, no repeats.
 
-Each step may consume two lines, so an array of lines is folded in one pass of a vectorised UDF.
+A value may lie on the line after its label, so an array of lines is folded in one pass of a vectorised UDF. What a line
+says by itself is kept by its text.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.dictionaries import LINE_PHRASES, LINE_SCORE, LINE_STARTS
-from ..functions.fuzzy import best_phrase
+from ..functions.fuzzy import PhraseIndex
+from .labels import Reading, with_values
 
 _PHRASES = [(label, p) for label, ps in LINE_PHRASES.items() for p in ps]
+_INDEX = PhraseIndex([p for _, p in _PHRASES], LINE_SCORE)
 _START = re.compile(LINE_STARTS, re.IGNORECASE)
 _FOLD = str.maketrans({"—": "-", "–": "-", "：": ":"})
 # Labels that may open a line with a value right behind.
@@ -29,12 +33,6 @@ def fold_punctuation(line: str) -> str:
     return line.translate(_FOLD)
 
 
-def label_of(line: str) -> tuple[str, str] | None:
-    """(label, phrase) of the best phrase, the first of equals, if it scores enough."""
-    at = best_phrase([p for _, p in _PHRASES], line.lower(), LINE_SCORE)
-    return None if at is None else _PHRASES[at]
-
-
 def canonical(label: str, value: str) -> str | None:
     """Value of a label in its usual form; None for an age without a number where one is needed."""
     if label == "Gender":
@@ -45,45 +43,38 @@ def canonical(label: str, value: str) -> str | None:
     return value
 
 
-def normal_lines(raw: list[str]) -> list[str]:
-    out: dict[str, None] = {}  # keeps the first place of each line
-
-    def add(label: str, value: str) -> None:
-        value = value.strip().strip("-:").strip()
-        if value:
-            out.setdefault(f"{label}: {value}")
-
-    i = 0
-    while i < len(raw):
-        own = (raw[i] or "").strip()
-        line, here = fold_punctuation(own), i
-        i += 1
-        if not own:
-            continue
-        found = label_of(line)
-        if found:
-            label, phrase = found
-            sep = re.search("[:-]", line)
-            value = line[sep.end() :].strip() if sep else line[len(phrase) :].strip() if line.lower().startswith(phrase) else ""
-            if not value and here + 1 < len(raw):
-                after = (raw[here + 1] or "").strip()
-                if after and not _START.match(fold_punctuation(after)):
-                    value, i = after, here + 2
-            if value:
-                add(label, canonical(label, value) or value)
-                continue
-            i = here + 1
-        for label, regex in _INLINE_RE:
-            m = regex.match(line)
-            if m:
-                value = canonical(label, m.group(1).strip())
-                if value is not None:
-                    add(label, value)
-                    break
-        else:
-            if re.search("[A-Za-z0-9]", own) and len(own) >= 3:
-                out.setdefault(own)
-    return list(out)
+def _shown(label: str, value: str | None) -> str | None:
+    value = (value or "").strip().strip("-:").strip()
+    return f"{label}: {value}" if value else None
+
+
+def _inline(line: str, own: str) -> str | None:
+    """A line without a fuzzy label as it is kept: one that opens with a label in its form, another as it is, noise not at all."""
+    for label, regex in _INLINE_RE:
+        m = regex.match(line)
+        value = canonical(label, m.group(1).strip()) if m else None
+        if value is not None:
+            return _shown(label, value)
+    return own if len(own) >= 3 and re.search("[A-Za-z0-9]", own) else None
+
+
+@lru_cache(maxsize=100_000)
+def read_line(raw: str | None) -> Reading:
+    own = (raw or "").strip()
+    line = fold_punctuation(own)
+    at = _INDEX.best(line.lower()) if own else None
+    if at is None:
+        return Reading(own, closed=bool(_START.match(line)), other=_inline(line, own) if own else None)
+    label, phrase = _PHRASES[at]
+    mark = re.search("[:-]", line)
+    behind = mark.end() if mark else len(phrase) if line.lower().startswith(phrase) else len(line)
+    return Reading(own, label, line[behind:].strip(), bool(_START.match(line)), _inline(line, own))
+
+
+def normal_lines(raw: list[str | None]) -> list[str]:
+    """Labels with their values in usual form and other lines as they are, each once, where it first comes."""
+    kept = (_shown(r.label, canonical(r.label, v) or v) if v else r.other for r, v in with_values(map(read_line, raw)))
+    return list(dict.fromkeys(k for k in kept if k))
 
 
 @F.pandas_udf(ArrayType(StringType()))

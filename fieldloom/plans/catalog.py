@@ -185,8 +185,29 @@ def x9_distinct_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     nullif(regexp_extract(raw_text, '(?i)\bPin\s*Code[:\s]*(\d{4,8})', 1), '') AS pincode FROM docs"""
 )
 def m2_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("raw_text")
-    return I.documents(spark, sf_dir).select("application_id", *[extract.by_pattern(text, f).alias(f) for f in ("first_name", "middle_name", "dob", "gender", "pincode")])
+    rows = I.documents(spark, sf_dir).select("application_id", extract.found_values("raw_text").alias("found"))
+    return rows.select("application_id", *[F.col("found")[f"p_{f}"].alias(f) for f in ("first_name", "middle_name", "dob", "gender", "pincode")])
+
+
+@query(I.MIXED_SQL + "SELECT application_id, kind, " + ", ".join(f"m_{f} AS {f}" for f in I.PARTS) + " FROM m")
+def m1_all_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All thirteen patterns over forms in two languages, badly read ones, and pages without any."""
+    rows = I.mixed_documents(spark, sf_dir).select("application_id", "kind", extract.found_values("raw_text").alias("found"))
+    return rows.select("application_id", "kind", *[F.col("found")[f"p_{f}"].alias(f) for f in I.PARTS])
+
+
+@query(
+    I.MIXED_SQL
+    + """SELECT application_id, kind, CASE WHEN kind = 'short' THEN first || ' ' || last ELSE m_first_name || ' ' || m_middle_name || ' ' || m_last_name END AS name, m_gender AS gender, m_dob AS dob, m_age AS age,
+    CASE WHEN kind = 'short' THEN m_city || ' ' || m_state || ' ' || m_pincode ELSE m_address_line1 || ' ' || m_address_line2 END AS address, m_city AS city, m_state AS state, m_pincode AS pincode,
+    replace(m_phone, ' ', '') AS phone, replace(lower(m_email), 'qmail', 'gmail') AS email,
+    CAST(CASE kind WHEN 'bare' THEN 0 WHEN 'short' THEN 5 ELSE 10 END AS BIGINT) AS fields_count,
+    CASE kind WHEN 'bare' THEN ['name', 'age', 'gender', 'address', 'phone', 'email'] WHEN 'short' THEN ['age', 'gender', 'phone', 'email'] ELSE CAST([] AS VARCHAR[]) END AS missing_fields FROM m"""
+)
+def m8_mixed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole records of the same: joined name parts and address lines, a name on one line, an address made of its places."""
+    rows = extract.with_report(extract.extract_fields(I.mixed_documents(spark, sf_dir)))
+    return rows.drop("raw_text").withColumn("fields_count", F.col("fields_count").cast("long"))
 
 
 _LINE = r"list_extract(list_filter(list_transform(string_split(raw_text, chr(10)), lambda l: nullif(regexp_extract(l, '(?i)^\s*{0}\s*[:\-]?\s*(.+)$', 1), '')), lambda v: v IS NOT NULL), -1) AS {1}"
@@ -194,8 +215,8 @@ _LINE = r"list_extract(list_filter(list_transform(string_split(raw_text, chr(10)
 
 @query(I.SQL + "SELECT application_id, " + ", ".join(_LINE.format(a, b) for a, b in (("(?:city)", "city"), ("(?:state)", "state"), ("(?:gender|sex)", "gender"), ("(?:date of birth|dob|birth date)", "dob"))) + " FROM docs")
 def m3_label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = I.documents(spark, sf_dir).select("application_id", pytext.lines(F.col("raw_text")).alias("rows"))
-    return rows.select("application_id", *[extract.by_label(F.col("rows"), f).alias(f) for f in ("city", "state", "gender", "dob")])
+    rows = I.documents(spark, sf_dir).select("application_id", extract.found_values("raw_text").alias("found"))
+    return rows.select("application_id", *[F.col("found")[f"l_{f}"].alias(f) for f in ("city", "state", "gender", "dob")])
 
 
 @query(I.SQL + "SELECT application_id, first || ' ' || last AS name, house || ' ' || road AS address, city || ' ' || state || ' ' || pin AS place FROM people")
@@ -520,14 +541,15 @@ def w2_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's orders as lines with the same label: the last one's value stays."""
     rows = I.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("rows"))
     lines = F.transform("rows", lambda r: F.concat(F.lit("City: "), r["o_orderpriority"]))
-    return rows.select("o_custkey", extract.by_label(lines, "city").alias("last_value"))
+    return rows.select("o_custkey", extract.found_values(F.array_join(lines, "\n")).alias("found")).select("o_custkey", F.col("found")["l_city"].alias("last_value"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN ['Last Name: ' || o_orderpriority] ELSE ['Last Name', 'First Name: ' || o_orderpriority] END AS lines FROM orders")
 def w4_next_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A label's value is the next line, unless that begins with a label."""
     after = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).otherwise(F.concat(F.lit("First Name: "), "o_orderpriority"))
-    return I.table(spark, sf_dir, "orders").select("o_orderkey", ocrlines.normalise_lines(F.array(F.lit("Last Name"), after)).alias("lines"))
+    orders = I.table(spark, sf_dir, "orders").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")  # one small file, one task by itself
+    return orders.select("o_orderkey", ocrlines.normalise_lines(F.array(F.lit("Last Name"), after)).alias("lines"))
 
 
 # Review

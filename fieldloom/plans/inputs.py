@@ -54,6 +54,36 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("application_id", text.alias("raw_text"), kind.alias("document_type"))
 
 
+#: Forms in two languages and three states: what stands before each value, in the order of a form.
+LABELS = {
+    "en": ["FIRST NAME: ", "MIDDLE NAME: ", "LAST NAME: ", "Gender: ", "Date of birth: ", "Age: ", "Address Line 1: ", "Address Line 2: ", "City: ", "State: ", "Pin Code: ", "Phone number: ", "Email Id: "],
+    "hi": ["प्रथम नाम: ", "मध्य नाम: ", "अंतिम नाम: ", "लिंग: ", "जन्म तिथि: ", "उम्र: ", "पता पंक्ति १: ", "पता पंक्ति २: ", "शहर: ", "राज्य: ", "पिनकोड: ", "फोन: ", "ईमेल: "],
+    "noisy": ["FUEST MOUNT ", "Middle  Name:", "Last name: ", "Chender:", "DOB : ", "years ", "ADDREAS LINE 1 ", "addreas lin 2:", "CITY ", "STATE : ", "Prin CODE ", "mobile:: ", "e-mail "],
+}
+PARTS = ["first_name", "middle_name", "last_name", "gender", "dob", "age", "address_line1", "address_line2", "city", "state", "pincode", "phone", "email"]
+HINDI = ["रमेश", "अनीता", "सुरेश", "कविता", "मोहन", "प्रिया", "अर्जुन"]
+KINDS = ["en", "hi", "noisy", "bare", "short"]
+
+
+def mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(application_id, kind, raw_text): whole forms in two languages, one badly read, pages without a label, and forms with a name and a place alone."""
+    p = people(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "application_id")
+    k = F.col("application_id")
+    hindi = _pick(HINDI, "application_id % 7")
+    kind = _pick(KINDS, "application_id % 5")
+    own = {
+        "en": ["first", F.lit("Dev"), "last", "sex", F.date_format("born", "dd-MM-yyyy"), (k % 90 + 10).cast("string"), F.concat("house", F.lit(" "), "road"), F.concat(F.lit("Floor "), "house"), F.concat("city", F.lit(".")), F.concat("state", F.lit(".")), "pin", F.concat(F.lit("+91 "), "phone"), F.upper("mail")],
+    }
+    own["noisy"] = own["en"]
+    own["hi"] = [hindi, F.lit("कुमार"), F.lit("शर्मा"), F.when(k % 2 == 0, "पुरुष").otherwise("महिला"), *own["en"][4:6], F.concat("house", F.lit(", एमजी रोड")), F.concat(F.lit("मंज़िल "), "house"), F.lit("दिल्ली"), F.lit("दिल्ली प्रदेश"), *own["en"][10:]]
+    whole = {lang: F.concat_ws("\n", *[F.concat(F.lit(label), v if not isinstance(v, str) else F.col(v)) for label, v in zip(LABELS[lang], own[lang], strict=True)]) for lang in own}
+    short = F.concat(F.lit("full name - "), "first", F.lit(" "), "last", F.lit("\nCity: "), "city", F.lit(".\nState: "), "state", F.lit(".\nPincode: "), "pin")
+    text = F.when(kind == "short", short).when(kind == "bare", F.concat(F.lit("page "), k.cast("string"), F.lit("\nnothing that is a field\n--")))
+    for lang, c in whole.items():
+        text = text.when(kind == lang, c)
+    return p.select("application_id", kind.alias("kind"), text.alias("raw_text"))
+
+
 def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(application_id, name, dob, gender, address, phone, email): what the applicant typed, with slips by key."""
     p = people(spark, sf_dir)
@@ -91,3 +121,15 @@ WITH people AS (
   FROM people
 )
 """
+
+_WHOLE = {
+    "first_name": "first", "middle_name": "'Dev'", "last_name": "last", "gender": "sex", "dob": "strftime(born, '%d-%m-%Y')", "age": "CAST(application_id % 90 + 10 AS VARCHAR)", "address_line1": "house || ' ' || road",
+    "address_line2": "'Floor ' || house", "city": "city", "state": "state", "pincode": "pin", "phone": "'+91 ' || phone", "email": "upper(mail)",
+}
+_HINDI = {
+    "first_name": f"{_sql_list(HINDI)}[application_id % 7 + 1]", "middle_name": "'कुमार'", "last_name": "'शर्मा'", "gender": "CASE WHEN application_id % 2 = 0 THEN 'पुरुष' ELSE 'महिला' END",
+    "address_line1": "house || ', एमजी रोड'", "address_line2": "'मंज़िल ' || house", "city": "'दिल्ली'", "state": "'दिल्ली प्रदेश'",
+}
+_SHORT = {"city": "city", "state": "state", "pincode": "pin"}
+#: What mixed_documents() holds, by field, as columns of a table m.
+MIXED_SQL = SQL + ", m AS (SELECT *, " + f"{_sql_list(KINDS)}[application_id % 5 + 1] AS kind, " + ", ".join(f"CASE application_id % 5 WHEN 0 THEN {_WHOLE[f]} WHEN 1 THEN {_HINDI.get(f, _WHOLE[f])} WHEN 2 THEN {_WHOLE[f]} WHEN 4 THEN {_SHORT.get(f, 'NULL')} END AS m_{f}" for f in PARTS) + " FROM people) "

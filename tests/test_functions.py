@@ -54,7 +54,7 @@ def test_ratios_are_bounded_and_symmetric(a, b):
 def test_best_phrase_is_the_first_best(phrases, line):
     scores = [fuzzy.token_set_ratio(p, line) for p in phrases]
     want = scores.index(max(scores)) if max(scores) >= 80 else None
-    assert fuzzy.best_phrase(phrases, line, 80) == want
+    assert fuzzy.PhraseIndex(phrases, 80).best(line) == want
 
 
 def test_known_ratios():
