@@ -28,7 +28,8 @@ import re
 import uuid
 import zlib
 from collections import Counter, defaultdict
-from itertools import chain
+from itertools import chain, pairwise
+from typing import NamedTuple
 
 import numpy as np
 import zstandard
@@ -76,6 +77,8 @@ class Pair:
         for i in range(self.b.vocab_size()):
             piece = self.b.id_to_piece(i)
             self.raw_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i) else piece.replace(SPACE, " ").encode())
+        self.size_a, self.size_b = np.zeros(max(self.raw_a) + 1, np.int64), np.array(list(map(len, self.raw_b)), np.int64)
+        self.size_a[list(self.raw_a)] = list(map(len, self.raw_a.values()))
         texts = [r.decode("utf-8", "replace") for r in chain(self.raw_a.values(), self.raw_b)]
         inside = {c for t in texts for before, c in zip(t, t[1:]) if not before.isspace()}
         #: White space that no token has after anything else.
@@ -97,38 +100,53 @@ class Pair:
         """Segments of a text with a space before it; None if it has no tokens."""
         return None if not text or self.odd(text) else self.segments(" " + text)
 
-    def ids(self, segments: list[str]) -> list[tuple[list[int], list[int]]]:
-        a = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
-        # the space that B adds is a segment's own, if it has one; else a line end, which merges with nothing, parts them
-        own = [s[0] == " " and len(s) > 1 for s in segments]
-        b = self.b.encode([s[1:] if o else "\n" + s for s, o in zip(segments, own)], num_threads=1)
-        return [(x, y if o else y[2:]) for x, y, o in zip(a, b, own)]
-
-    def align(self, segments: list[str]) -> list[tuple[list[int], list[int], list[tuple[int, int, int, int]], list[int]]]:
-        """(A ids, B ids, groups as ranges of both, links as b << 32 | a) of each segment."""
-        out = []
-        for segment, (a, b) in zip(segments, self.ids(segments)):
-            raw_a, raw_b, raw = [self.raw_a[i] for i in a], [self.raw_b[i] for i in b], segment.encode()
-            if b"".join(raw_a) != raw or b"".join(raw_b) != raw:
-                raise ValueError(f"tokens of {segment!r} do not give it back, though its characters do")
-            i = j = first = head = 0
-            x, y, groups, links = len(raw_a[0]), len(raw_b[0]), [], []
-            while True:
-                links.append(b[j] << 32 | a[i])
-                step_a, step_b = x <= y, y <= x
-                if step_a and step_b:
-                    groups.append((first, i + 1, head, j + 1))
-                    first, head = i + 1, j + 1
-                    if first == len(a):
-                        break
-                if step_a:
-                    i += 1
-                    x += len(raw_a[i])
-                if step_b:
-                    j += 1
-                    y += len(raw_b[j])
-            out.append((a, b, groups, links))
-        return out
+    def ids(self, run: str) -> tuple[list[int], list[int]]:
+        """A's and B's ids of a text that begins with a space or another character that splits."""
+        # the space that B adds is the text's own, if it has one; else a line end, which merges with nothing, parts them
+        own = run[0] == " " and len(run) > 1
+        b = self.b.encode(run[1:] if own else "\n" + run, num_threads=1)
+        return self.a.encode(run, add_special_tokens=False).ids, b if own else b[2:]
+
+    def align(self, segments: list[str]) -> list[Aligned]:
+        """Each segment's alignment. Segments that end in no white space follow one another as in a text, so they are tokenized as one."""
+        out, run = [], []
+        for s in segments:
+            if s[-1].isspace():
+                out += self._aligned(run) + self._aligned([s])
+                run = []
+            else:
+                run.append(s)
+        return out + self._aligned(run)
+
+    def _aligned(self, segments: list[str]) -> list[Aligned]:
+        if not segments:
+            return []
+        raw = [s.encode() for s in segments]
+        a, b = map(np.array, self.ids("".join(segments)))
+        if b"".join(map(self.raw_a.__getitem__, a.tolist())) != b"".join(raw) or b"".join(map(self.raw_b.__getitem__, b.tolist())) != b"".join(raw):
+            raise ValueError(f"tokens of one of {segments[:3]!r}... do not give it back, though its characters do")
+        ends_a, ends_b = self.size_a[a].cumsum(), self.size_b[b].cumsum()
+        stops = np.fromiter(map(len, raw), np.int64, len(raw)).cumsum()
+        # between two ends of either side lies one token of each, which is a link
+        ends, common = np.union1d(ends_a, ends_b), np.intersect1d(ends_a, ends_b, assume_unique=True)
+        links = (b[np.searchsorted(ends_b, ends)] << 32 | a[np.searchsorted(ends_a, ends)]).tolist()
+        upto = [np.searchsorted(x, stops, "right").tolist() for x in (common, ends_a, ends_b, ends)]
+        if len(np.setdiff1d(stops, common)):
+            raise ValueError(f"a token crosses the end of one of {segments[:3]!r}...")
+        to_a, to_b = (np.searchsorted(x, common, "right").tolist() for x in (ends_a, ends_b))
+        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        groups = [f"{','.join(text_a[i:j])}|{','.join(text_b[k:n])}" for i, j, k, n in zip([0, *to_a], to_a, [0, *to_b], to_b)]
+        return [Aligned(";".join(groups[g:h]), j - i, n - k, h - g, links[x:y]) for (g, h), (i, j), (k, n), (x, y) in zip(*(pairwise([0, *u]) for u in upto))]
+
+
+class Aligned(NamedTuple):
+    """Groups as text, numbers of A's ids, B's ids and groups, and links as b << 32 | a."""
+
+    groups: str
+    n_a: int
+    n_b: int
+    n_groups: int
+    links: list[int]
 
 
 _PAIRS: dict[tuple, Pair] = {}
@@ -177,10 +195,9 @@ def _aligned(counts: DataFrame, paths: tuple) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, _BATCH):
                 part = batch.slice(at, _BATCH)
-                got = p.align(part.column("segment").to_pylist())
-                texts = [";".join([f"{','.join(map(str, a[i:j]))}|{','.join(map(str, b[k:n]))}" for i, j, k, n in groups]) for a, b, groups, _ in got]
-                sizes = [pa.array([len(x[k]) for x in got], pa.int32()) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([part.column("segment"), part.column("places"), pa.array(texts, pa.string()), *sizes, pa.array([x[3] for x in got], pa.list_(pa.int64()))], schema=pa.schema(fields))
+                groups, n_a, n_b, n_groups, links = zip(*p.align(part.column("segment").to_pylist()))
+                made = [pa.array(x, t) for x, (_, t) in zip((groups, n_a, n_b, n_groups, links), fields[2:])]
+                yield pa.RecordBatch.from_arrays([part.column("segment"), part.column("places"), *made], schema=pa.schema(fields))
 
     return counts.mapInArrow(make, "segment string, places long, groups string, n_a int, n_b int, n_groups int, links array<long>")
 
@@ -310,9 +327,9 @@ def _asked(docs: DataFrame, sent, paths: tuple, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([number] * len(some), pa.int64()), pa.array(some, pa.string())], names=["block", "segment"])
 
     def make(batches):
-        p, known, held, size = pair(paths), _hot(sent).index.keys(), defaultdict(set), 0
+        p, known, held, size = pair(paths), _hot(sent).index, defaultdict(set), 0
         for number, _, text in _blocks(batches, parts):
-            new = set(p.cut(text) or ()) - known
+            new = {s for s in set(p.cut(text) or ()) if s not in known}
             size -= len(held[number])
             held[number] |= new
             size += len(held[number])
