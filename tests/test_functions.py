@@ -50,6 +50,19 @@ def test_ratios_are_bounded_and_symmetric(a, b):
         assert all(f(a, a) == 100 for f in fuzzy.RATIOS.values())
 
 
+any_text = st.one_of(short, st.text(alphabet="abé क\U0001f642 ", max_size=90), st.text(alphabet="ab ", min_size=60, max_size=210))
+
+
+@settings(deadline=None)
+@given(st.lists(st.tuples(any_text, any_text), max_size=12))
+def test_many_at_once_is_one_at_a_time(pairs):
+    a, b = [x for x, _ in pairs], [y for _, y in pairs]
+    assert fuzzy.lcs_many(a, b).tolist() == [fuzzy.lcs(x, y) for x, y in pairs]
+    for name, f in fuzzy.RATIOS.items():
+        got = fuzzy.RATIOS_MANY[name](a, b)
+        assert all(abs(g - f(x, y)) < 1e-9 for g, (x, y) in zip(got, pairs)), name
+
+
 @given(st.lists(st.text(alphabet="agensx ", min_size=1, max_size=14).filter(str.strip), min_size=1, max_size=5), st.text(alphabet="agensx ", max_size=30))
 def test_best_phrase_is_the_first_best(phrases, line):
     scores = [fuzzy.token_set_ratio(p, line) for p in phrases]
