@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +16,7 @@ from ..functions import normalise as N
 from ..operators import extract, ocrlines, register, review, verify
 from ..operators import score as C
 from ..sources import documents as sources
-from ..sources import sinks
+from ..sources import images, sinks
 from . import expected as X
 from . import inputs as I
 
@@ -99,6 +103,47 @@ def s8_json_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.table(spark, sf_dir, "events").select("event_id", sources.read_forms(F.col("props"))["k"].alias("k"))
 
 
+def _bitmap(values: pd.Series) -> pd.Series:
+    """A vector as a square grey PNG, a pixel an entry, magnified four times."""
+    out = []
+    for v in values:
+        x = np.floor(np.clip(np.asarray(v, float), -1, 1) * 127.5 + 127.5).astype(np.uint8)
+        x = np.kron(x.reshape(8, -1), np.ones((4, 4), np.uint8))
+        parts = [(b"IHDR", struct.pack(">IIBBBBB", x.shape[1], x.shape[0], 8, 0, 0, 0, 0)), (b"IDAT", zlib.compress(b"".join(b"\0" + r.tobytes() for r in x), 1)), (b"IEND", b"")]
+        out.append(b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body)) for kind, body in parts))
+    return pd.Series(out)
+
+
+def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, content): every seventh file is cut off."""
+    rows = I.table(spark, sf_dir, "embeddings").repartition(spark.sparkContext.defaultParallelism, "vec_id")
+    content = F.pandas_udf(_bitmap, "binary")("embedding")
+    return rows.select("vec_id", F.when(F.col("vec_id") % 7 == 0, F.substring(content, 1, 60)).otherwise(content).alias("content"))
+
+
+@query("""SELECT vec_id, CASE WHEN vec_id % 7 > 0 THEN 32 END AS height, CASE WHEN vec_id % 7 > 0 THEN CAST(len(embedding) / 2 AS INTEGER) END AS width,
+  CASE WHEN vec_id % 7 > 0 THEN CAST(48 * list_sum(list_transform(embedding, lambda x: floor(greatest(-1, least(1, CAST(x AS DOUBLE))) * 127.5 + 127.5))) AS BIGINT) END AS total FROM embeddings""")
+def s2_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and sum of all channels of decoded pictures; nulls of those that are broken."""
+    rows = _pictures(spark, sf_dir).select("vec_id", images.decoded("content").alias("image"))
+    total = F.pandas_udf(lambda pixels: pixels.map(lambda p: None if p is None else int(np.frombuffer(p, np.uint8).sum())).astype("Int64"), "long")
+    return rows.select("vec_id", "image.height", "image.width", total("image.pixels").alias("total"))
+
+
+@query()
+def s4_preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures as they go to a recogniser: denoised, with local contrast, scaled up, sharpened."""
+    rows = _pictures(spark, sf_dir).select("vec_id", images.prepared("content").alias("image"))
+    return rows.select("vec_id", "image.height", "image.width", F.crc32("image.pixels").alias("pixels_crc32"))
+
+
+@query("SELECT doc_id, ['pdf', 'image', 'image', 'image', 'image', 'image', 'pdf'][doc_id % 7 + 1] AS kind FROM documents")
+def s1_content_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = ["255044462D", "89504E470D0A1A0A", "FFD8FFE0", "424D0000", "49492A0008", "524946460000000057454250", ""]
+    head = F.element_at(F.array(*[F.lit(h) for h in heads]), F.expr("cast(doc_id % 7 + 1 as int)"))
+    return I.table(spark, sf_dir, "documents").select("doc_id", sources.content_kind(F.concat(F.unhex(head), F.encode("text", "UTF-8"))).alias("kind"))
+
+
 _SIDES = "p.first || ' ' || p.last AS ocr_name, strftime(p.born, '%-d %b %Y') AS ocr_dob, '+91 ' || p.phone AS ocr_phone, p.house || ' ' || p.road AS ocr_address, p.sex AS ocr_gender, " + ", ".join(f"f.{x} AS user_{x}" for x in D.SCORED)
 _FLOW = I.SQL + ", " + X.verified(X.PEOPLE, _sql_generic, _PHONE)
 _SCORES = ", ".join(f"f_{f}" for f in D.SCORED)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +11,8 @@ from pyspark.sql import functions as F
 from ..operators.extract import extract_fields, with_report
 from ..operators.ocrlines import normalise_lines
 
-# Extensions of images, and limits of image sizes.
+# Extensions of images.
 IMAGES = [".jpg", ".jpeg", ".png", ".bmp", ".tiff", ".webp"]
-LONGEST, SHORTEST, MOST_ZOOM = 3800, 500, 6.0
 
 
 def extension(path: Column) -> Column:
@@ -44,39 +42,6 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return files.select("path", "length", "content", how.alias("handler"), F.when(how.isNull(), F.concat(F.lit("unsupported file type: "), extension(F.col("path")))).alias("error"))
 
 
-def working_scale(width: int, height: int) -> float:
-    """Factor that an image is scaled by: up to the shortest side allowed, then down to the longest."""
-    scale = max(1.0, SHORTEST / min(width, height))
-    return scale * min(1.0, LONGEST / (max(width, height) * scale))
-
-
-def page_zoom(width: float, height: float) -> float:
-    return min(MOST_ZOOM, LONGEST / max(width, height))
-
-
-def sharpen(gray: np.ndarray) -> np.ndarray:
-    """Unsharp mask: 1.5 times the image less half of its blur."""
-    kernel = np.array([1.0, 4.0, 6.0, 4.0, 1.0]) / 16
-    blur = gray.astype(float)
-    for axis in (0, 1):
-        pad = [(2, 2) if a == axis else (0, 0) for a in (0, 1)]
-        edge = np.pad(blur, pad, mode="reflect" if min(blur.shape) > 2 else "edge")
-        blur = sum(k * np.take(edge, range(i, i + blur.shape[axis]), axis=axis) for i, k in enumerate(kernel))
-    return np.clip(np.rint(1.5 * gray - 0.5 * blur), 0, 255).astype(np.uint8)
-
-
-def preprocess(image: np.ndarray) -> np.ndarray:
-    """Grey, scaled, sharpened, three equal channels. Denoising and local contrast are the recogniser's affair."""
-    gray = image if image.ndim == 2 else image[..., :3].astype(float) @ np.array([0.114, 0.587, 0.299])
-    scale = working_scale(gray.shape[1], gray.shape[0])
-    if scale != 1.0:
-        h, w = (max(1, round(n * scale)) for n in gray.shape)
-        rows, cols = (np.minimum((np.arange(n) / scale).astype(int), m - 1) for n, m in ((h, gray.shape[0]), (w, gray.shape[1])))
-        gray = gray[np.ix_(rows, cols)]
-    sharp = sharpen(gray)
-    return np.repeat(sharp[..., None], 3, axis=2)
-
-
 def recognised_texts(result) -> list[str]:
     """Texts of a recogniser's result: items (box, (text, score)) or (box, text), one list of them or a list of lists; or objects with rec_texts."""
     out: list[str] = []

@@ -124,8 +124,6 @@ def test_files_and_recogniser(spark, tmp_path):
     assert "unsupported" in got["c.docx"].error and got["bad.png"].error
     assert sources.recognised_texts([[[[[0, 0]], (" a ", 0.9)], [[[0, 1]], "b"]], [[[[0, 0]], ("", 1)]]]) == ["a", "b"]
     assert sources.recognised_texts([{"res": {"rec_texts": ["x", " "]}}]) == ["x"]
-    assert sources.working_scale(100, 200) == 5 and sources.working_scale(7600, 3800) == 0.5 and sources.page_zoom(100, 100) == 6.0
-    assert sources.preprocess(__import__("numpy").zeros((20, 10, 3), dtype="uint8")).shape == (1000, 500, 3)
 
 
 def test_files_to_records(spark):
