@@ -2,59 +2,20 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from . import latin
 from .dictionaries import EXPANSIONS, GENDERS, MONTHS, STOP_TOKENS, lookup
 from .pytext import present, squeeze, strip, tokens
 
 _DIGITS = "०१२३४५६७८९"
-# Latin letters of Devanagari consonants, independent vowels and vowel signs.
-_CONSONANTS = dict(
-    zip(
-        "क ख ग घ ङ च छ ज झ ञ ट ठ ड ढ ण त थ द ध न प फ ब भ म य र ल ळ व श ष स ह".split(),
-        "k kh g gh n ch chh j jh n t th d dh n t th d dh n p ph b bh m y r l l v sh sh s h".split(),
-        strict=True,
-    )
-)
-_VOWELS = dict(zip("अ आ इ ई उ ऊ ऋ ए ऐ ऑ ओ औ".split(), "a a i i u u ri e ai o o au".split(), strict=True))
-_SIGNS = dict(zip("ा ि ी ु ू ृ े ै ॉ ो ौ".split(), "a i i u u ri e ai o o au".split(), strict=True))
-_VIRAMA, _NUKTA = "्", "़"
-_MARKS = {"ं": "n", "ँ": "n", "ः": "h", _NUKTA: "", "।": ".", "॥": "."}
-
-
-def transliterate(text: str) -> str:
-    """Devanagari to Latin letters with the inherent vowel, but for a word's last; other marks are dropped."""
-    out: list[str] = []
-    chars = [c for c in unicodedata.normalize("NFKD", text) if c != _NUKTA]
-    for i, ch in enumerate(chars):
-        after = chars[i + 1] if i + 1 < len(chars) else " "
-        if ch in _CONSONANTS:
-            out.append(_CONSONANTS[ch])
-            final = not ("ऀ" <= after <= "॥")
-            joined = i > 0 and chars[i - 1] == _VIRAMA
-            alone = i == 0 or not ("ऀ" <= chars[i - 1] <= "॥")
-            if after not in _SIGNS and after != _VIRAMA and (not final or joined or alone):
-                out.append("a")
-        elif ch in _VOWELS or ch in _SIGNS:
-            out.append(_VOWELS.get(ch) or _SIGNS[ch])
-        elif ch in _MARKS:
-            out.append(_MARKS[ch])
-        elif ch in _DIGITS:
-            out.append(str(_DIGITS.index(ch)))
-        elif ch != _VIRAMA and not unicodedata.combining(ch) and unicodedata.category(ch)[0] != "C":
-            out.append(ch)
-    return "".join(out)
-
-
 @F.pandas_udf(StringType())
 def to_latin(s: pd.Series) -> pd.Series:
-    """Compatibility decomposition, Latin letters, no control characters; null and empty give the empty string."""
-    return s.map(lambda x: "" if x is None else x if x.isascii() and x.isprintable() else transliterate(x))
+    """Latin letters of any script, no control characters; null and empty give the empty string."""
+    return s.map(lambda x: "" if x is None else x if x.isascii() and x.isprintable() else latin.to_latin(x))
 
 
 def digits(c: Column) -> Column:

@@ -597,6 +597,26 @@ def w4_next_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select("o_orderkey", ocrlines.normalise_lines(F.array(F.lit("Last Name"), after)).alias("lines"))
 
 
+_WORDS = ["ঢাকা", "சென்னை", "తెలుగు", "ಮೈಸೂರು", "കൊച്ചി", "સુરત", "ਪੰਜਾਬ", "Москва", "Αθήνα", "سلام", "“Rao’s” –", "Łódź", "दिल्ली", "서울"]
+_IN_LATIN = ["dhaka", "chennai", "telugu", "maisuru", "kochchi", "surat", "panjab", "Moskva", "Athena", "slam", '"Rao\'\'s" -', "Lodz", "dilli", "seoul"]
+
+
+@query(f"SELECT c_custkey, [{', '.join(f"'{w}'" for w in _IN_LATIN)}][c_custkey % {len(_WORDS)} + 1] || ' ' || c_custkey AS latin FROM customer")
+def n1_every_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of fourteen scripts and styles, and numbers in Devanagari digits, in Latin letters."""
+    word = F.element_at(F.array(*[F.lit(w) for w in _WORDS]), F.expr(f"cast(c_custkey % {len(_WORDS)} + 1 as int)"))
+    number = F.translate(F.col("c_custkey").cast("string"), "0123456789", "०१२३४५६७८९")
+    return I.table(spark, sf_dir, "customer").select("c_custkey", N.to_latin(F.concat(word, F.lit(" "), number)).alias("latin"))
+
+
+@query(I.SQL + "SELECT application_id, CAST(0.75 AS DOUBLE) AS overall_confidence, 'REVIEW' AS decision, ['verification_skipped_no_overlap'] AS notes FROM people WHERE application_id % 5 = 3")
+def p5_no_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of forms in two languages, short ones and pages without a label: those that share no field with the applicant's form."""
+    docs = I.mixed_documents(spark, sf_dir).withColumn("document_type", F.lit(None).cast("string"))
+    rows = verify.map_and_verify(docs, I.forms(spark, sf_dir))
+    return rows.where(F.col("fields").isNull()).select("application_id", "overall_confidence", "decision", "notes")
+
+
 # Review
 
 
@@ -703,3 +723,64 @@ def e8_integrate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e9_verify_and_submit(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = I.people(spark, sf_dir).select("application_id", F.concat_ws(" ", "first", "last").alias("name"), "phone")
     return register.verify_and_submit(verify.pair(p, I.forms(spark, sf_dir))).select("application_id", "overall_confidence", "registration_id", "status")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 5 = 4 THEN NULL ELSE 'd' || c_custkey END AS dob FROM customer")
+def u4_any_dob(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The date of birth under whichever key a record has it, empty ones passed over."""
+    k, value = F.col("c_custkey"), F.concat(F.lit("d"), "c_custkey")
+    key = F.element_at(F.array(*[F.lit(x) for x in ("dob", "date_of_birth", "birth_date", "DOB", "born")]), F.expr("cast(c_custkey % 5 + 1 as int)"))
+    record = F.map_concat(F.create_map(key, value), F.when(k % 5 > 0, F.create_map(F.lit("dob"), F.lit(""))).otherwise(F.create_map(F.lit("x"), F.lit("y"))))
+    return I.table(spark, sf_dir, "customer").select("c_custkey", review.any_dob(record).alias("dob"))
+
+
+_SENT = {"name": "identity", "dob": "birth", "gender": "identity", "address": "address", "phone": "identity", "email": "identity"}
+
+
+@query(
+    I.SQL
+    + ", s AS (SELECT *, CASE WHEN application_id % 2 = 0 THEN 'id.png' ELSE '' END AS identity, CASE WHEN application_id % 3 = 0 THEN 'ad.png' END AS addr, CASE WHEN application_id % 5 = 0 THEN 'dob.png' END AS birth FROM forms) SELECT application_id, "
+    "coalesce(nullif(identity, ''), addr, birth) AS primary_document, CASE WHEN identity <> '' THEN name END AS name, CASE WHEN birth IS NOT NULL THEN dob END AS dob, CASE WHEN identity <> '' THEN gender END AS gender, "
+    "CASE WHEN addr IS NOT NULL THEN address END AS address, CASE WHEN identity <> '' THEN phone END AS phone, CASE WHEN identity <> '' THEN email END AS email FROM s"
+)
+def u9_sent_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes out with a submission: the first document there is, and only the fields whose document is there."""
+    k = F.col("application_id")
+    rows = I.forms(spark, sf_dir).select("*", F.when(k % 2 == 0, "id.png").otherwise("").alias("d_identity"), F.when(k % 3 == 0, "ad.png").alias("d_address"), F.when(k % 5 == 0, "dob.png").alias("d_birth"))
+    fields = [review.given_if(pytext.present(F.col(f"d_{doc}")), F.col(f)).alias(f) for f, doc in _SENT.items()]
+    return rows.select("application_id", review.primary_document(F.col("d_identity"), F.col("d_address"), F.col("d_birth")).alias("primary_document"), *fields)
+
+
+@query(
+    I.SQL
+    + """SELECT application_id, list_filter([CASE WHEN application_id % 7 = 0 THEN 'first_name' END, CASE WHEN application_id % 11 = 0 THEN 'dob' END, CASE WHEN application_id % 3 = 0 THEN 'gender' END,
+    CASE WHEN application_id % 5 = 0 THEN 'email' END, CASE WHEN application_id % 13 = 0 THEN 'phone' END], lambda x: x IS NOT NULL) AS problems FROM people"""
+)
+def u12_form_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("application_id")
+    rows = I.people(spark, sf_dir).select(
+        "application_id", F.when(k % 7 == 0, " ").otherwise(F.col("first")).alias("first_name"), F.col("last").alias("last_name"), F.when(k % 11 == 0, "1990-02-30").otherwise(F.date_format("born", "yyyy-MM-dd")).alias("dob"),
+        F.when(k % 3 == 0, "m").otherwise(F.col("sex")).alias("gender"), F.when(k % 5 == 0, "a@b@c").otherwise(F.col("mail")).alias("email"), F.when(k % 13 == 0, None).otherwise(F.col("phone")).alias("phone"), F.col("road").alias("address"),
+    )
+    return rows.select("application_id", review.form_problems().alias("problems"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'plain' END AS shown FROM customer")
+def u15_shown_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.when(F.col("c_custkey") % 2 == 0, F.col("c_name"))
+    return I.table(spark, sf_dir, "customer").select("c_custkey", review.shown_value(value, F.lit("plain")).alias("shown"))
+
+
+@query(
+    I.SQL
+    + """SELECT '{"user":{"name":"' || f.name || '","dob":"' || f.dob || '"},"documents":{"name":{"document_type":"aadhar","fields":{"name":"' || p.first || ' ' || p.last || '"}},"address":{"document_type":"dl","fields":{"city":"' || p.city
+    || '","state":"' || p.state || '"}}},"timestamp":"x"}' AS value FROM forms f JOIN people p USING (application_id)"""
+)
+def s11_export_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole review: what the applicant typed, and what was read, by document slot."""
+    rows = I.forms(spark, sf_dir).select("application_id", "name", "dob").join(I.people(spark, sf_dir).drop("dob"), "application_id")
+    slots = {
+        "name": F.struct(F.lit("aadhar").alias("document_type"), F.struct(F.concat_ws(" ", "first", "last").alias("name")).alias("fields")),
+        "address": F.struct(F.lit("dl").alias("document_type"), F.struct("city", "state").alias("fields")),
+    }
+    return sinks.export_json(rows, user=F.struct("name", "dob"), documents=F.struct(*[c.alias(k) for k, c in slots.items()]), timestamp=F.lit("x"))

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fieldloom.functions import fuzzy, pytext
+from fieldloom.functions import fuzzy, latin, pytext
 from fieldloom.functions import normalise as N
 
 
@@ -81,7 +81,25 @@ def test_known_ratios():
     "text, want", [("रमेश कुमार", "ramesh kumar"), ("मकान", "makan"), ("सड़क", "sadak"), ("महिला", "mahila"), ("पुरुष", "purush"), ("अन्य", "anya"), ("टावर", "tavar"), ("भवन", "bhavan"), ("Ünïté", "Unite"), ("२४", "24"), ("", "")]
 )
 def test_transliterate(text, want):
-    assert N.transliterate(text) == want
+    assert latin.to_latin(text) == want
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("ঢাকা", "dhaka"), ("সুমন দাস", "suman das"), ("சென்னை", "chennai"), ("கொங்கு", "konku"), ("తెలుగు", "telugu"), ("ಮೈಸೂರು", "maisuru"), ("കൊച്ചി", "kochchi"), ("സുരേഷ്", "suresh"), ("સુરત", "surat"), ("ਪੰਜਾਬ", "panjab"), ("ਸਿੰਘ", "singh"),
+        ("Москва", "Moskva"), ("Щукин", "Shchukin"), ("Αθήνα", "Athena"), ("سلام", "slam"), ("Łódź Straße Ærø", "Lodz Strasse Aero"), ("서울", "seoul"), ("さくら", "sakura"), ("“Rao’s” – x…", '"Rao\'s" - x...'), ("१२ ৩৪ ٥٦", "12 34 56"), ("ﬁle ①", "file 1"), ("a\u200bb\x07", "ab"), ("ज़मीन", "jamin"), ("क", "ka"), ("क्ष", "ksha"),
+    ],
+)
+def test_every_script(text, want):
+    assert latin.to_latin(text) == want
+
+
+@given(st.text(max_size=30))
+def test_latin_is_stable(text):
+    once = latin.to_latin(text)
+    assert latin.to_latin(once) == once or any(unicodedata.combining(c) for c in once)
+    assert all(unicodedata.category(c)[0] != "C" for c in once)
 
 
 def one(spark, value, column):
