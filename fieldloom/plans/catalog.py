@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import dictionaries as D
 from ..functions import fuzzy, pytext
 from ..functions import normalise as N
-from ..operators import extract, ocrlines, register, review, verify
+from ..operators import extract, link, ocrlines, register, review, verify
 from ..operators import score as C
 from ..sources import documents as sources
 from ..sources import images, sinks
@@ -617,6 +617,26 @@ def p5_no_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.col("fields").isNull()).select("application_id", "overall_confidence", "decision", "notes")
 
 
+_GRAMS = "list_distinct(list_transform(range(1, length(line)), lambda i: substr(line, CAST(i AS INTEGER), 2)))"
+
+
+@query(
+    I.SQL
+    + f""", d AS (SELECT application_id, born, ' ' || array_to_string(list_sort(string_split(lower(first || ' ' || last || ' ' || {{tag}}), ' ')), ' ') || ' ' AS line FROM people),
+    f AS (SELECT p.application_id, p.born, ' ' || array_to_string(list_sort(string_split(lower(f.name || ' ' || {{tag}}), ' ')), ' ') || ' ' AS line FROM people p JOIN forms f USING (application_id)),
+    x AS (SELECT application_id, born, {_GRAMS} AS g FROM d), y AS (SELECT application_id, born, {_GRAMS} AS g FROM f),
+    pairs AS (SELECT x.application_id AS doc_key, y.application_id AS form_key, len(list_intersect(x.g, y.g)) AS n, len(x.g) + len(y.g) AS m FROM x JOIN y ON x.born = y.born)
+    SELECT doc_key, form_key, round(n / (m - n), 9) AS jaccard FROM pairs WHERE n / (m - n) >= 0.6 - 1e-9""".replace("{tag}", "translate(CAST(application_id * 7919 % 100000 AS VARCHAR), '0123456789', 'bcdfghjkmz')").replace("born AS", "born AS")
+)
+def j1_alike_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and forms without a shared key, linked by alike names and equal dates of birth."""
+    tag = F.expr("translate(cast(application_id * 7919 % 100000 as string), '0123456789', 'bcdfghjkmz')")
+    docs = I.people(spark, sf_dir).select(F.col("application_id").alias("doc_key"), F.concat_ws(" ", "first", "last", tag).alias("name"), F.date_format("born", "dd MMM yyyy").alias("dob"))
+    born = I.people(spark, sf_dir).select("application_id", F.date_format("born", "yyyy/MM/dd").alias("dob"))
+    forms = I.forms(spark, sf_dir).drop("dob").join(born, "application_id").select(F.col("application_id").alias("form_key"), F.concat_ws(" ", "name", tag).alias("name"), "dob")
+    return link.linked(docs, forms).select("doc_key", "form_key", F.round("jaccard", 9).alias("jaccard"))
+
+
 # Review
 
 
