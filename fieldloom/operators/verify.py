@@ -114,15 +114,21 @@ def canonical_keys(record: Column, lower: bool = False) -> Column:
     return F.map_from_entries(last)
 
 
-def pair(docs: DataFrame, forms: DataFrame, key: str = "application_id") -> DataFrame:
-    """Join records with forms by key: fields as doc_* and form_*. Spark broadcasts the forms if they are small."""
+def sides(docs: DataFrame, forms: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """Records and forms with every field, as doc_* and form_*; forms keep nothing but those and their keys."""
     left = docs.select(*[c for c in docs.columns if c not in FIELDS], *[F.col(f).alias(f"doc_{f}") for f in FIELDS if f in docs.columns])
-    right = forms.select(key, *[F.col(c).cast("string").alias(f"form_{c}") for c in forms.columns if c in FIELDS])
+    right = forms.select(*keys, *[F.col(c).cast("string").alias(f"form_{c}") for c in forms.columns if c in FIELDS])
     for f in FIELDS:
         if f"doc_{f}" not in left.columns:
             left = left.withColumn(f"doc_{f}", F.lit(None).cast("string"))
         if f"form_{f}" not in right.columns:
             right = right.withColumn(f"form_{f}", F.lit(None).cast("string"))
+    return left, right
+
+
+def pair(docs: DataFrame, forms: DataFrame, key: str = "application_id") -> DataFrame:
+    """Join records with forms by key: fields as doc_* and form_*. Spark broadcasts the forms if they are small."""
+    left, right = sides(docs, forms, key)
     return left.join(right, key)
 
 
@@ -149,8 +155,12 @@ def overlap(names: list[str]) -> Column:
 
 def map_and_verify(docs: DataFrame, forms: DataFrame, as_of: Column | None = None, key: str = "application_id") -> DataFrame:
     """docs (key, raw_text, document_type) and forms (key, fields): extraction, completeness, restriction, verification."""
-    got = extract.with_report(extract.extract_fields(docs))
-    pairs = restrict(pair(got, forms, key)).withColumn("compared", overlap(FIELDS))
+    return decided(pair(extract.with_report(extract.extract_fields(docs)), forms, key), as_of)
+
+
+def decided(pairs: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Restriction and verification of pairs; those that share no field are left to a reviewer."""
+    pairs = restrict(pairs).withColumn("compared", overlap(FIELDS))
     done = verify(pairs, as_of=as_of)
     kept, compared = F.col("notes"), F.col("compared")
     # notes of pairs that aren't compared are about age alone: no field is on both sides
