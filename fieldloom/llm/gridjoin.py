@@ -7,8 +7,9 @@ sorted by label, then by their grid cells of side epsilon on these axes in turn.
 of up to RUN consecutive vectors are the sequences: pairs of runs that share or neighbour a cell of the
 first axis are found by an equi-join, those whose boxes lie further apart than epsilon are dropped, and
 each pair that is left is one group of at most 2 * RUN rows. Inside, the two sequences are halved
-recursively; a pair of parts whose boxes are provably distant is skipped, and small parts are compared
-in double precision by a matrix product. Each group returns link counts and a spanning forest, at most
+recursively; a pair of parts whose boxes are provably distant is skipped, and small parts, or larger ones
+whose halves are all near, are compared in double precision by a matrix product. Equal unit vectors are one
+row with a count until the end. Each group returns link counts and a spanning forest, at most
 one edge a vector, so that thousands of copies never become all their pairs.
 
 What the boxes skip depends on the vectors. Those that form clusters, as embeddings do, leave few pairs of
@@ -36,7 +37,11 @@ THRESHOLD = 0.98
 SAMPLE = 4096
 AXES = 16
 RUN = 16384
+#: Bytes of a run's vectors, at most; long vectors make shorter runs.
+RUN_BYTES = 16 << 20
 LEAF = 32
+#: Parts of so many rows are compared whole where all pairs of their halves come within epsilon.
+BLOCK = 128
 
 
 def axes(vectors: DataFrame) -> dict[int, np.ndarray]:
@@ -71,7 +76,12 @@ def _valid(vectors: DataFrame) -> DataFrame:
                     yield {"vec_id": r["vec_id"], "label": r["label"], "dim": len(x), "unit": (x / np.linalg.norm(x)).tobytes()}
 
     usable = vectors.where("vec_id is not null and label is not null and embedding is not null and size(embedding) > 0")
-    return map_rows(usable, make, "vec_id long, label long, dim int, unit binary", 2048)
+    return map_rows(usable, make, "vec_id long, label long, dim int, unit binary", 2048).withColumn("same", F.unhex(F.md5("unit")))
+
+
+def _distinct(valid: DataFrame) -> DataFrame:
+    """One row for equal unit vectors of a label: (vec_id, label, dim, same, unit, copies), the least vec_id and how many there are."""
+    return valid.groupBy("label", "dim", "same").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
 
 
 def _with_cells(vectors: DataFrame, basis: dict[int, np.ndarray], epsilon: float) -> DataFrame:
@@ -80,23 +90,23 @@ def _with_cells(vectors: DataFrame, basis: dict[int, np.ndarray], epsilon: float
             p = _project(np.frombuffer(r["unit"])[None], basis.get(r["dim"]))[0]
             yield r | {"cells": np.floor(p[:AXES] / epsilon).astype(int).tolist(), "spot": p.tolist()}
 
-    return map_rows(vectors, make, "vec_id long, label long, dim int, unit binary, cells array<int>, spot array<double>", 2048)
+    return map_rows(vectors, make, "vec_id long, copies long, label long, dim int, unit binary, cells array<int>, spot array<double>", 2048)
 
 
 def _runs(ordered: DataFrame) -> DataFrame:
-    """Adds run: consecutive vectors of one label and length in a partition, at most RUN of them."""
+    """Adds run: consecutive vectors of one label and length in a partition, at most RUN of them and RUN_BYTES."""
 
     from pyspark import TaskContext
 
     def make(rows):
         part, n, size, at = TaskContext.get().partitionId(), -1, RUN, None
         for r in rows:
-            if size >= RUN or (r["label"], r["dim"]) != at:
+            if size >= min(RUN, max(LEAF, RUN_BYTES // (8 * r["dim"]))) or (r["label"], r["dim"]) != at:
                 n, size, at = n + 1, 0, (r["label"], r["dim"])
             size += 1
             yield r | {"run": (part << 32) + n}
 
-    return map_rows(ordered, make, "vec_id long, label long, dim int, unit binary, cells array<int>, spot array<double>, run long", 2048)
+    return map_rows(ordered, make, "vec_id long, copies long, label long, dim int, unit binary, cells array<int>, spot array<double>, run long", 2048)
 
 
 def run_pairs(runs: DataFrame, epsilon: float) -> DataFrame:
@@ -114,47 +124,80 @@ def run_pairs(runs: DataFrame, epsilon: float) -> DataFrame:
     return near.join(far, same).where((F.col("run") <= F.col("o_run")) & (gap <= epsilon * epsilon)).select("run", F.col("o_run").alias("other")).distinct()
 
 
+class _Boxes:
+    """Bounds of the rows of parts of a sequence, each found once from its halves."""
+
+    def __init__(self, p: np.ndarray):
+        self.p, self.held = p, {}
+
+    def __call__(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        got = self.held.get((a, b))
+        if got is None:
+            if b - a <= LEAF:
+                got = self.p[a:b].min(0), self.p[a:b].max(0)
+            else:
+                m = (a + b) // 2
+                (low, high), (low2, high2) = self(a, m), self(m, b)
+                got = np.minimum(low, low2), np.maximum(high, high2)
+            self.held[a, b] = got
+        return got
+
+
+def _halves(a: int, b: int) -> list[tuple[int, int]]:
+    return [(a, (a + b) // 2), ((a + b) // 2, b)] if b - a > LEAF else [(a, b)]
+
+
 def near_parts(p: np.ndarray, q: np.ndarray, epsilon: float, same: bool):
-    """Pairs of small parts (a, b, c, d) of the sequences p and q, rows a to b and c to d, whose boxes come within epsilon."""
-    stack = [(0, len(p), 0, len(q))]
+    """Pairs of parts (a, b, c, d) of the sequences p and q, rows a to b and c to d, whose boxes come within epsilon.
+
+    Parts are halved down to LEAF rows while that skips anything: from BLOCK rows on, where no pair of halves is apart, the
+    parts stay whole, as one product of more rows is cheaper than four of half as many.
+    """
+    box_p = _Boxes(p)
+    box_q = box_p if q is p else _Boxes(q)
+
+    def near(a, b, c, d):
+        (low, high), (low2, high2) = box_p(a, b), box_q(c, d)
+        gap = np.maximum(0, np.maximum(low - high2, low2 - high))
+        return gap @ gap <= epsilon * epsilon
+
+    stack = [(0, len(p), 0, len(q))] if len(p) and len(q) and near(0, len(p), 0, len(q)) else []
     while stack:
         a, b, c, d = stack.pop()
-        if same and a >= d:
-            continue
-        gap = np.maximum(0, np.maximum(p[a:b].min(0) - q[c:d].max(0), q[c:d].min(0) - p[a:b].max(0)))
-        if gap @ gap > epsilon * epsilon:
-            continue
-        if b - a <= LEAF and d - c <= LEAF:
+        pairs = [(*s, *t) for s in _halves(a, b) for t in _halves(c, d)]
+        wanted = [x for x in pairs if not (same and x[0] >= x[3]) and near(*x)]
+        if len(pairs) == 1 or max(b - a, d - c) <= BLOCK and len(wanted) == sum(not (same and x[0] >= x[3]) for x in pairs):
             yield a, b, c, d
-            continue
-        am, cm = (a + b) // 2, (c + d) // 2
-        left = [(a, am), (am, b)] if b - a > LEAF else [(a, b)]
-        right = [(c, cm), (cm, d)] if d - c > LEAF else [(c, d)]
-        stack += [(*s, *t) for s in left for t in right]
+        else:
+            stack += wanted
 
 
-def join_sequences(x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray, threshold: float, epsilon: float, same: bool):
+def join_sequences(x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray, threshold: float, epsilon: float, same: bool, weights: np.ndarray | None = None):
     """Link counts of x's and y's rows and edges (i, j) over the joint numbering that connect what links connect.
 
-    p and q are the projections. With same, y is x, and pairs are those with i < j.
+    p and q are the projections. With same, y is x, and pairs are those with i < j. A link to a row counts its weight, 1 if
+    there are none.
     """
     n = len(x)
     counts = np.zeros(n if same else n + len(y), dtype=np.int64)
+    weights = np.ones(len(counts), dtype=np.int64) if weights is None else weights
     heads, tails, shift = [], [], 0 if same else n
-    for a, b, c, d in near_parts(p, q, epsilon, same):
+    for a, b, c, d in near_parts(p, p if same else q, epsilon, same):
         hit = x[a:b] @ y[c:d].T >= threshold
         if same:
             hit &= np.arange(a, b)[:, None] < np.arange(c, d)[None, :]
-        if not hit.any():
-            continue
-        counts[a:b] += hit.sum(1)
-        np.add.at(counts, np.arange(c, d) + shift, hit.sum(0))
         i, j = np.nonzero(hit)
-        inner = np_components(b - a + d - c, i, j + (b - a)) if not (same and a == c) else np_components(b - a, i, j)
-        names = np.r_[np.arange(a, b), np.arange(c, d) + shift] if len(inner) > b - a or not same or a != c else np.arange(a, b)
-        moved = np.flatnonzero(inner != np.arange(len(inner)))
-        heads.append(names[moved])
-        tails.append(names[inner[moved]])
+        if not len(i):
+            continue
+        i, j = i + a, j + c + shift
+        np.add.at(counts, i, weights[j])
+        np.add.at(counts, j, weights[i])
+        # a spanning forest of this block's links
+        rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        inner = np_components(len(rows), at[: len(i)], at[len(i) :])
+        moved = np.flatnonzero(inner != np.arange(len(rows)))
+        heads.append(rows[moved])
+        tails.append(rows[inner[moved]])
     if not heads:
         return counts, np.zeros(0, int), np.zeros(0, int)
     label = np_components(len(counts), np.concatenate(heads), np.concatenate(tails))
@@ -163,30 +206,29 @@ def join_sequences(x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray, t
 
 
 def link_stars(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(vec_id, n, other): link counts by group of runs, and a linked vec_id or null."""
+    """(vec_id, n, other) of distinct unit vectors: link counts, copies included, by group of runs, and a linked vec_id or null."""
     epsilon = math.sqrt(max(0.0, 2 - 2 * threshold)) * (1 + 1e-9) + 1e-12
-    valid = materialise(_valid(vectors), "unit")
-    celled = _with_cells(valid, axes(valid), epsilon)
+    celled = _with_cells(vectors.select("vec_id", "copies", "label", "dim", "unit"), axes(vectors), epsilon)
     order = ["label", "dim", *[F.col("cells")[i] for i in range(AXES)], F.xxhash64("vec_id")]
     # numbering runs by partition and place: written before it is used, so that every reader sees the same runs
     runs = materialise(_runs(celled.repartitionByRange(*order).sortWithinPartitions(*order)), "runs")
     pairs = materialise(run_pairs(runs, epsilon), "pairs")
     sides = pairs.select("run", "other", F.col("run").alias("own")).union(pairs.where("run <> other").select("run", "other", F.col("other").alias("own")))
-    rows = runs.select(F.col("run").alias("own"), "vec_id", "unit", "spot").join(sides, "own")
+    rows = runs.select(F.col("run").alias("own"), "vec_id", "copies", "unit", "spot").join(sides, "own")
 
     def compare(key, t):
         import pyarrow as pa
 
-        own, ids = t["own"].to_numpy(), t["vec_id"].to_numpy()
+        own, ids, copies = t["own"].to_numpy(), t["vec_id"].to_numpy(), t["copies"].to_numpy()
         x = np.frombuffer(b"".join(t["unit"].to_pylist())).reshape(len(ids), -1)
         p = np.array(t["spot"].to_pylist())
         first = own == key[0].as_py()
         at = np.r_[np.flatnonzero(first), np.flatnonzero(~first)]
         # in grid order again, which the shuffle lost, so that halves are compact
         at = at[np.lexsort((*np.floor(p[at, :AXES] / epsilon).T[::-1], ~first[at]))]
-        x, p, ids, k = x[at], p[at], ids[at], int(first.sum())
+        x, p, ids, copies, k = x[at], p[at], ids[at], copies[at], int(first.sum())
         same = k == len(ids)
-        counts, head, tail = join_sequences(x[:k], p[:k], x if same else x[k:], p if same else p[k:], threshold, epsilon, same)
+        counts, head, tail = join_sequences(x[:k], p[:k], x if same else x[k:], p if same else p[k:], threshold, epsilon, same, copies)
         other = np.full(len(ids), -1)
         other[head] = tail
         at = np.flatnonzero(counts)
@@ -199,10 +241,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """(vec_id, embedding, label) to (vec_id, n_links, component_id, kept)."""
     one = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding").groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v"))
     one = materialise(one.select("vec_id", "v.label", "v.embedding"), "vectors")
-    stars = materialise(link_stars(one, threshold), "stars")
+    valid = materialise(_valid(one), "unit")
+    own = materialise(_distinct(valid), "distinct")
+    stars = materialise(link_stars(own, threshold), "stars")
     comp = components(stars.where("other is not null").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
     found = stars.groupBy("vec_id").agg(F.sum("n").alias("n_links")).join(comp.withColumnRenamed("id", "vec_id"), "vec_id", "left")
-    out = one.select("vec_id").join(found, "vec_id", "left")
+    # a copy links with the other copies and with all that one of them links with
+    links = F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1
+    named = own.select("vec_id", "label", "dim", "same", "copies").join(found, "vec_id", "left").select("label", "dim", "same", links.alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    members = valid.select("vec_id", "label", "dim", "same").join(named, ["label", "dim", "same"]).select("vec_id", "n_links", "component_id")
+    out = one.select("vec_id").join(members, "vec_id", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 

@@ -74,6 +74,39 @@ def test_boxes_skip_most_parts_of_clustered_vectors():
     for a, b, c, d in parts:
         found[a:b, c:d] = True
     assert near.sum() > 1000 and not (near & ~found).any()
+    assert np.triu(found).sum() < 0.2 * len(x) ** 2 / 2
+
+
+def test_copies_are_one_row_with_a_count(spark):
+    """A vector with very many copies, and others near it: links count every copy, and no group holds them all."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=8)
+    x = [base] * 500 + [base * 2.0] * 3 + [base + 0.03 * rng.normal(size=8) for _ in range(20)] + [rng.normal(size=8) for _ in range(20)]
+    rows = [(i, [float(c) for c in v], 1) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in gridjoin.near_duplicates(df).collect()}
+    assert got == brute([r[0] for r in rows], [r[1] for r in rows], [1] * len(rows), 0.98)
+    assert gridjoin._distinct(gridjoin._valid(df)).count() <= 42
+
+
+def test_weights_count_as_copies():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(200, 3))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    w = rng.integers(1, 5, 200)
+    counts, _, _ = gridjoin.join_sequences(x, x, x, x, 0.98, np.sqrt(0.04) * (1 + 1e-9), True, w)
+    s = x @ x.T >= 0.98
+    np.fill_diagonal(s, False)
+    assert (counts == s @ w).all()
+
+
+def test_runs_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(gridjoin, "RUN_BYTES", 8 * 8 * 40)
+    rng = np.random.default_rng(8)
+    x = [(rng.normal(size=8) * 0.02 + np.ones(8)).tolist() for _ in range(300)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in gridjoin.near_duplicates(df).collect()}
+    assert got == brute(list(range(300)), x, [1] * 300, 0.98)
 
 
 def test_projection_never_lengthens():
