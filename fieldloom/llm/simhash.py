@@ -84,7 +84,8 @@ def links(distinct_fp: DataFrame) -> DataFrame:
     steps = F.array(*[F.when(F.shiftright(F.col("cell"), 2 * i).bitwiseAND(F.lit(3)) < 2, F.col("cell") + (1 << 2 * i)) for i in range(16)])
     probes = cells.select(F.col("fp").alias("a"), "above", F.explode(F.array_compact(F.concat(F.array("cell"), steps))).alias("cell"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
-    return probes.select("a", (F.col("above") + F.col("cell")).alias("key")).join(home, "key").where((F.col("a") != F.col("b")) & near).select("a", "b")
+    # never a broadcast: Spark's estimate of home is that of its table, of which each row has become eight
+    return probes.select("a", (F.col("above") + F.col("cell")).alias("key")).join(home.hint("merge"), "key").where((F.col("a") != F.col("b")) & near).select("a", "b")
 
 
 def labels(distinct_fp: DataFrame) -> DataFrame:
