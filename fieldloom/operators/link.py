@@ -54,8 +54,9 @@ def alike_names(left: DataFrame, right: DataFrame, least: float = LEAST, hot: in
     keys = x.groupBy("gram").agg(F.ceil(F.count("*") / hot).cast("int").alias("keys"))
     x = x.join(keys, "gram").select("name", "grams", "size", "gram", F.pmod(F.xxhash64("name"), "keys").cast("int").alias("part"))
     y = y.join(keys, "gram").select(F.col("name").alias("other"), F.col("grams").alias("o_grams"), F.col("size").alias("o_size"), "gram", F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("part"))
-    fits = (F.least("size", "o_size") >= F.greatest("size", "o_size") * least - 1e-9)
-    pairs = x.join(y, ["gram", "part"]).where(fits).select("name", "other", "grams", "o_grams")
+    fits = F.least("size", "o_size") >= F.greatest("size", "o_size") * least - 1e-9
+    # grams are many rows for each name that Spark's estimates count, so this side is not broadcast on their word
+    pairs = x.join(y.hint("merge"), ["gram", "part"]).where(fits).select("name", "other", "grams", "o_grams")
     shared = F.size(F.array_intersect("grams", "o_grams"))
     similarity = shared / (F.size("grams") + F.size("o_grams") - shared)
     return pairs.select("name", "other", similarity.alias("jaccard")).where(F.col("jaccard") >= least - 1e-9).distinct()
