@@ -43,15 +43,10 @@ MOST = 128
 _CHUNK = 4096
 _KEPT_WORDS = 400_000
 _P = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
 _words: dict[bytes, int] = {}
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").split()
-
-
 def hashes(words: list[bytes]) -> np.ndarray:
     if len(_words) > _KEPT_WORDS:
         _words.clear()
