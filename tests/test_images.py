@@ -192,3 +192,16 @@ def test_broken_files_are_null(spark):
     rows = spark.createDataFrame([(i, x) for i, x in enumerate([*broken, good])], "k int, content binary").select("k", im.prepared("content").alias("p"), im.decoded("content").alias("d")).orderBy("k").collect()
     assert all(r.p.pixels is None and r.d.height is None for r in rows[:-1])
     assert (rows[-1].p.height, rows[-1].p.width, rows[-1].d.height, len(rows[-1].d.pixels)) == (500, 500, 4, 48)
+
+
+def test_pictures_side_by_side_are_those_alone_and_leave_in_parts(monkeypatch):
+    rng = np.random.default_rng(5)
+    pictures = [rng.integers(0, 256, shape).astype(np.uint8) for shape in ((20, 30), (9, 30), (20, 30), (20, 30, 3), (1, 4))]
+    monkeypatch.setattr(im, "_STACK", 700)
+    monkeypatch.setattr(im, "_STRIP", 16)
+    monkeypatch.setattr(im, "SHORTEST", 40)
+    alone = [im.preprocess(x) for x in pictures]
+    assert all(np.array_equal(a, b) for a, b in zip(alone, im.preprocess_many(pictures), strict=True))
+    monkeypatch.setattr(im, "_SENT", 8000)
+    frames = list(im._frames([*alone, None, alone[0]]))
+    assert [len(f) for f in frames] == [1, 1, 1, 1, 1, 2] and [None if p is None else len(p) for f in frames for p in f["pixels"]] == [*(x.nbytes for x in alone), None, alone[0].nbytes]
