@@ -9,7 +9,7 @@ from pyspark.sql.types import StringType
 
 from . import latin
 from .dictionaries import EXPANSIONS, GENDERS, MONTHS, STOP_TOKENS, lookup
-from .pytext import present, squeeze, strip, tokens
+from .pytext import once, present, squeeze, strip, tokens
 
 _DIGITS = "०१२३४५६७८९"
 @F.pandas_udf(StringType())
@@ -86,25 +86,34 @@ def loose_date(c: Column) -> Column:
     Two-digit years are 20xx; a later word that is no month takes the month back; nothing is checked for range.
     """
     low = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"dob[^0-9a-z]+", " ")
-    parts = tokens(F.translate(low, "./-,", "    "))
     number = F.lit(r"^[0-9]{1,9}$")
-    nums = F.transform(F.filter(parts, lambda t: F.regexp_like(t, number)), lambda t: t.try_cast("int"))
-    word = F.try_element_at(F.filter(parts, lambda t: ~F.regexp_like(t, number)), F.lit(-1))
-    mon = lookup(MONTHS, F.left(word, F.lit(3)))
-    n, a, b, z = F.size(nums), F.get(nums, F.lit(0)), F.get(nums, F.lit(1)), F.get(nums, F.lit(2))
-    year_first = (n == 3) & (a > 1900)
-    year = F.when(year_first, a).when(n == 3, z).when((n == 2) & mon.isNotNull(), b)
-    month = F.when(n == 3, b).when((n == 2) & mon.isNull(), b).otherwise(mon)
-    day = F.when(year_first, z).when(n.isin(2, 3), a).when((n == 1) & mon.isNotNull(), a)
-    year = F.when(year < 100, year + 2000).otherwise(year)
-    some = (F.coalesce(day, F.lit(0)) != 0) & (F.coalesce(month, F.lit(0)) != 0)
 
     def two(x: Column) -> Column:
         return F.when(x < 10, F.lpad(x.cast("string"), 2, "0")).otherwise(x.cast("string"))
 
-    md = F.when(some, F.concat(two(month), F.lit("-"), two(day))).otherwise("")
-    ymd = F.when(some & (F.coalesce(year, F.lit(0)) != 0), F.concat(F.format_string("%04d", year), F.lit("-"), two(month), F.lit("-"), two(day))).otherwise("")
-    return F.struct(ymd.alias("ymd"), md.alias("md"))
+    def read(parts: Column) -> Column:
+        nums = F.transform(F.filter(parts, lambda t: F.regexp_like(t, number)), lambda t: t.try_cast("int"))
+        word = F.try_element_at(F.filter(parts, lambda t: ~F.regexp_like(t, number)), F.lit(-1))
+        return F.struct(nums.alias("nums"), lookup(MONTHS, F.left(word, F.lit(3))).alias("mon"))
+
+    def placed(found: Column) -> Column:
+        nums, mon = found["nums"], found["mon"]
+        n, a, b, z = F.size(nums), F.get(nums, F.lit(0)), F.get(nums, F.lit(1)), F.get(nums, F.lit(2))
+        year_first = (n == 3) & (a > 1900)
+        year = F.when(year_first, a).when(n == 3, z).when((n == 2) & mon.isNotNull(), b)
+        month = F.when(n == 3, b).when((n == 2) & mon.isNull(), b).otherwise(mon)
+        day = F.when(year_first, z).when(n.isin(2, 3), a).when((n == 1) & mon.isNotNull(), a)
+        return F.struct(F.when(year < 100, year + 2000).otherwise(year).alias("y"), month.alias("m"), day.alias("d"))
+
+    def shown(at: Column) -> Column:
+        year, month, day = at["y"], at["m"], at["d"]
+        some = (F.coalesce(day, F.lit(0)) != 0) & (F.coalesce(month, F.lit(0)) != 0)
+        md = F.when(some, F.concat(two(month), F.lit("-"), two(day))).otherwise("")
+        ymd = F.when(some & (F.coalesce(year, F.lit(0)) != 0), F.concat(F.format_string("%04d", year), F.lit("-"), two(month), F.lit("-"), two(day))).otherwise("")
+        return F.struct(ymd.alias("ymd"), md.alias("md"))
+
+    parts = tokens(F.translate(low, "./-,", "    "))
+    return once(once(once(parts, read), placed), shown)
 
 
 def date_digits(c: Column) -> Column:

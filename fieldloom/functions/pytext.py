@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with value computed once a row and written once in the plan, however often `of` uses it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end; trim() takes spaces only."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

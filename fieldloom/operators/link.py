@@ -2,11 +2,12 @@
 
 Names are compared as sets of two-letter grams of their sorted tokens, by Jaccard similarity. The join is exact: two sets of
 similarity t or more share one of their first |x| - ceil(t |x|) + 1 grams in any common order, so only these prefixes are
-joined, rarest grams first, and only sets whose sizes can reach t. Every name is compared once, however many people have it;
-pairs of people come from pairs of names by a join on the date of birth, too, so a common name makes no list of all pairs. A
-gram with over HOT names on the left is dealt over several keys, and the right side's names for it go to each of them.
+joined, rarest grams first, and only sets whose sizes can reach t. The date of birth is part of the join's key, so names that
+never share a day are not compared. A name is compared once a day, however many people have it then. A gram with over HOT names
+of a day on the left is dealt over several keys, and the right side's names for it go to each of them.
 
-Normal forms and grams are read several times and persisted, until the session clears its cache.
+Normal forms and prefixes are read several times: each is computed once and kept by the executors, and the plans of what
+reads them begin there. Nested in one another, as cached tables are, they fill the driver's memory with descriptions.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalise as N
-from ..functions.pytext import tokens
+from ..functions.pytext import once, tokens
 from . import score
 
 LEAST = 0.6
@@ -30,36 +31,47 @@ def grams(name: Column) -> Column:
     return F.when(F.trim(name) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(cut))
 
 
-def _names(rows: DataFrame, name: str) -> DataFrame:
-    one = rows.select(F.col(name).alias("name")).where(F.col(name).isNotNull()).distinct()
+def _names(rows: DataFrame) -> DataFrame:
+    one = rows.select("name").where(F.col("name").isNotNull()).distinct()
     return one.select("name", grams(F.col("name")).alias("grams")).where(F.size("grams") > 0)
 
 
 def _prefixes(names: DataFrame, order: DataFrame, least: float) -> DataFrame:
-    """(name, size, grams, gram): a row for each gram of a name's prefix, rarest first."""
+    """(name, grams, size, prefix): the grams of a name's prefix, rarest first."""
     ranked = names.select("name", "grams", F.explode("grams").alias("gram")).join(order, "gram")
     sets = ranked.groupBy("name").agg(F.first("grams").alias("grams"), F.array_sort(F.collect_list(F.struct("places", "gram"))).alias("ranked"))
     size = F.size("grams")
     taken = F.slice("ranked", F.lit(1), size - F.ceil(size * F.lit(least) - F.lit(1e-9)).cast("int") + 1)
-    return sets.select("name", "grams", size.alias("size"), F.explode(taken).alias("at")).select("name", "grams", "size", "at.gram", "at.places")
+    return sets.select("name", "grams", size.alias("size"), F.transform(taken, lambda x: x["gram"]).alias("prefix"))
 
 
-def alike_names(left: DataFrame, right: DataFrame, least: float = LEAST, hot: int = HOT) -> DataFrame:
-    """(name, other, jaccard): the pairs of a left and a right name with a similarity of `least` or more; each side has a column name."""
+def alike_names(left: DataFrame, right: DataFrame, least: float = LEAST, hot: int = HOT, on: tuple[str, ...] = ()) -> DataFrame:
+    """(name, other, *on, jaccard): the pairs of a left and a right name with a similarity of `least` or more; each side has a column name.
+
+    With columns `on`, which both sides have, names are paired only where those are equal, too.
+    """
     if not 0 < least <= 1:
         raise ValueError("a similarity is over 0 and 1 at most")
-    a, b = _names(left, "name").persist(), _names(right, "name").persist()
+    a, b = _names(left), _names(right)
     order = a.unionByName(b).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("places"))
-    x, y = _prefixes(a, order, least), _prefixes(b, order, least)
-    keys = x.groupBy("gram").agg(F.ceil(F.count("*") / hot).cast("int").alias("keys"))
-    x = x.join(keys, "gram").select("name", "grams", "size", "gram", F.pmod(F.xxhash64("name"), "keys").cast("int").alias("part"))
-    y = y.join(keys, "gram").select(F.col("name").alias("other"), F.col("grams").alias("o_grams"), F.col("size").alias("o_size"), "gram", F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("part"))
+
+    def entries(rows: DataFrame, names: DataFrame) -> DataFrame:
+        """A row for each gram of the prefixes of the names beside each value of on."""
+        prefixes = _prefixes(names, order, least).localCheckpoint()
+        if on:
+            # grams are many rows for each name that Spark's estimates count, so this side is not broadcast on their word
+            prefixes = rows.select("name", *on).distinct().join(prefixes.hint("merge"), "name")
+        return prefixes.select("name", *on, "grams", "size", F.explode("prefix").alias("gram"))
+
+    x, y, at = entries(left, a), entries(right, b), [*on, "gram"]
+    keys = x.groupBy(*at).agg(F.ceil(F.count("*") / hot).cast("int").alias("keys"))
+    x = x.join(keys.hint("merge"), at).select("name", "grams", "size", *at, F.pmod(F.xxhash64("name"), "keys").cast("int").alias("part"))
+    y = y.join(keys.hint("merge"), at).select(F.col("name").alias("other"), F.col("grams").alias("o_grams"), F.col("size").alias("o_size"), *at, F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("part"))
     fits = F.least("size", "o_size") >= F.greatest("size", "o_size") * least - 1e-9
-    # grams are many rows for each name that Spark's estimates count, so this side is not broadcast on their word
-    pairs = x.join(y.hint("merge"), ["gram", "part"]).where(fits).select("name", "other", "grams", "o_grams")
+    pairs = x.join(y.hint("merge"), [*at, "part"]).where(fits).select("name", "other", *on, "grams", "o_grams")
     shared = F.size(F.array_intersect("grams", "o_grams"))
-    similarity = shared / (F.size("grams") + F.size("o_grams") - shared)
-    return pairs.select("name", "other", similarity.alias("jaccard")).where(F.col("jaccard") >= least - 1e-9).distinct()
+    similarity = once(shared, lambda n: n / (F.size("grams") + F.size("o_grams") - n))
+    return pairs.select("name", "other", *on, similarity.alias("jaccard")).where(F.col("jaccard") >= least - 1e-9).distinct()
 
 
 def linked(documents: DataFrame, forms: DataFrame, least: float = LEAST, score_least: float | None = None, hot: int = HOT) -> DataFrame:
@@ -73,10 +85,9 @@ def linked(documents: DataFrame, forms: DataFrame, least: float = LEAST, score_l
         latin = rows.select(key, N.to_latin(F.coalesce("name", F.lit(""))).alias("latin"), F.coalesce(F.col("dob").cast("string"), F.lit("")).alias("dob"))
         return latin.select(key, N.generic(F.col("latin")).alias("name"), N.loose_date(F.col("dob"))["ymd"].alias("born")).where("name <> '' and born <> ''")
 
-    docs, given = normal(documents, "doc_key").persist(), normal(forms, "form_key").persist()
-    pairs = alike_names(docs, given, least, hot)
-    scored = pairs.withColumn("name_score", score.name_score(F.col("name"), F.col("other")))
+    docs, given = normal(documents, "doc_key").localCheckpoint(), normal(forms, "form_key").localCheckpoint()
+    scored = alike_names(docs, given, least, hot, on=("born",)).withColumn("name_score", score.name_score(F.col("name"), F.col("other")))
     if score_least is not None:
         scored = scored.where(F.col("name_score") >= score_least)
-    found = docs.join(scored, "name").join(given.select("form_key", F.col("name").alias("other"), "born"), ["other", "born"])
+    found = docs.join(scored.hint("merge"), ["name", "born"]).join(given.select("form_key", F.col("name").alias("other"), "born"), ["other", "born"])
     return found.select("doc_key", "form_key", "jaccard", "name_score")

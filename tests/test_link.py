@@ -38,3 +38,12 @@ def test_documents_find_their_forms(spark):
     some = {(r.doc_key, r.form_key, r.name_score) for r in link.linked(d, f, least=0.3, score_least=0.97).collect()}
     assert some == {r for r in every if r[2] >= 0.97} and (1, "a") in {r[:2] for r in every}
     assert link.linked(d.limit(0), f).count() == 0 and link.linked(d, f.limit(0)).count() == 0
+
+
+def test_names_are_paired_within_a_day(spark):
+    rng = random.Random(3)
+    side = lambda: [(" ".join(rng.choice(WORDS) for _ in range(2)), rng.choice("xyz")) for _ in range(40)]
+    left, right = side(), side()
+    got = link.alike_names(*(spark.createDataFrame(rows, "name string, born string") for rows in (left, right)), 0.5, 2, on=("born",)).collect()
+    want = {(a, b, d) for a, d in left for b, e in right if d == e and similarity(a, b) >= 0.5 - 1e-9}
+    assert {(r.name, r.other, r.born) for r in got} == want and len(got) == len(want)
