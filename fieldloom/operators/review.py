@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.pytext import blank_to_null, matched, squeeze, strip
+from ..functions.pytext import blank_to_null, matched, once, squeeze, strip
 
 # Documents asked for by slot.
 SLOTS = {"name": "aadhar", "address": "dl", "dob": "birth", "handwritten": "handwritten"}
@@ -40,13 +40,17 @@ def any_dob(record: Column) -> Column:
 
 def merged_keys(record: Column) -> Column:
     """Map with keys in lower case; of equal keys the first non-empty value."""
-    entries = F.transform(F.map_entries(record), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    first = F.transform(
-        keys,
-        lambda k: F.struct(k.alias("key"), F.get(F.transform(F.filter(entries, lambda e: (e["key"] == k) & (F.coalesce(e["value"], F.lit("")) != "")), lambda e: e["value"]), F.lit(0)).alias("value")),
-    )
-    return F.map_from_entries(first)
+    lowered = F.transform(F.map_entries(record), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+
+    def merged(entries: Column) -> Column:
+        keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+        first = F.transform(
+            keys,
+            lambda k: F.struct(k.alias("key"), F.get(F.transform(F.filter(entries, lambda e: (e["key"] == k) & (F.coalesce(e["value"], F.lit("")) != "")), lambda e: e["value"]), F.lit(0)).alias("value")),
+        )
+        return F.map_from_entries(first)
+
+    return once(lowered, merged)
 
 
 # Document slots, and fields of a handwritten form, in the order of display, with their labels.
@@ -65,15 +69,17 @@ def shown_slots(rows: DataFrame, slot: str = "slot") -> DataFrame:
 
 def labelled_lines(record: Column) -> Column:
     """"Label: value" lines of a map: known fields in their order, then the others in the map's; blank values have no line."""
-    merged = merged_keys(F.transform_values(record, lambda k, v: F.when(k == "email", plain_email(strip(v))).otherwise(strip(v))))
+    whole = merged_keys(F.transform_values(record, lambda k, v: F.when(k == "email", plain_email(strip(v))).otherwise(strip(v))))
+
+    def lines(merged: Column) -> Column:
+        def line(key: Column, label: Column) -> Column:
+            return once(F.try_element_at(merged, key), lambda value: F.when(value != "", F.concat(label, F.lit(": "), value)))
 
-    def line(key: Column, label: Column) -> Column:
-        value = F.try_element_at(merged, key)
-        return F.when(value != "", F.concat(label, F.lit(": "), value))
+        known = [line(F.lit(k), F.lit(v)) for k, v in FIELD_LABELS.items()]
+        others = F.filter(F.map_keys(merged), lambda k: ~k.isin(list(FIELD_LABELS)))
+        return F.array_compact(F.concat(F.array(*known), F.transform(others, lambda k: line(k, k))))
 
-    known = [line(F.lit(k), F.lit(v)) for k, v in FIELD_LABELS.items()]
-    others = F.filter(F.map_keys(merged), lambda k: ~k.isin(list(FIELD_LABELS)))
-    return F.array_compact(F.concat(F.array(*known), F.transform(others, lambda k: line(k, k))))
+    return once(whole, lines)
 
 
 def plain_email(c: Column) -> Column:
