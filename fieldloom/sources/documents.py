@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..operators.extract import extract_fields, with_report
 from ..operators.ocrlines import normalise_lines
 
+#: Characters of recognised text that leave a task at once, about.
+SENT = 1 << 20
 # Extensions of images.
 IMAGES = [".jpg", ".jpeg", ".png", ".bmp", ".tiff", ".webp"]
 
@@ -81,16 +83,26 @@ def recognise(docs: DataFrame, make_reader: Callable[[str], Callable[[bytes, str
     What it raises becomes the row's error.
     """
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[key, "handler", "page_no", "lines", "error"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read = None
         for batch in batches:
+            rows, held = [], 0
             for k, content, how in zip(batch[key], batch["content"], batch["handler"], strict=True):
                 try:
                     read = read or make_reader(lang)
-                    rows = [(k, how, i, [t for t in page if t.strip()], None) for i, page in enumerate(read(bytes(content), how), 1)]
+                    new = [(k, how, i, [t for t in page if t.strip()], None) for i, page in enumerate(read(bytes(content), how), 1)]
                 except Exception as e:  # noqa: BLE001  a document's failure is its own
-                    rows = [(k, how, 1, [], str(e) or type(e).__name__)]
-                yield pd.DataFrame(rows, columns=[key, "handler", "page_no", "lines", "error"])
+                    new = [(k, how, 1, [], str(e) or type(e).__name__)]
+                rows += new
+                held += sum(64 + sum(map(len, r[3])) for r in new)
+                if held >= SENT:
+                    yield frame(rows)
+                    rows, held = [], 0
+            if rows:
+                yield frame(rows)
 
     return docs.select(key, "content", "handler").mapInPandas(run, f"{key} string, handler string, page_no int, lines array<string>, error string")
 

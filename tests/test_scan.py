@@ -3,6 +3,9 @@ import re
 
 import pytest
 
+import pandas as pd
+
+from fieldloom.sources import documents as sources
 from fieldloom.functions import dictionaries as D
 from fieldloom.functions.scan import beginnings
 from fieldloom.operators import extract, ocrlines
@@ -81,3 +84,18 @@ def test_the_next_line_is_taken_once():
 )
 def test_name_documents(text, want):
     assert extract.name_of(text) == want
+
+
+def test_recognised_documents_leave_a_task_together():
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):  # noqa: N802
+            return run
+
+    run = sources.recognise(Docs(), lambda lang: lambda content, how: [content.decode().split("\n"), [" "]])
+    batch = pd.DataFrame({"path": ["a", "b", "c"], "content": [b"x\n \ny", b"\xff", b"z"], "handler": ["pdf"] * 3})
+    frames = list(run(iter([batch, batch.head(0)])))
+    assert len(frames) == 1 and list(frames[0]["path"]) == ["a", "a", "b", "c", "c"] and list(frames[0]["lines"]) == [["x", "y"], [], [], ["z"], []]
+    assert list(frames[0]["page_no"]) == [1, 2, 1, 1, 2] and [e is None for e in frames[0]["error"]] == [True, True, False, True, True]
