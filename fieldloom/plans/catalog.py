@@ -201,7 +201,7 @@ def _noisy_lines(k):
     "'Address: ' || c_custkey || ' MG Road', 'Gender', 'Last Name: Pqr'] AS lines FROM customer"
 )
 def x_noisy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.table(spark, sf_dir, "customer").select("c_custkey", ocrlines.normalise_lines(_noisy_lines(F.col("c_custkey"))).alias("lines"))
+    return I.spread(spark, sf_dir, "customer", "c_custkey").select("c_custkey", ocrlines.normalise_lines(_noisy_lines(F.col("c_custkey"))).alias("lines"))
 
 
 _LINES = "SELECT doc_id, list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda m: regexp_matches(m, '[A-Za-z0-9]') AND length(m) >= 3)) AS kept FROM documents"

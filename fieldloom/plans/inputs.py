@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table that is one small file, and so one task by itself, dealt out by key: what is made of its rows is worth more."""
+    return table(spark, sf_dir, name).repartition(spark.sparkContext.defaultParallelism, key)
+
+
 def _pick(values: list[str], key: str):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (F.expr(key) + 1).cast("int"))
 
@@ -24,7 +29,7 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(application_id, first, last, born, sex, house, road, city, state, pin, phone, mail, as_age)."""
     k = "c_custkey"
     born = F.date_add(F.lit("1960-01-01").cast("date"), F.expr(f"cast({k} * 37 % 16000 as int)"))
-    return table(spark, sf_dir, "customer").select(
+    return spread(spark, sf_dir, "customer", k).select(
         F.col(k).alias("application_id"),
         _pick(FIRST, f"{k} % 7").alias("first"),
         _pick(LAST, f"{k} % 5").alias("last"),
@@ -42,8 +47,7 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(application_id, raw_text, document_type): a form as it would be read off paper."""
-    # the table is one small file, one task by itself; texts are worth more
-    p = people(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "application_id")
+    p = people(spark, sf_dir)
     text = F.concat(
         F.lit("First Name: "), "first", F.lit("\nLast Name: "), "last", F.lit("\nDOB: "), F.date_format("born", "dd/MM/yyyy"), F.lit("\nGender: "), "sex",
         F.lit("\nAddress: "), "house", F.lit(" "), "road", F.lit("\nCity: "), "city", F.lit(".\nState: "), "state", F.lit(".\nPin Code: "), "pin",
@@ -67,7 +71,7 @@ KINDS = ["en", "hi", "noisy", "bare", "short"]
 
 def mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(application_id, kind, raw_text): whole forms in two languages, one badly read, pages without a label, and forms with a name and a place alone."""
-    p = people(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "application_id")
+    p = people(spark, sf_dir)
     k = F.col("application_id")
     hindi = _pick(HINDI, "application_id % 7")
     kind = _pick(KINDS, "application_id % 5")

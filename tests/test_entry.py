@@ -21,3 +21,10 @@ def test_rest_works_without_corpus_operators(tmp_path):
         (tmp_path / name).symlink_to(ROOT / name) if name.endswith(".py") else __import__("shutil").copytree(ROOT / name, tmp_path / name, ignore=lambda d, names: {"llm"} & set(names))
     code = "import __spark_entry__ as e; assert e.queries() and not any(n.startswith('op') for n in e.queries()), 1"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"} | {k: v for k, v in __import__("os").environ.items() if k.startswith("JAVA")})
+
+
+def test_people_are_dealt_out_by_key(spark):
+    from fieldloom.plans import inputs
+
+    people = inputs.people(spark, "/root/testdata/sf0.001")
+    assert people.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
