@@ -64,10 +64,10 @@ class PhraseIndex:
 
     An inverted index gives the phrases that share a token with the line. Without a common token the ratio is that of
     whole strings, which lengths and then counts of characters bound, so few others need a ratio at all. Lines come again
-    on other documents: what was found is kept, for a bounded number of lines.
+    on other documents: what was found is kept, for a bounded number of lines of a bounded length.
     """
 
-    KEPT = 100_000
+    KEPT, LONGEST = 100_000, 100
 
     def __init__(self, phrases: list[str], least: float):
         self.phrases, self.least = phrases, least
@@ -90,6 +90,8 @@ class PhraseIndex:
         return {i for size, i in fits if 200.0 * (letters & self.letters[i]).total() >= self.least * (n + size) - 1e-9}
 
     def best(self, line: str) -> int | None:
+        if len(line) > self.LONGEST:
+            return self._search(line)
         if line not in self.known:
             if len(self.known) >= self.KEPT:
                 self.known.clear()

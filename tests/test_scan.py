@@ -99,3 +99,11 @@ def test_recognised_documents_leave_a_task_together():
     frames = list(run(iter([batch, batch.head(0)])))
     assert len(frames) == 1 and list(frames[0]["path"]) == ["a", "a", "b", "c", "c"] and list(frames[0]["lines"]) == [["x", "y"], [], [], ["z"], []]
     assert list(frames[0]["page_no"]) == [1, 2, 1, 1, 2] and [e is None for e in frames[0]["error"]] == [True, True, False, True, True]
+
+
+def test_long_lines_are_not_kept():
+    long = "first name " + "of a very long line of prose " * 5
+    before = ocrlines.read_line.cache_info().currsize, len(ocrlines._INDEX.known)
+    assert ocrlines.normal_lines([long, long, None]) == ocrlines.normal_lines([long]) and len(ocrlines.normal_lines([long])) == 1
+    ocrlines.read_line(None)
+    assert (ocrlines.read_line.cache_info().currsize, len(ocrlines._INDEX.known)) == (before[0] + 1, before[1])
