@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dictionaries as D
-from ..functions import fuzzy, pytext
+from ..functions import fuzzy, latin, pytext
 from ..functions import normalise as N
 from ..operators import extract, link, ocrlines, register, review, verify
 from ..operators import score as C
@@ -388,7 +388,14 @@ def j3_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Normal forms
 
 
-@query("SELECT doc_id, regexp_replace(strip_accents(text), '[\\x00-\\x1F\\x7F]', '', 'g') AS latin FROM documents")
+def _sql_latin(c: str) -> str:
+    """to_latin() by its characters' readings; the scripts from U+0900 on, but for Latin, Greek and marks, are n1_every_script's and stay here."""
+    read = {ch: latin.read(ch)[1] for ch in map(chr, [*range(0x80, 0x900), *range(0x1E00, 0x20D0)])}
+    sounds = {ch: sound.replace("'", "''") for ch, sound in read.items() if sound != ch}
+    return f"array_to_string(list_transform(regexp_extract_all(nfc_normalize(regexp_replace(coalesce({c}, ''), '[\\x00-\\x1F\\x7F]', '', 'g')), '(?s).'), lambda x: CASE WHEN unicode(x) < 128 THEN x ELSE {_sql_case(sounds, 'x')} END), '')"
+
+
+@query(f"SELECT doc_id, {_sql_latin('text')} AS latin FROM documents")
 def n1_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.table(spark, sf_dir, "documents").select("doc_id", N.to_latin("text").alias("latin"))
 

@@ -28,3 +28,16 @@ def test_people_are_dealt_out_by_key(spark):
 
     people = inputs.people(spark, "/root/testdata/sf0.001")
     assert people.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_sql_of_latin_states_the_same_rule():
+    import duckdb
+
+    from fieldloom.functions import latin
+    from fieldloom.plans import catalog
+
+    texts = ["Straße ẞ Øre Łódź æ", "é x̀", "Москва Αθήνα “a’ – …", "a\tb\nc\x7f", "", None, "سلام", "​x­", "İ"]
+    db = duckdb.connect()
+    db.execute("create table documents (doc_id int, text varchar)")
+    db.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    assert dict(db.execute(catalog.ORACLES["n1_latin"]).fetchall()) == {i: latin.to_latin(t or "") for i, t in enumerate(texts)}
