@@ -155,3 +155,7 @@ def test_sinks_and_stream(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "log")).count() == 2
     csv = spark.read.csv(str(tmp_path / "csv"), header=True)
     assert csv.count() == 2 and csv.columns[:3] == ["overall_confidence", "decision", "f_name"]
+
+
+def test_labelled_lines_merge_a_record_once(spark):
+    assert str(review.labelled_lines(F.col("record"))).lower().count("transform_values") == 1
