@@ -101,6 +101,34 @@ def numbered(df: DataFrame, label: str, **more: Column) -> DataFrame:
     return materialise(df.select(F.monotonically_increasing_id().alias("n"), nested(df).alias("row"), *[c.alias(k) for k, c in more.items()]), label)
 
 
+#: Numbers of a page: the bits of one of Spark's bitmaps.
+PAGE = 1 << 15
+
+
+def _page(number: str) -> Column:
+    return F.shiftright(number, 15)
+
+
+def pages(df: DataFrame, label: str, **marks: Column) -> DataFrame:
+    """(page, ...) of the numbers in column n of df: for each page and mark, a bitmap of the numbers for which it is true; written.
+
+    A bit a number, so that Spark broadcasts it beside rows whose numbers alone would have the rows shuffled. Numbers are dealt
+    out by page first: a page's bitmaps would else leave each task that holds one of its numbers.
+    """
+    bit = F.col("n").bitwiseAND(F.lit(PAGE - 1))
+    dealt = df.withColumn("page", _page("n")).repartition("page")
+    return materialise(dealt.groupBy("page").agg(*[F.bitmap_construct_agg(F.when(c, bit)).alias(k) for k, c in marks.items()]), label)
+
+
+def marked(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (n, ...) of the pages found, with their marks as booleans."""
+    bit = F.col("n").bitwiseAND(F.lit(PAGE - 1)).cast("int")
+    marks = [k for k in found.columns if k != "page"]
+    byte = {k: F.conv(F.hex(F.substring(F.col(k), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int") for k in marks}
+    both = rows.withColumn("page", _page("n")).join(found, "page")
+    return both.select(*rows.columns, *[(F.getbit(byte[k], bit.bitwiseAND(F.lit(7))) == 1).alias(k) for k in marks])
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

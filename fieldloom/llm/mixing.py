@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, numbered, table, word_count
+from .common import marked, materialise, numbered, pages, table, word_count
 
 BINS = 1 << 16
 #: No source is repeated more often than this.
@@ -119,7 +119,10 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     plan = mix(rows.select("n", "row.doc_id", "row.text", "row.source"), "n")
     times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
     copies = plan.select(F.col("number").alias("n"), times.alias("times")).where("times > 0")
-    return rows.join(copies, "n").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    # a mark for each time: no row is taken over MOST_EPOCHS times
+    again = {f"again{k}": F.col("times") >= k for k in range(1, MOST_EPOCHS + 1)}
+    each = F.filter(F.array(*again), lambda taken: taken)
+    return marked(rows, pages(copies, "copies", **again)).select("row", F.explode(each)).select("row.*")
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

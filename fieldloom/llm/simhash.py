@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, map_rows, materialise, numbered, table
+from .common import components, map_rows, marked, materialise, numbered, pages, table
 
 SHINGLE = 3
 SEED = 42
@@ -131,4 +131,4 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = fps.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie", "n")).alias("first"))
     first = materialise(first, "reps")
     kept = first.join(labels(first.select("fp")), "fp").groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.n").alias("n"))
-    return rows.join(materialise(kept, "kept"), "n", "left_semi").select("row.*")
+    return marked(rows, pages(kept, "kept", kept=F.lit(True))).where("kept").select("row.*")

@@ -1,8 +1,9 @@
 import random
 
 import xxhash
+from pyspark.sql import functions as F
 
-from fieldloom.llm import simhash
+from fieldloom.llm import common, mixing, simhash
 
 
 def brute(text):
@@ -72,3 +73,31 @@ def test_edge_cases(spark):
     again = simhash.keep_one(spark, clash, "")
     assert again.columns == clash.columns and {(r.n, r.label) for r in again.collect()} == {("k", 1.5)}
     assert simhash.keep_one(spark, df.limit(0), "").count() == 0
+
+
+def test_kept_rows_are_found_without_a_shuffle_of_texts(spark):
+    """Whatever the number of rows: a bit a number is broadcast where the numbers themselves would be too large."""
+    rng = random.Random(8)
+    rows = [(i, " ".join("%x" % rng.getrandbits(40) for _ in range(12))) for i in range(6000)]
+    df = spark.createDataFrame(rows + [(i + 9000, t) for i, t in rows[:50]], "doc_id long, text string")
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10k")
+        one = simhash.keep_one(spark, df, "")
+        twice = mixing.mixed_documents(spark, df.selectExpr("*", "'abc' as source"), "")
+        assert sorted(r.doc_id for r in one.collect()) == [i for i, _ in rows]  # the copies have larger ids
+        assert twice.count() == len(rows) + 50
+        for got in (one, twice):
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+
+
+def test_marks_are_the_numbers_given(spark):
+    numbers = [0, 1, 7, 8, 32767, 32768, 1 << 33, (1 << 33) + 5, (7 << 33) + 40_000]
+    rows = spark.createDataFrame([(n + d,) for n in numbers for d in (0, 1, 2)], "n long").distinct()
+    some = spark.createDataFrame([(n, n % 2 == 1) for n in numbers], "n long, odd boolean")
+    got = common.marked(rows, common.pages(some, "some", all=F.lit(True), odd=F.col("odd"))).collect()
+    assert sorted(r.n for r in got if r.all) == numbers
+    assert sorted(r.n for r in got if r.odd) == [n for n in numbers if n % 2 == 1]
