@@ -39,8 +39,11 @@ GIANT = 1 << 15
 CHUNK = 1 << 13
 #: A cut moves right to the next word boundary if there is one so near.
 SNAP = 256
-_CACHE = 400_000
+#: Words of a generation that are kept with their ids; those in use pass on to the next.
+_CACHE = 250_000
 _PAIRS = 1_000_000
+#: Words of letters alone, up to so many characters, are not searched for places where they part.
+_WORD = 24
 
 
 class PieceModel:
@@ -73,13 +76,14 @@ class PieceModel:
         self.sound = {p: i for p, i in self.ids.items() if self.merge(p) == [p]}
         self._name = {i: p for p, i in self.sound.items()}
         self._made: dict[int, dict[int, tuple[list[float], list[str]]]] = {0: {}, -1: {}}
-        #: Length of the longest sound piece, by its first three characters.
-        self._reach: dict[str, int] = {}
-        for p in self.sound:
-            self._reach[p[:3]] = max(self._reach.get(p[:3], 0), len(p))
+        #: Lengths of the sound pieces that begin with three characters, longest first; one or two where these are no key.
+        self._lengths: dict[str, tuple[int, ...]] = {}
+        for size in sorted({len(p) for p in self.sound} - {1, 2}, reverse=True):
+            for head in {p[:3] for p in self.sound if len(p) == size}:
+                self._lengths[head] = (*self._lengths.get(head, ()), size)
+        self._lengths = {head: (*sizes, 2, 1) if head[:2] in self.sound else (*sizes, 1) for head, sizes in self._lengths.items()}
         #: Pairs of characters that some piece holds side by side; all others part a text.
         self._joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self._part = _Cache(self._encode_part)
         self._segment = _Cache(self._encode_segment)
         self._split = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+").findall
 
@@ -179,29 +183,31 @@ class PieceModel:
                 out.append(i)
         return out
 
-    def _encode_segment(self, segment: str) -> list[int]:
-        """Ids of a segment: its parts', one after another."""
+    def _encode_segment(self, segment: str) -> tuple[int, ...]:
+        """Ids of a segment: its parts', one after another. A part is a segment of its own."""
+        if len(segment) <= _WORD and segment[1:].isalpha():
+            return self._encode_part(segment)
         joined = self._joined
         cuts = [i for i in range(1, len(segment)) if segment[i - 1 : i + 1] not in joined]
         if not cuts:
-            return self._part[segment]
-        return list(chain.from_iterable(self._part[segment[a:b]] for a, b in zip([0, *cuts], [*cuts, len(segment)])))
+            return self._encode_part(segment)
+        return tuple(chain.from_iterable([self._segment[segment[a:b]] for a, b in zip([0, *cuts], [*cuts, len(segment)])]))
 
-    def _encode_part(self, segment: str) -> list[int]:
+    def _encode_part(self, segment: str) -> tuple[int, ...]:
         """Ids of the path of weight 0 through a part, depth first and longest piece first.
 
         All that leads to a position with weight 0 ends in the same piece, so no position is tried twice.
         """
-        n, size, sound, pair, reach = len(segment), len(self.raw), self.sound.get, self._pair.get, self._reach.get
-        tried, ends, out, at, last = bytearray(n + 1), [0], [], 0, -1
-        upto = min(n, reach(segment[:3], 2))
+        n, size, sound, pair, lengths = len(segment), len(self.raw), self.sound.get, self._pair.get, self._lengths.get
+        tried, ends, out, at, last, upto = bytearray(n + 1), [0], [], 0, -1, n
         while at < n:
-            for end in range(upto, at, -1):
-                if tried[end]:
+            for long in lengths(segment[at : at + 3], (2, 1)):
+                end = at + long
+                if end > upto or tried[end]:
                     continue
                 i = sound(segment[at:end])
                 if i is None:
-                    if end > at + 1:
+                    if long > 1:
                         continue
                     i = -1  # a character of no piece
                 elif last >= 0:
@@ -211,15 +217,15 @@ class PieceModel:
                 tried[end] = 1
                 ends.append(end)
                 out.append(i)
-                at, last, upto = end, i, min(n, end + reach(segment[end : end + 3], 2))
+                at, last, upto = end, i, n
                 break
             else:  # a dead end: the next shorter piece in place of the last one
                 upto = ends.pop() - 1
                 out.pop()
                 at, last = ends[-1], out[-1] if out else -1
         if -1 in out:
-            return self.to_ids([segment[a:b] for a, b in zip(ends, ends[1:])])
-        return out
+            return tuple(self.to_ids([segment[a:b] for a, b in zip(ends, ends[1:])]))
+        return tuple(out)
 
     def encode_words(self, normal: str) -> list[int]:
         """Ids of normalised text that starts and ends on a word boundary."""
@@ -299,16 +305,22 @@ class PieceModel:
 
 
 class _Cache(dict):
-    """Ids by segment; long segments aren't kept."""
+    """Ids by segment, in two generations: those that come again in the second pass back to the first. Long segments aren't kept.
+
+    Tuples of numbers, which the garbage collector leaves out.
+    """
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
-    def __missing__(self, key: str) -> list[int]:
-        got = self.make(key)
+    def __missing__(self, key: str) -> tuple[int, ...]:
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
         if len(key) <= 48:
-            if len(self) > _CACHE:
+            if len(self) >= _CACHE:
+                self.old = dict(self)
                 self.clear()
             self[key] = got
         return got

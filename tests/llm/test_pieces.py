@@ -75,3 +75,16 @@ def test_operator(spark):
     back = pieces.decode(got).collect()
     assert sorted((str(r.doc_id), r.text) for r in back) == sorted((str(i), LIB.decode(LIB.encode(t or ""))) for i, t, _ in rows)
     assert pieces.encode(df.limit(0)).count() == 0
+
+
+def test_words_in_use_are_made_once(monkeypatch):
+    monkeypatch.setattr(pieces, "_CACHE", 50)
+    rng = random.Random(4)
+    own = pieces.PieceModel(PATH)
+    made = []
+    own._segment.make = lambda segment: made.append(segment) or own._encode_segment(segment)
+    words = ["qx" + "".join(rng.choice("theronansti日ß") for _ in range(rng.randint(1, 30))) + rng.choice(["", ",", "..", "1"]) for _ in range(900)]
+    for a, b, c in zip(words[::3], words[1::3], words[2::3]):
+        text = f"and {a} and {b} and, {c}"
+        assert own.encode(text) == LIB.encode(text), text
+    assert made.count("▁and") == made.count("▁and,") == made.count(",") == 1
