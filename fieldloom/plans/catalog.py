@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions import dictionaries as D
 from ..functions import fuzzy, latin, pytext
@@ -121,13 +123,20 @@ def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.when(F.col("vec_id") % 7 == 0, F.substring(content, 1, 60)).otherwise(content).alias("content"))
 
 
+@F.pandas_udf(StructType([StructField("height", IntegerType()), StructField("width", IntegerType()), StructField("total", LongType())]))
+def _summed(pictures: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pictures' sizes and sums, in the worker that decodes them: pixels never leave it."""
+    for x in pictures:
+        total = x["pixels"].map(lambda p: None if p is None else int(np.frombuffer(p, np.uint8).sum())).astype("Int64")
+        yield x[["height", "width"]].assign(total=total)
+
+
 @query("""SELECT vec_id, CASE WHEN vec_id % 7 > 0 THEN 32 END AS height, CASE WHEN vec_id % 7 > 0 THEN CAST(len(embedding) / 2 AS INTEGER) END AS width,
   CASE WHEN vec_id % 7 > 0 THEN CAST(48 * list_sum(list_transform(embedding, lambda x: floor(greatest(-1, least(1, CAST(x AS DOUBLE))) * 127.5 + 127.5))) AS BIGINT) END AS total FROM embeddings""")
 def s2_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and sum of all channels of decoded pictures; nulls of those that are broken."""
-    rows = _pictures(spark, sf_dir).select("vec_id", images.decoded("content").alias("image"))
-    total = F.pandas_udf(lambda pixels: pixels.map(lambda p: None if p is None else int(np.frombuffer(p, np.uint8).sum())).astype("Int64"), "long")
-    return rows.select("vec_id", "image.height", "image.width", total("image.pixels").alias("total"))
+    rows = _pictures(spark, sf_dir).select("vec_id", _summed(images.decoded("content")).alias("image"))
+    return rows.select("vec_id", "image.*")
 
 
 @query()

@@ -205,3 +205,12 @@ def test_pictures_side_by_side_are_those_alone_and_leave_in_parts(monkeypatch):
     monkeypatch.setattr(im, "_SENT", 7000)
     frames = list(im._frames([*alone, None, alone[0]]))
     assert [len(f) for f in frames] == [1, 1, 1, 1, 1, 2] and [None if p is None else len(p) for f in frames for p in f["pixels"]] == [*(x.nbytes for x in alone), None, alone[0].nbytes]
+
+
+def test_pixels_stay_in_the_worker_that_decodes_them(spark):
+    from fieldloom.plans import catalog
+
+    got = catalog.QUERIES["s2_decode"](spark, "/root/testdata/sf0.001")
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2
+    assert got.columns == ["vec_id", "height", "width", "total"]
+    assert all((r.total is None) == (r.vec_id % 7 == 0) for r in got.collect())
