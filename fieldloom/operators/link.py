@@ -2,12 +2,18 @@
 
 Names are compared as sets of two-letter grams of their sorted tokens, by Jaccard similarity. The join is exact: two sets of
 similarity t or more share one of their first |x| - ceil(t |x|) + 1 grams in any common order, so only these prefixes are
-joined, rarest grams first, and only sets whose sizes can reach t. The date of birth is part of the join's key, so names that
-never share a day are not compared. A name is compared once a day, however many people have it then. A gram with over HOT names
-of a day on the left is dealt over several keys, and the right side's names for it go to each of them.
-
-Normal forms and prefixes are read several times: each is computed once and kept by the executors, and the plans of what
-reads them begin there. Nested in one another, as cached tables are, they fill the driver's memory with descriptions.
+joined, rarest grams first, and only where what follows a gram in either set can reach t. A pair is compared in full at each
+gram it shares there, and kept at the first. The date of birth is part of the join's key, so names that never share a day are
+not compared. A name is compared once a day, however many people have it then. A gram with over HOT names of a day on the left
+is dealt over several keys, and the right side's names for it go to each of them.
+
+The order of grams is a table of CELLS numbers: grams are counted by cells, of which each pair of ASCII characters has its
+own. That table and the grams over HOT, a row for HOT names at least, are all that is broadcast: every other join is a merge
+join by hint, as Spark's estimates know neither how many grams a name has nor how large a checkpoint is.
+
+Normal forms are read several times: they are written to the folder of spark.checkpoint.dir (or setCheckpointDir()), or kept
+by the executors without one, and the plans of what reads them begin there. Nested in one another, as cached tables are, they
+fill the driver's memory with descriptions.
 """
 
 from __future__ import annotations
@@ -22,27 +28,32 @@ from . import score
 LEAST = 0.6
 #: Names on the left that share a gram and a key.
 HOT = 4096
+#: Cells in which grams are counted, by the last seven bits of either character.
+CELLS = 1 << 14
+#: Bits of a code point.
+_BITS = 21
 
 
 def grams(name: Column) -> Column:
-    """Distinct two-letter grams of a name's sorted tokens, with a space at either end; none of an empty name."""
+    """Distinct two-letter grams, as numbers, of a name's sorted tokens with a space at either end; none of an empty name."""
     line = F.concat(F.lit(" "), F.array_join(F.array_sort(tokens(name)), " "), F.lit(" "))
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(line) - 1, F.lit(1))), lambda i: F.substring(line, i, F.lit(2)))
-    return F.when(F.trim(name) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(cut))
+    codes = F.transform(F.split(line, ""), lambda c: F.ascii(c).cast("long"))
+    cut = once(codes, lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda p, q: F.shiftleft(p, _BITS) + q))
+    return F.when(F.trim(name) == "", F.array().cast("array<bigint>")).otherwise(F.array_distinct(cut))
 
 
-def _names(rows: DataFrame) -> DataFrame:
-    one = rows.select("name").where(F.col("name").isNotNull()).distinct()
-    return one.select("name", grams(F.col("name")).alias("grams")).where(F.size("grams") > 0)
+def _cell(gram: Column) -> Column:
+    return (F.shiftright(gram, _BITS) % 128 * 128 + gram % 128).cast("int")
 
 
-def _prefixes(names: DataFrame, order: DataFrame, least: float) -> DataFrame:
-    """(name, grams, size, prefix): the grams of a name's prefix, rarest first."""
-    ranked = names.select("name", "grams", F.explode("grams").alias("gram")).join(order, "gram")
-    sets = ranked.groupBy("name").agg(F.first("grams").alias("grams"), F.array_sort(F.collect_list(F.struct("places", "gram"))).alias("ranked"))
-    size = F.size("grams")
-    taken = F.slice("ranked", F.lit(1), size - F.ceil(size * F.lit(least) - F.lit(1e-9)).cast("int") + 1)
-    return sets.select("name", "grams", size.alias("size"), F.transform(taken, lambda x: x["gram"]).alias("prefix"))
+def _places(names: DataFrame) -> DataFrame:
+    """One row (places): of each cell its place by the number of names that have a gram there, rarest first."""
+    counted = names.select(F.explode("grams").alias("gram")).groupBy(_cell(F.col("gram")).alias("cell")).count()
+    count = {r["cell"]: r["count"] for r in counted.collect()}
+    places = [0] * CELLS
+    for place, cell in enumerate(sorted(count, key=lambda c: (count[c], c))):
+        places[cell] = place
+    return names.sparkSession.createDataFrame([(places,)], "places array<bigint>")
 
 
 def alike_names(left: DataFrame, right: DataFrame, least: float = LEAST, hot: int = HOT, on: tuple[str, ...] = ()) -> DataFrame:
@@ -52,26 +63,37 @@ def alike_names(left: DataFrame, right: DataFrame, least: float = LEAST, hot: in
     """
     if not 0 < least <= 1:
         raise ValueError("a similarity is over 0 and 1 at most")
-    a, b = _names(left), _names(right)
-    order = a.unionByName(b).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("places"))
-
-    def entries(rows: DataFrame, names: DataFrame) -> DataFrame:
-        """A row for each gram of the prefixes of the names beside each value of on."""
-        prefixes = _prefixes(names, order, least).localCheckpoint()
-        if on:
-            # grams are many rows for each name that Spark's estimates count, so this side is not broadcast on their word
-            prefixes = rows.select("name", *on).distinct().join(prefixes.hint("merge"), "name")
-        return prefixes.select("name", *on, "grams", "size", F.explode("prefix").alias("gram"))
-
-    x, y, at = entries(left, a), entries(right, b), [*on, "gram"]
-    keys = x.groupBy(*at).agg(F.ceil(F.count("*") / hot).cast("int").alias("keys"))
-    x = x.join(keys.hint("merge"), at).select("name", "grams", "size", *at, F.pmod(F.xxhash64("name"), "keys").cast("int").alias("part"))
-    y = y.join(keys.hint("merge"), at).select(F.col("name").alias("other"), F.col("grams").alias("o_grams"), F.col("size").alias("o_size"), *at, F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("part"))
-    fits = F.least("size", "o_size") >= F.greatest("size", "o_size") * least - 1e-9
-    pairs = x.join(y.hint("merge"), [*at, "part"]).where(fits).select("name", "other", *on, "grams", "o_grams")
-    shared = F.size(F.array_intersect("grams", "o_grams"))
-    similarity = once(shared, lambda n: n / (F.size("grams") + F.size("o_grams") - n))
-    return pairs.select("name", "other", *on, similarity.alias("jaccard")).where(F.col("jaccard") >= least - 1e-9).distinct()
+    a, b = (rows.select("name", *on).where(F.trim("name") != "").distinct().select("name", *on, grams(F.col("name")).alias("grams")) for rows in (left, right))
+    places = F.broadcast(_places(a.unionByName(b)))
+
+    def entries(names: DataFrame) -> DataFrame:
+        """A row for each gram of a name's prefix; a gram's number begins with its place, so numbers in order are grams in order."""
+        placed = F.sort_array(F.transform("grams", lambda g: F.shiftleft(F.get("places", _cell(g)), 2 * _BITS) + g))
+        size = F.size("grams")
+        prefix = F.slice("grams", F.lit(1), size - F.ceil(size * F.lit(least) - F.lit(1e-9)).cast("int") + 1)
+        return names.crossJoin(places).select("name", *on, placed.alias("grams")).select("name", *on, "grams", F.posexplode(prefix).alias("place", "gram"))
+
+    x, y, at = entries(a), entries(b), [*on, "gram"]
+    keys = F.broadcast(x.groupBy(*at).agg(F.ceil(F.count("*") / hot).cast("int").alias("keys")).where("keys > 1"))
+    n = F.coalesce("keys", F.lit(1))
+    x = x.join(keys, at, "left").select("name", "grams", "place", *at, F.pmod(F.xxhash64("name"), n).cast("int").alias("part"))
+    y = y.join(keys, at, "left").select(F.col("name").alias("other"), F.col("grams").alias("o_grams"), F.col("place").alias("o_place"), *at, F.explode(F.sequence(F.lit(0), n - 1)).alias("part"))
+
+    def similarity(shared: Column) -> Column:
+        return shared / (F.size("grams") + F.size("o_grams") - shared)
+
+    # of a pair's first gram in common, no other one stands before it on either side
+    reach = similarity(F.least(F.size("grams") - F.col("place"), F.size("o_grams") - F.col("o_place"))) >= least - 1e-9
+    pairs = x.join(y.hint("merge"), [*at, "part"]).where(reach)
+    # generated, so that Spark does not compute it anew for each use
+    pairs = pairs.select("name", "other", *on, "gram", "grams", "o_grams", F.explode(F.array(F.array_intersect("grams", "o_grams"))).alias("shared"))
+    first = pairs.where(F.get("shared", F.lit(0)) == F.col("gram"))
+    return first.select("name", "other", *on, similarity(F.size("shared")).alias("jaccard")).where(F.col("jaccard") >= least - 1e-9)
+
+
+def _cut(rows: DataFrame) -> DataFrame:
+    """The same rows, computed once, with a plan that begins there."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.localCheckpoint()
 
 
 def linked(documents: DataFrame, forms: DataFrame, least: float = LEAST, score_least: float | None = None, hot: int = HOT) -> DataFrame:
@@ -85,9 +107,9 @@ def linked(documents: DataFrame, forms: DataFrame, least: float = LEAST, score_l
         latin = rows.select(key, N.to_latin(F.coalesce("name", F.lit(""))).alias("latin"), F.coalesce(F.col("dob").cast("string"), F.lit("")).alias("dob"))
         return latin.select(key, N.generic(F.col("latin")).alias("name"), N.loose_date(F.col("dob"))["ymd"].alias("born")).where("name <> '' and born <> ''")
 
-    docs, given = normal(documents, "doc_key").localCheckpoint(), normal(forms, "form_key").localCheckpoint()
+    docs, given = _cut(normal(documents, "doc_key")), _cut(normal(forms, "form_key"))
     scored = alike_names(docs, given, least, hot, on=("born",)).withColumn("name_score", score.name_score(F.col("name"), F.col("other")))
     if score_least is not None:
         scored = scored.where(F.col("name_score") >= score_least)
-    found = docs.join(scored.hint("merge"), ["name", "born"]).join(given.select("form_key", F.col("name").alias("other"), "born"), ["other", "born"])
+    found = docs.join(scored.hint("merge"), ["name", "born"]).join(given.select("form_key", F.col("name").alias("other"), "born").hint("merge"), ["other", "born"])
     return found.select("doc_key", "form_key", "jaccard", "name_score")

@@ -649,7 +649,7 @@ def j1_alike_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = F.expr("translate(cast(application_id * 7919 % 100000 as string), '0123456789', 'bcdfghjkmz')")
     docs = I.people(spark, sf_dir).select(F.col("application_id").alias("doc_key"), F.concat_ws(" ", "first", "last", tag).alias("name"), F.date_format("born", "dd MMM yyyy").alias("dob"))
     born = I.people(spark, sf_dir).select("application_id", F.date_format("born", "yyyy/MM/dd").alias("dob"))
-    forms = I.forms(spark, sf_dir).drop("dob").join(born, "application_id").select(F.col("application_id").alias("form_key"), F.concat_ws(" ", "name", tag).alias("name"), "dob")
+    forms = I.forms(spark, sf_dir).drop("dob").join(born.hint("merge"), "application_id").select(F.col("application_id").alias("form_key"), F.concat_ws(" ", "name", tag).alias("name"), "dob")
     return link.linked(docs, forms).select("doc_key", "form_key", F.round("jaccard", 9).alias("jaccard"))
 
 

@@ -47,3 +47,39 @@ def test_names_are_paired_within_a_day(spark):
     got = link.alike_names(*(spark.createDataFrame(rows, "name string, born string") for rows in (left, right)), 0.5, 2, on=("born",)).collect()
     want = {(a, b, d) for a, d in left for b, e in right if d == e and similarity(a, b) >= 0.5 - 1e-9}
     assert {(r.name, r.other, r.born) for r in got} == want and len(got) == len(want)
+
+
+def broadcast_rows(spark, after):
+    """Rows of each table that was broadcast by queries numbered over `after`, and the last query's number."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    listed = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava
+    store, rows = spark._jsparkSession.sharedState().statusStore(), []
+    queries = [q.executionId() for q in listed(store.executionsList())]
+    for q in [q for q in queries if q > after]:
+        values = listed(store.executionMetrics(q))
+        for node in listed(store.planGraph(q).allNodes()):
+            if node.name().startswith("BroadcastExchange"):
+                rows += [int(values[m.accumulatorId()].replace(",", "")) for m in listed(node.metrics()) if m.name() == "number of output rows" and m.accumulatorId() in values]
+    return rows, max(queries, default=-1)
+
+
+def test_names_are_not_broadcast(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(WORDS) + rng.choice("bcdfg") for _ in range(2)), f"{i % 28 + 1}/1/2001") for i in range(300)]
+    d, f = spark.createDataFrame(rows, "doc_key int, name string, dob string"), spark.createDataFrame(rows, "form_key int, name string, dob string")
+    _, last = broadcast_rows(spark, -1)
+    found = link.linked(d, f).select("doc_key", "form_key").collect()
+    sent, _ = broadcast_rows(spark, last)
+    want = {(a[0], b[0]) for a in rows for b in rows if a[2] == b[2] and similarity(a[1], b[1]) >= 0.6 - 1e-9}
+    assert {tuple(r) for r in found} == want and len(found) == len(want)
+    # the order of grams, and the grams of over 4096 names: none here
+    assert sent and max(sent) == 1
+
+
+def test_grams_are_of_any_characters(spark):
+    names = ["a", "ab ba", "\U0001d7d8\U0001f600x", "é\U0001f600 \U0001f600é", "\x00a", "名前", " ", "", "aaa"]
+    rows = spark.createDataFrame([(x,) for x in names], "name string").select("name", link.grams(link.F.col("name")).alias("grams")).collect()
+    for r in rows:
+        assert sorted(chr(g >> 21) + chr(g % (1 << 21)) for g in r.grams) == sorted(brute_grams(r.name))
+    got = link.alike_names(*[spark.createDataFrame([(x,) for x in names], "name string")] * 2, 0.3).collect()
+    assert {(r.name, r.other): round(r.jaccard, 9) for r in got} == {(a, b): round(similarity(a, b), 9) for a in names for b in names if similarity(a, b) >= 0.3 - 1e-9}
