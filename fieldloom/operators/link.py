@@ -7,9 +7,10 @@ gram it shares there, and kept at the first. The date of birth is part of the jo
 not compared. A name is compared once a day, however many people have it then. A gram with over HOT names of a day on the left
 is dealt over several keys, and the right side's names for it go to each of them.
 
-The order of grams is a table of CELLS numbers: grams are counted by cells, of which each pair of ASCII characters has its
-own. That table and the grams over HOT, a row for HOT names at least, are all that is broadcast: every other join is a merge
-join by hint, as Spark's estimates know neither how many grams a name has nor how large a checkpoint is.
+The order of grams is a table of CELLS small numbers, a copy of which stands beside each name for a moment: grams are counted
+by cells, of which each pair of small Latin letters has its own. That table and the grams over HOT, a row for HOT names at
+least, are all that is broadcast: every other join is a merge join by hint, as Spark's estimates know neither how many grams a
+name has nor how large a checkpoint is.
 
 Normal forms are read several times: they are written to the folder of spark.checkpoint.dir (or setCheckpointDir()), or kept
 by the executors without one, and the plans of what reads them begin there. Nested in one another, as cached tables are, they
@@ -28,8 +29,8 @@ from . import score
 LEAST = 0.6
 #: Names on the left that share a gram and a key.
 HOT = 4096
-#: Cells in which grams are counted, by the last seven bits of either character.
-CELLS = 1 << 14
+#: Cells in which grams are counted, by the last six bits of either character.
+CELLS = 1 << 12
 #: Bits of a code point.
 _BITS = 21
 
@@ -43,17 +44,18 @@ def grams(name: Column) -> Column:
 
 
 def _cell(gram: Column) -> Column:
-    return (F.shiftright(gram, _BITS) % 128 * 128 + gram % 128).cast("int")
+    return (F.shiftright(gram, _BITS) % 64 * 64 + gram % 64).cast("int")
 
 
 def _places(names: DataFrame) -> DataFrame:
     """One row (places): of each cell its place by the number of names that have a gram there, rarest first."""
-    counted = names.select(F.explode("grams").alias("gram")).groupBy(_cell(F.col("gram")).alias("cell")).count()
+    # each has a gram; before an explode that is not outer, Spark computes the array once more, to filter empty ones
+    counted = names.select(F.explode_outer("grams").alias("gram")).groupBy(_cell(F.col("gram")).alias("cell")).count()
     count = {r["cell"]: r["count"] for r in counted.collect()}
     places = [0] * CELLS
     for place, cell in enumerate(sorted(count, key=lambda c: (count[c], c))):
         places[cell] = place
-    return names.sparkSession.createDataFrame([(places,)], "places array<bigint>")
+    return names.sparkSession.createDataFrame([(places,)], "places array<smallint>")
 
 
 def alike_names(left: DataFrame, right: DataFrame, least: float = LEAST, hot: int = HOT, on: tuple[str, ...] = ()) -> DataFrame:
@@ -68,10 +70,10 @@ def alike_names(left: DataFrame, right: DataFrame, least: float = LEAST, hot: in
 
     def entries(names: DataFrame) -> DataFrame:
         """A row for each gram of a name's prefix; a gram's number begins with its place, so numbers in order are grams in order."""
-        placed = F.sort_array(F.transform("grams", lambda g: F.shiftleft(F.get("places", _cell(g)), 2 * _BITS) + g))
+        placed = F.sort_array(F.transform("grams", lambda g: F.shiftleft(F.get("places", _cell(g)).cast("bigint"), 2 * _BITS) + g))
         size = F.size("grams")
         prefix = F.slice("grams", F.lit(1), size - F.ceil(size * F.lit(least) - F.lit(1e-9)).cast("int") + 1)
-        return names.crossJoin(places).select("name", *on, placed.alias("grams")).select("name", *on, "grams", F.posexplode(prefix).alias("place", "gram"))
+        return names.crossJoin(places).select("name", *on, placed.alias("grams")).select("name", *on, "grams", F.posexplode_outer(prefix).alias("place", "gram"))
 
     x, y, at = entries(a), entries(b), [*on, "gram"]
     keys = F.broadcast(x.groupBy(*at).agg(F.ceil(F.count("*") / hot).cast("int").alias("keys")).where("keys > 1"))
@@ -105,9 +107,10 @@ def linked(documents: DataFrame, forms: DataFrame, least: float = LEAST, score_l
 
     def normal(rows: DataFrame, key: str) -> DataFrame:
         latin = rows.select(key, N.to_latin(F.coalesce("name", F.lit(""))).alias("latin"), F.coalesce(F.col("dob").cast("string"), F.lit("")).alias("dob"))
-        return latin.select(key, N.generic(F.col("latin")).alias("name"), N.loose_date(F.col("dob"))["ymd"].alias("born")).where("name <> '' and born <> ''")
+        return latin.select(key, N.generic(F.col("latin")).alias("name"), N.loose_date(F.col("dob"))["ymd"].alias("born"))
 
-    docs, given = _cut(normal(documents, "doc_key")), _cut(normal(forms, "form_key"))
+    # filtered after the cut: Spark takes a filter before a shuffle, and there reads the names of a small file in few tasks, twice
+    docs, given = (_cut(rows).where("name <> '' and born <> ''") for rows in (normal(documents, "doc_key"), normal(forms, "form_key")))
     scored = alike_names(docs, given, least, hot, on=("born",)).withColumn("name_score", score.name_score(F.col("name"), F.col("other")))
     if score_least is not None:
         scored = scored.where(F.col("name_score") >= score_least)
